@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from fieldscan import constants as C
 
 
+INFINITY = float("inf")
+
+
 def is_finite(value: Column) -> Column:
-    """True for an ordinary number; NULL, NaN and both infinities give False."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    """True for an ordinary number; NULL, NaN and both infinities give False.
+
+    Spark orders NaN above infinity, so one comparison rejects both.
+    """
+    return F.coalesce(F.abs(value) < F.lit(INFINITY), F.lit(False))
 
 
 def valid_reflectance(value: Column, usable: Column | None = None, nodata: Column | None = None) -> Column:
@@ -19,7 +25,7 @@ def valid_reflectance(value: Column, usable: Column | None = None, nodata: Colum
     Values above one are kept: they are counted by the statistics, not clipped.
     """
     value = value.cast("double")
-    keep = is_finite(value) & (value >= 0)
+    keep = (value >= 0) & (value < F.lit(INFINITY))
     if nodata is not None:
         keep = keep & ~value.eqNullSafe(nodata.cast("double"))
     if usable is not None:
@@ -27,25 +33,32 @@ def valid_reflectance(value: Column, usable: Column | None = None, nodata: Colum
     return F.when(keep, value)
 
 
-def normalized_difference(first: Column, second: Column, usable: Column | None = None) -> Column:
-    """(first - second) / (first + second) where the sum is positive, else NULL."""
+def ratio(first: Column, second: Column) -> Column:
+    """(first - second) / (first + second) of cleaned bands; NULL unless the sum is positive.
+
+    Cleaned bands carry validity as NULL, which keeps the expression small
+    enough to be pushed into filters.
+    """
     total = first + second
-    keep = is_finite(first) & is_finite(second) & (total > 0)
-    if usable is not None:
-        keep = keep & usable
-    return F.when(keep, (first - second) / total)
+    return F.when(total > 0, (first - second) / total)
+
+
+def normalized_difference(first: Column, second: Column, usable: Column | None = None) -> Column:
+    """``ratio`` for bands that were not cleaned: nonfinite inputs give NULL."""
+    keep = is_finite(first) & is_finite(second)
+    return F.when(keep if usable is None else keep & usable, ratio(first, second))
 
 
-def ndvi(nir: Column, red: Column, usable: Column | None = None) -> Column:
-    return normalized_difference(nir, red, usable)
+def ndvi(nir: Column, red: Column) -> Column:
+    return ratio(nir, red)
 
 
-def ndre(nir: Column, red_edge: Column, usable: Column | None = None) -> Column:
-    return normalized_difference(nir, red_edge, usable)
+def ndre(nir: Column, red_edge: Column) -> Column:
+    return ratio(nir, red_edge)
 
 
-def ndmi(nir: Column, swir: Column, usable: Column | None = None) -> Column:
-    return normalized_difference(nir, swir, usable)
+def ndmi(nir: Column, swir: Column) -> Column:
+    return ratio(nir, swir)
 
 
 def epsilon_difference(first: Column, second: Column, epsilon: float = C.NOTEBOOK_EPSILON) -> Column:
@@ -78,7 +91,7 @@ def coastal_ndvi(nir_800: Column, red: Column) -> Column:
 def calibrated(dn: Column, quantification: Column, offset: Column) -> Column:
     """(DN + offset) / quantification. DN = 0 means nodata *before* the offset."""
     value = (dn.cast("double") + offset) / quantification
-    return F.when((dn > 0) & is_finite(value) & (value >= 0), value)
+    return F.when((dn > 0) & (value >= 0) & (value < F.lit(INFINITY)), value)
 
 
 def in_window(wavelength: Column, window: tuple[float, float] = C.ANALYSIS_WINDOW_NM) -> Column:

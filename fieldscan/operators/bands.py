@@ -73,7 +73,7 @@ def band_audit(scanned: DataFrame, keys: list[str]) -> DataFrame:
         F.when(R.in_caution(F.col("wavelength_nm")), F.lit("atmospheric_caution_1350_1450_nm")),
         F.when(F.col("valid_count") == 0, F.lit("no_valid_candidate_reflectance"))
         .when(F.col("_constant"), F.lit("constant_candidate_reflectance")))
-    return audit.drop("_constant").withColumn("exclusion_reasons", reasons) \
+    return audit.withColumn("exclusion_reasons", reasons).drop("_constant") \
         .withColumn("retained", F.size("exclusion_reasons") == 0)
 
 

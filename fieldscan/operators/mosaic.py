@@ -42,16 +42,13 @@ def calibrated_indices(scene_pixels: DataFrame) -> DataFrame:
     clear = F.coalesce(F.col("in_footprint") & F.col("scl").isin(*C.CLEAR_LAND_CLASSES), F.lit(False))
     bands = {role: R.calibrated(F.col(name.lower()), F.col("quantification"), F.col(f"{name.lower()}_offset"))
              for role, name in C.SCENE_BANDS.items()}
-    staged = scene_pixels.withColumns({**bands, "_clear": clear})
-    usable = F.col("_clear") & F.col("red").isNotNull() & F.col("red_edge").isNotNull() \
-        & F.col("nir").isNotNull() & F.col("swir").isNotNull()
+    staged = scene_pixels.withColumns({role: F.when(clear, band) for role, band in bands.items()})
     indexed = staged.withColumns({
-        "ndvi": R.ndvi(F.col("nir"), F.col("red"), usable),
-        "ndre": R.ndre(F.col("nir"), F.col("red_edge"), usable),
-        "ndmi": R.ndmi(F.col("nir"), F.col("swir"), usable)})
+        "ndvi": R.ndvi(F.col("nir"), F.col("red")), "ndre": R.ndre(F.col("nir"), F.col("red_edge")),
+        "ndmi": R.ndmi(F.col("nir"), F.col("swir"))})
     valid = F.col("ndvi").isNotNull() & F.col("ndre").isNotNull() & F.col("ndmi").isNotNull()
     return indexed.withColumn("valid", valid).withColumns(
-        {n: F.when(F.col("valid"), F.col(n)) for n in C.INDEX_NAMES}).drop("_clear")
+        {n: F.when(F.col("valid"), F.col(n)) for n in C.INDEX_NAMES})
 
 
 def out_of_bounds(indexed: DataFrame) -> DataFrame:

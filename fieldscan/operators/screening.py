@@ -27,17 +27,17 @@ def with_indices(pixels: DataFrame, nodata: dict[str, Column] | None = None) ->
         band: reflectance.valid_reflectance(F.col(band), usable, nodata.get(band))
         for band in C.TARGET_BANDS_NM})
     return cleaned.withColumns({
-        "ndvi": reflectance.ndvi(F.col("nir"), F.col("red"), usable),
-        "ndre": reflectance.ndre(F.col("nir"), F.col("red_edge"), usable),
-        "ndmi": reflectance.ndmi(F.col("nir"), F.col("swir"), usable)})
+        "ndvi": reflectance.ndvi(F.col("nir"), F.col("red")),
+        "ndre": reflectance.ndre(F.col("nir"), F.col("red_edge")),
+        "ndmi": reflectance.ndmi(F.col("nir"), F.col("swir"))})
 
 
 def with_vegetation(pixels: DataFrame, threshold: float = C.VEGETATION_NDVI) -> DataFrame:
     """vegetation keeps the boundary; classified also needs all three indices."""
     if not 0 < threshold < 1:
         raise ValueError("vegetation threshold must lie strictly between 0 and 1")
-    vegetation = F.coalesce(F.col("quality_valid") & (F.col("ndvi") >= threshold), F.lit(False))
-    complete = F.col("ndvi").isNotNull() & F.col("ndre").isNotNull() & F.col("ndmi").isNotNull()
+    vegetation = F.coalesce(F.col("ndvi") >= threshold, F.lit(False))  # an index exists only where quality is valid
+    complete = F.col("ndre").isNotNull() & F.col("ndmi").isNotNull()
     return pixels.withColumns({"vegetation": vegetation, "classified": vegetation & complete})
 
 

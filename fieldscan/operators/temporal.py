@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldscan import constants as C
 from fieldscan.functions.checks import errors
@@ -55,7 +56,6 @@ def median_slope(days: np.ndarray, values: np.ndarray) -> float:
     return float((kept[first - below] + kept[last - below]) / 2)
 
 
-@F.pandas_udf("double")
 def _slopes(days: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([median_slope(np.asarray(d, dtype=float), np.asarray(v, dtype=float))
                       if d is not None and len(d) >= 3 else None for d, v in zip(days, values)], dtype="float64")
@@ -93,10 +93,11 @@ def theil_sen(series: DataFrame, keys: list[str], day: str, value: str,
         .where(F.when(F.col("_n") == 1, F.lit(True))
                .otherwise(F.raise_error(F.lit("repeated day in a series")).cast("boolean"))) \
         .groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    slopes = F.pandas_udf(_slopes, DoubleType())
     counted = folded.select(*keys, F.size("points").cast("bigint").alias("observations"),
                             (F.col("points")[F.size("points") - 1]["d"] - F.col("points")[0]["d"]).alias("_span"),
-                            _slopes(F.transform("points", lambda p: p["d"]),
-                                    F.transform("points", lambda p: p["v"])).alias("slope_per_day"))
+                            slopes(F.transform("points", lambda p: p["d"]),
+                                   F.transform("points", lambda p: p["v"])).alias("slope_per_day"))
     sloped = counted.withColumn("fitted_change", F.col("slope_per_day") * F.col("_span"))
     return sloped.select(
         *keys, "observations", "slope_per_day", (F.col("slope_per_day") * 30).alias("slope_per_30_days"),
@@ -207,7 +208,7 @@ def baseline(targets: DataFrame, days: DataFrame, keys: list[str], value: str,
     difference = F.col("target_value") - F.col("_median")
     return spread.withColumn("available", available).select(
         *keys, "target_id", *measure, "compared_day", n.alias("baseline_dates"), "available",
-        F.when(~F.col("available"), F.lit(C.BASELINE_REASON)).alias("reason"),
+        F.when(~F.col("available"), F.lit(C.BASELINE_REASON)).alias("baseline_reason"),
         F.when(F.col("available"), F.col("_median")).alias("baseline_median"),
         F.when(F.col("available"), F.col("_mad")).alias("baseline_mad"),
         F.when(F.col("available"), F.col("target_value")).alias("target_value"),

@@ -29,6 +29,11 @@ def big(value: Column) -> Column:
     return value.cast("bigint")
 
 
+def d(value: Column | str) -> Column:
+    """Dates leave as ISO text, which every engine compares alike."""
+    return F.date_format(value, "yyyy-MM-dd")
+
+
 # --- pixels: line items as image pixels, three scenes of a third each ----------
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:

@@ -47,15 +47,17 @@ def write_evidence(evidence: DataFrame, path: str) -> None:
     evidence.write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
-def series_rows(observations: DataFrame, sources: DataFrame, statistics: DataFrame) -> DataFrame:
+def series_rows(observations: DataFrame, sources: DataFrame, statistics: DataFrame,
+                keys: list[str] | None = None) -> DataFrame:
     """Flat time-series rows; the ';' lists keep the clearest-first order of the sources."""
-    wide = statistics.groupBy("day").agg(*[
+    by = [*(keys or []), "day"]
+    wide = statistics.groupBy(*by).agg(*[
         F.max(F.when(F.col("index_name") == n, F.col(s))).alias(f"{n}_{s}") for n in C.INDEX_NAMES for s in ("median", "p25", "p75")])
-    listed = sources.groupBy("day").agg(F.array_sort(F.collect_list(
+    listed = sources.groupBy(*by).agg(F.array_sort(F.collect_list(
         F.struct("cloud_cover", "scene_id", "acquired_at"))).alias("s"))
     s = F.col("s")
-    return observations.join(listed, "day").join(wide, "day").select(
-        F.col("day").alias("date"), F.col("acquired_at").alias("acquisition_datetime"),
+    return observations.join(listed, by).join(wide, by).select(
+        *(keys or []), F.col("day").alias("date"), F.col("acquired_at").alias("acquisition_datetime"),
         join_list(F.transform(s, lambda x: iso_utc(x["acquired_at"]))).alias("acquisition_datetimes"),
         join_list(F.transform(s, lambda x: x["scene_id"].cast("string"))).alias("scene_ids"),
         join_list(F.transform(s, lambda x: x["cloud_cover"].cast("string"))).alias("scene_cloud_percent"),
