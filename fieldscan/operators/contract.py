@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from fieldscan import constants as C
 from fieldscan.functions import text as T
 from fieldscan.functions.checks import blank_optional, errors, message, not_in, out_of_range
-from fieldscan.functions.geometry import point_ok
-from fieldscan.functions.timestamps import gap_micros, zoned_timestamp
+from fieldscan.functions.geometry import bbox_ok, parse_bbox, point_ok, ring_problems
+from fieldscan.functions.timestamps import gap_micros, valid_range, zoned_timestamp
 
 
 def ground_errors(not_after: Column | None = None) -> Column:
@@ -64,6 +64,32 @@ def sensor_errors() -> Column:
         message((F.col("state") == "UNCALIBRATED") & calibrated, "UNCALIBRATED sensor with calibrated metadata"))
 
 
+def area_errors() -> Column:
+    """Messages for one area of interest: id, geometry, inclusive time range, optional names."""
+    kind = F.col("geometry.kind")
+    g = F.col("geometry")
+    start, end = zoned_timestamp(F.col("start")), zoned_timestamp(F.col("end"))
+    return errors(
+        message(T.is_blank(F.col("aoi_id")), "aoi_id must be nonempty text"),
+        message(not_in(kind, ("Point", "BoundingBox", "Polygon")), "unsupported geometry"),
+        message(F.coalesce(kind == "Point", F.lit(False)) & ~point_ok(g["lon"], g["lat"]), "point outside range"),
+        message(F.coalesce(kind == "BoundingBox", F.lit(False)) & ~bbox_ok(g["west"], g["south"], g["east"], g["north"]), "invalid bounding box"),
+        message(F.coalesce(kind == "Polygon", F.lit(False)) & (F.size(ring_problems(g["ring"])) > 0), "invalid polygon"),
+        message(~valid_range(start, end), "time range needs two zoned instants in order"),
+        *[message(blank_optional(F.col(c)), f"{c} must be nonempty text when given") for c in ("place_name", "country")])
+
+
+def selected_area(requests: DataFrame, countries: DataFrame) -> DataFrame:
+    """Country record and parsed box of each request; both or neither.
+
+    requests: country_id, bbox text. The country table is a few hundred rows.
+    """
+    known = countries.select(F.col("id").alias("_id"), F.struct("*").alias("_country"))
+    found = requests.withColumn("_box", parse_bbox(F.col("bbox"))).join(known, F.col("country_id") == F.col("_id"), "left")
+    both = F.col("_box").isNotNull() & F.col("_country").isNotNull()
+    return found.select(*requests.columns, F.when(both, F.col("_country")).alias("country"), F.when(both, F.col("_box")).alias("box"))
+
+
 def evidence_errors() -> Column:
     """Messages for one evidence record: source, summary, provenance list.
 
