@@ -49,6 +49,11 @@ def fit_scaler(sample: DataFrame, keys: list[str]) -> DataFrame:
         F.transform("b", lambda b: b["scale"]).alias("scale"))
 
 
+def _renewed(frame: DataFrame) -> DataFrame:
+    """The same columns under new identities: both sides of a cogroup share their origin."""
+    return frame.select(*[F.col(c).alias(c) for c in frame.columns])
+
+
 def _standardized(pdf: pd.DataFrame, model: pd.Series) -> np.ndarray:
     values = np.asarray(pdf["spectrum"].tolist(), dtype=float)
     return (values - np.asarray(model["mean"], dtype=float)) / np.asarray(model["scale"], dtype=float)
@@ -76,7 +81,7 @@ def fit_components(sample: DataFrame, scaler: DataFrame, keys: list[str],
         out["components"], out["ratios"] = [axes.tolist()], [ratios[:kept].tolist()]
         return out
 
-    fitted = sample.groupBy(*keys).cogroup(scaler.groupBy(*keys)).applyInPandas(components, schema)
+    fitted = sample.groupBy(*keys).cogroup(_renewed(scaler).groupBy(*keys)).applyInPandas(components, schema)
     return join_groups(scaler, fitted, keys, "inner")
 
 
@@ -92,7 +97,7 @@ def embed_sample(sample: DataFrame, model: DataFrame, keys: list[str]) -> DataFr
         out["point"] = (_standardized(left, model_row) @ axes.T).tolist()
         return out
 
-    return sample.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(embed, schema)
+    return sample.groupBy(*keys).cogroup(_renewed(model).groupBy(*keys)).applyInPandas(embed, schema)
 
 
 def grow_tree(points: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
@@ -222,7 +227,7 @@ def score_anomaly(spectra: DataFrame, model: DataFrame, keys: list[str]) -> Data
         return out
 
     by = [*keys, "chunk"]
-    return rows.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(score, schema)
+    return rows.groupBy(*by).cogroup(_renewed(copies).groupBy(*by)).applyInPandas(score, schema)
 
 
 def component_table(model: DataFrame, keys: list[str]) -> DataFrame:

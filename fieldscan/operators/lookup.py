@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,5 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str,
 
 def _join(rows: DataFrame, lookup: DataFrame, on: list[str], payload: list[str]) -> DataFrame:
     right = lookup.select(*[F.col(c).alias(f"_key_{c}") for c in on], *payload)
-    match = None
-    for c in on:
-        same = rows[c].eqNullSafe(right[f"_key_{c}"])
-        match = same if match is None else match & same
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in on])
     return rows.join(right, match, "left").drop(*[f"_key_{c}" for c in on])

@@ -87,7 +87,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: dict[s
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join two per-group results on null-safe keys."""
     other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_{k}"]) for k in keys])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return left.join(other, match, how).drop(*[f"_{k}" for k in keys])
 
 

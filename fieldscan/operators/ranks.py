@@ -45,12 +45,12 @@ def accumulated(folded: DataFrame, keys: list[str], value: str, largest: int,
         *[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"),
         F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("part_below"),
         F.sum("part_n").over(whole).alias("total"))
-    match = placed["part"] == offsets["_part"]
+    match = F.col("part") == F.col("_part")
     for k in keys:
-        match = match & placed[k].eqNullSafe(offsets[f"_{k}"])
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
     within = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return placed.join(offsets, match).select(
-        *[placed[k] for k in keys], value, *carried, "n",
+        *keys, value, *carried, "n",
         (F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("part_below")).alias("below"), "total")
 
 
