@@ -33,32 +33,38 @@ def valid_reflectance(value: Column, usable: Column | None = None, nodata: Colum
     return F.when(keep, value)
 
 
-def ratio(first: Column, second: Column) -> Column:
-    """(first - second) / (first + second) of cleaned bands; NULL unless the sum is positive.
+def usable_pair(first: Column, second: Column, usable: Column | None = None) -> Column:
+    """Both bands finite and nonnegative with a positive sum.
 
-    Cleaned bands carry validity as NULL, which keeps the expression small
-    enough to be pushed into filters.
+    The sum is finite only if both bands are, and NaN never compares below
+    infinity, so four comparisons cover it. Filters on an index are pushed
+    below its projection and repeat this text, so it is kept short: a
+    generated method beyond 8 KB of bytecode is never compiled by the JVM.
     """
     total = first + second
-    return F.when(total > 0, (first - second) / total)
+    keep = (first >= 0) & (second >= 0) & (total > 0) & (total < F.lit(INFINITY))
+    return keep if usable is None else usable & keep
 
 
 def normalized_difference(first: Column, second: Column, usable: Column | None = None) -> Column:
-    """``ratio`` for bands that were not cleaned: nonfinite inputs give NULL."""
-    keep = is_finite(first) & is_finite(second)
-    return F.when(keep if usable is None else keep & usable, ratio(first, second))
+    """(first - second) / (first + second) for usable pixels, else NULL; no epsilon.
+
+    Bands need no cleaning first: anything ``valid_reflectance`` would null
+    (except nodata, which belongs into ``usable``) gives NULL here too.
+    """
+    return F.when(usable_pair(first, second, usable), (first - second) / (first + second))
 
 
-def ndvi(nir: Column, red: Column) -> Column:
-    return ratio(nir, red)
+def ndvi(nir: Column, red: Column, usable: Column | None = None) -> Column:
+    return normalized_difference(nir, red, usable)
 
 
-def ndre(nir: Column, red_edge: Column) -> Column:
-    return ratio(nir, red_edge)
+def ndre(nir: Column, red_edge: Column, usable: Column | None = None) -> Column:
+    return normalized_difference(nir, red_edge, usable)
 
 
-def ndmi(nir: Column, swir: Column) -> Column:
-    return ratio(nir, swir)
+def ndmi(nir: Column, swir: Column, usable: Column | None = None) -> Column:
+    return normalized_difference(nir, swir, usable)
 
 
 def epsilon_difference(first: Column, second: Column, epsilon: float = C.NOTEBOOK_EPSILON) -> Column:
@@ -90,8 +96,7 @@ def coastal_ndvi(nir_800: Column, red: Column) -> Column:
 
 def calibrated(dn: Column, quantification: Column, offset: Column) -> Column:
     """(DN + offset) / quantification. DN = 0 means nodata *before* the offset."""
-    value = (dn.cast("double") + offset) / quantification
-    return F.when((dn > 0) & (value >= 0) & (value < F.lit(INFINITY)), value)
+    return (dn.cast("double") + offset) / quantification
 
 
 def in_window(wavelength: Column, window: tuple[float, float] = C.ANALYSIS_WINDOW_NM) -> Column:

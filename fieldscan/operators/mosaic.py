@@ -39,16 +39,18 @@ def calibrated_indices(scene_pixels: DataFrame) -> DataFrame:
     (a dimension of four rows per scene). A pixel is valid only when all four
     bands and all three indices are.
     """
-    clear = F.coalesce(F.col("in_footprint") & F.col("scl").isin(*C.CLEAR_LAND_CLASSES), F.lit(False))
+    clear = F.col("in_footprint") & F.col("scl").isin(*C.CLEAR_LAND_CLASSES)
     bands = {role: R.calibrated(F.col(name.lower()), F.col("quantification"), F.col(f"{name.lower()}_offset"))
              for role, name in C.SCENE_BANDS.items()}
-    staged = scene_pixels.withColumns({role: F.when(clear, band) for role, band in bands.items()})
-    indexed = staged.withColumns({
-        "ndvi": R.ndvi(F.col("nir"), F.col("red")), "ndre": R.ndre(F.col("nir"), F.col("red_edge")),
-        "ndmi": R.ndmi(F.col("nir"), F.col("swir"))})
-    valid = F.col("ndvi").isNotNull() & F.col("ndre").isNotNull() & F.col("ndmi").isNotNull()
-    return indexed.withColumn("valid", valid).withColumns(
-        {n: F.when(F.col("valid"), F.col(n)) for n in C.INDEX_NAMES})
+    counted = F.least(*[F.col(name.lower()) for name in C.SCENE_BANDS.values()]) > 0  # DN before the offset
+    nir = F.col("nir")
+    usable = clear & counted
+    for other in ("red", "red_edge", "swir"):
+        usable = usable & R.usable_pair(nir, F.col(other))
+    staged = scene_pixels.withColumns(bands).withColumn("valid", F.coalesce(usable, F.lit(False)))
+    return staged.withColumns({
+        name: F.when(F.col("valid"), (nir - F.col(other)) / (nir + F.col(other)))
+        for name, other in (("ndvi", "red"), ("ndre", "red_edge"), ("ndmi", "swir"))})
 
 
 def out_of_bounds(indexed: DataFrame) -> DataFrame:

@@ -20,16 +20,20 @@ def with_quality(pixels: DataFrame, masks: list[str]) -> DataFrame:
 
 
 def with_indices(pixels: DataFrame, nodata: dict[str, Column] | None = None) -> DataFrame:
-    """Clean the four index bands and add ndvi, ndre and ndmi."""
+    """Add ndvi, ndre and ndmi, and null the unusable values of the four index bands."""
     nodata = nodata or {}
     usable = F.col("quality_valid")
-    cleaned = pixels.withColumns({
-        band: reflectance.valid_reflectance(F.col(band), usable, nodata.get(band))
-        for band in C.TARGET_BANDS_NM})
-    return cleaned.withColumns({
-        "ndvi": reflectance.ndvi(F.col("nir"), F.col("red")),
-        "ndre": reflectance.ndre(F.col("nir"), F.col("red_edge")),
-        "ndmi": reflectance.ndmi(F.col("nir"), F.col("swir"))})
+
+    def index(second: str) -> Column:
+        keep = usable
+        for band in ("nir", second):
+            if band in nodata:
+                keep = keep & (F.col(band) != nodata[band])
+        return reflectance.normalized_difference(F.col("nir").cast("double"), F.col(second).cast("double"), keep)
+
+    return pixels.withColumns({
+        "ndvi": index("red"), "ndre": index("red_edge"), "ndmi": index("swir"),
+        **{band: reflectance.valid_reflectance(F.col(band), usable, nodata.get(band)) for band in C.TARGET_BANDS_NM}})
 
 
 def with_vegetation(pixels: DataFrame, threshold: float = C.VEGETATION_NDVI) -> DataFrame:

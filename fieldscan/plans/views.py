@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan.operators import screening
-from fieldscan.session import pin_utc
+from fieldscan.session import prepare
 
 MASKS = ["nodata_mask", "cloud_mask", "cirrus_mask"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    pin_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -38,7 +38,7 @@ def d(value: Column | str) -> Column:
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem")
-    flag = lambda bad: F.when(bad, 1).otherwise(0)
+    flag = lambda bad: bad.cast("int")
     return li.select(
         F.col("l_returnflag").alias("scene_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
