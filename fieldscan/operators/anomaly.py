@@ -23,6 +23,7 @@ from fieldscan.operators.sampling import exact_sample_by
 from fieldscan.session import checkpointed
 
 CHUNK_ROWS = 50_000
+TREES_PER_GROUP = 20
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -155,19 +156,17 @@ def fit_forest(embedded: DataFrame, keys: list[str], trees: int = C.FOREST_TREES
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         wanted = min(samples, int(pdf["_n"].iloc[0]))
-        if len(pdf) != wanted:
-            raise ValueError(f"a tree drew {len(pdf)} of {wanted} rows")
-        ordered = pdf.sort_values("pixel_id")
-        tree = int(ordered["tree"].iloc[0])
-        points = np.asarray(ordered["point"].tolist(), dtype=float)
-        nodes = grow_tree(points, np.random.default_rng([seed, tree]), max(1, math.ceil(math.log2(wanted))))
-        out = ordered[[*keys, "tree"]].iloc[[0]].copy()
-        out["sample_size"] = wanted
-        for name, values in nodes.items():
-            out[name] = [values]
-        return out
-
-    grown = drawn.groupBy(*keys, "tree").applyInPandas(grow, node)
+        height = max(1, math.ceil(math.log2(wanted)))
+        out = []
+        for tree, drawn_rows in pdf.sort_values(["tree", "pixel_id"]).groupby("tree"):
+            if len(drawn_rows) != wanted:
+                raise ValueError(f"a tree drew {len(drawn_rows)} of {wanted} rows")
+            points = np.asarray(drawn_rows["point"].tolist(), dtype=float)
+            nodes = grow_tree(points, np.random.default_rng([seed, int(tree)]), height)
+            out.append({**{k: pdf[k].iloc[0] for k in keys}, "tree": int(tree), "sample_size": wanted, **nodes})
+        return pd.DataFrame(out)
+
+    grown = drawn.groupBy(*keys, F.floor(F.col("tree") / TREES_PER_GROUP)).applyInPandas(grow, node)
     return grown.groupBy(*keys).agg(F.max("sample_size").alias("sample_size"), F.array_sort(F.collect_list(
         F.struct("tree", "feature", "threshold", "left", "right", "size"))).alias("trees"))
 
