@@ -16,7 +16,8 @@ def screen_scenes(pixels: DataFrame, masks: list[str], keys: list[str],
     """Pixels to evidence and reports. Evidence is kept because every report reads it."""
     screened = screening.with_vegetation(screening.with_indices(screening.with_quality(pixels, masks)), threshold)
     rankable = screening.rankable(screened, keys)
-    evidence = screening.risk_evidence(screened.join(rankable.where("rankable").select(*keys), keys), keys) \
+    narrow = screened.drop(*masks, *C.TARGET_BANDS_NM)  # ranks need the indices only
+    evidence = screening.risk_evidence(narrow.join(rankable.where("rankable").select(*keys), keys), keys) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     return {"screened": screened, "rankable": rankable, "evidence": evidence,
             "classes": screening.class_shares(evidence, keys), "counts": screening.screening_counts(screened, keys),

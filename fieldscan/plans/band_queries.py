@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,9 +213,9 @@ def strongest_spectra_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """All-positive spectra, so every vector is complete."""
+    """All-positive spectra, so every vector is complete; kept, as fitting and scoring both read them."""
     scan = scanned(spark, folder, shift=1.0)
-    return anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP)
+    return anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("anomaly_components")

@@ -18,7 +18,8 @@ SCENE = ["scene_id"]
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence held in memory and on disk: the reports below read it more than once."""
-    return screening.risk_evidence(screened(spark, folder), SCENE).persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = screened(spark, folder).select("scene_id", "pixel_id", "classified", *C.INDEX_NAMES)
+    return screening.risk_evidence(narrow, SCENE).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("risk_class_shares", f"""WITH {EVIDENCE},
