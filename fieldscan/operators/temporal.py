@@ -113,36 +113,40 @@ def series_summary(series: DataFrame, keys: list[str], day: str, value: str) ->
         F.min(value).alias("min_day"), F.max(value).alias("max_day"), F.count(value).alias("days"))
 
 
-def nearest_acquisition(targets: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+def nearest_acquisition(targets: DataFrame, sources: DataFrame, keys: list[str],
+                        bucket_seconds: int = 86_400) -> DataFrame:
     """Nearest source in time per target; ties go to the earlier time, then the smaller id.
 
     targets: keys, target_id, target_at. sources: keys, scene_id, acquired_at.
-    No target meets more than four candidates: the neighbours inside its own
-    day, from a window over one day of one site, and the last and first source
-    of the nearest other days, from a table with one row per site and day.
+    Time is cut into buckets. No target meets more than four candidates: its
+    neighbours inside its own bucket, from a window over one bucket of one site,
+    and the last and first source of the nearest other buckets, from a table
+    with one row per site and bucket. A site with crowded days takes shorter
+    buckets; the result does not depend on the width.
     """
+    def bucket(instant: str) -> Column:
+        return F.floor(F.unix_micros(instant) / F.lit(bucket_seconds * 1_000_000)).cast("bigint").alias("bucket")
+
     candidate = F.struct("acquired_at", "scene_id")
     distinct = sources.groupBy(*keys, "acquired_at").agg(F.min("scene_id").alias("scene_id"))
-    marked = distinct.select(*keys, F.to_date("acquired_at").alias("day"), F.col("acquired_at").alias("at"),
-                             candidate.alias("source"), F.lit(None).cast("string").alias("target_id")) \
-        .unionByName(targets.select(*keys, F.to_date("target_at").alias("day"), F.col("target_at").alias("at"),
-                                    F.col("target_id").cast("string").alias("target_id")), allowMissingColumns=True)
-    hour = Window.partitionBy(*keys, "day").orderBy("at")
+    wanted = targets.select(*keys, bucket("target_at"), F.col("target_at").alias("at"), F.col("target_id").cast("string").alias("target_id"))
+    marked = distinct.select(*keys, bucket("acquired_at"), F.col("acquired_at").alias("at"), candidate.alias("source")) \
+        .unionByName(wanted, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "bucket").orderBy("at")
     placed = marked.withColumns({
-        "before": F.last("source", ignorenulls=True).over(hour.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("source", ignorenulls=True).over(hour.rangeBetween(0, Window.unboundedFollowing))}) \
+        "before": F.last("source", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("source", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))}) \
         .where(F.col("target_id").isNotNull())
 
-    ends = distinct.groupBy(*keys, F.to_date("acquired_at").alias("day")).agg(
+    ends = distinct.groupBy(*keys, bucket("acquired_at")).agg(
         F.max_by(candidate, F.col("acquired_at")).alias("last"), F.min_by(candidate, F.col("acquired_at")).alias("first"))
-    target_days = targets.select(*keys, F.to_date("target_at").alias("day")).distinct()
-    around = ends.withColumn("_wanted", F.lit(False)).unionByName(
-        target_days.withColumn("_wanted", F.lit(True)), allowMissingColumns=True)
-    around = around.withColumns({
-        "earlier": F.last("last", ignorenulls=True).over(_day_range(keys, None, -1)),
-        "later": F.first("first", ignorenulls=True).over(_day_range(keys, 1, None))}) \
-        .where("_wanted").select(*keys, "day", "earlier", "later")
-    gathered = placed.join(around, [*keys, "day"], "left").withColumn("c", F.explode(F.array_compact(
+    stops = wanted.select(*keys, "bucket").distinct().withColumn("wanted", F.lit(True))
+    order = Window.partitionBy(*keys).orderBy("bucket")  # whole buckets: rows of one bucket never see each other
+    around = ends.withColumn("wanted", F.lit(False)).unionByName(stops, allowMissingColumns=True).withColumns({
+        "earlier": F.last("last", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -1)),
+        "later": F.first("first", ignorenulls=True).over(order.rangeBetween(1, Window.unboundedFollowing))}) \
+        .where("wanted").select(*keys, "bucket", "earlier", "later")
+    gathered = placed.join(around, [*keys, "bucket"], "left").withColumn("c", F.explode(F.array_compact(
         F.array("before", "after", "earlier", "later"))))
     gap = gap_micros(F.col("c.acquired_at"), F.col("at"))
     best = gathered.groupBy(*keys, "target_id", F.col("at").alias("target_at")).agg(F.min_by(
@@ -153,14 +157,6 @@ def nearest_acquisition(targets: DataFrame, sources: DataFrame, keys: list[str])
                        (F.col("n.gap") / float(MICROS_PER_DAY)).alias("signed_gap_days"))
 
 
-def _day_range(keys: list[str], start: int | None, end: int | None):
-    """Frame by whole days, so rows of the same day never see each other."""
-    number = F.datediff(F.col("day"), F.lit("1970-01-01"))
-    window = Window.partitionBy(*keys).orderBy(number)
-    return window.rangeBetween(Window.unboundedPreceding if start is None else start,
-                               Window.unboundedFollowing if end is None else end)
-
-
 def at_cutoff(observations: DataFrame, cutoff: Column) -> DataFrame:
     """A day is eligible when its *latest* acquisition is not after the cutoff."""
     return observations.withColumns({"eligible": F.col("last_at") <= cutoff,
