@@ -106,10 +106,10 @@ def fused(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fused_decisions", f"""WITH {FUSED_SQL}
 SELECT site, spectral_state, temporal_state, ground_state, {RULE_SQL} AS rule_id, {DECISION_SQL} AS decision, observations, baseline_dates,
-  round(pct, 8) AS percentile, round(slope_per_day, 9) + 0e0 AS slope_per_day FROM fused""")
+  round(pct, 8) AS percentile, round(slope_per_day, 12) + 0e0 AS slope_per_day FROM fused""")
 def fused_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return fused(spark, folder).select("site", "spectral_state", "temporal_state", "ground_state", "rule_id", "decision", "observations",
-                                       "baseline_dates", r(F.col("percentile"), 8).alias("percentile"), r(F.col("slope_per_day")).alias("slope_per_day"))
+                                       "baseline_dates", r(F.col("percentile"), 8).alias("percentile"), r(F.col("slope_per_day"), 12).alias("slope_per_day"))
 
 
 @query("reasoning_trace", f"""WITH {FUSED_SQL},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.functions.timestamps import iso_utc
+from fieldscan.functions.timestamps import MICROS_PER_DAY, iso_utc
 from fieldscan.operators import temporal
 from fieldscan.operators.quantiles import exact_quantiles
 from fieldscan.plans.registry import query
@@ -42,21 +42,21 @@ directed AS (SELECT *, CASE WHEN fitted_change IS NULL THEN 'insufficient observ
 
 
 @query("theil_sen_trend", f"""WITH {ACQUISITIONS}, {trend_sql()}
-SELECT site, observations, round(slope_per_day, 9) + 0e0 AS slope_per_day, round(slope_per_day * 30, 9) + 0e0 AS slope_per_30_days,
-  round(fitted_change, 9) + 0e0 AS fitted_change, span_days::BIGINT AS span_days, direction FROM directed""")
+SELECT site, observations, round(slope_per_day, 12) + 0e0 AS slope_per_day, round(slope_per_day * 30, 12) + 0e0 AS slope_per_30_days,
+  round(fitted_change, 12) + 0e0 AS fitted_change, span_days::BIGINT AS span_days, direction FROM directed""")
 def theil_sen_trend(spark: SparkSession, folder: str) -> DataFrame:
     trend = temporal.theil_sen(days(spark, folder), SITE, "day", "median")
-    return trend.select("site", "observations", *[r(F.col(c)).alias(c) for c in ("slope_per_day", "slope_per_30_days", "fitted_change")],
+    return trend.select("site", "observations", *[r(F.col(c), 12).alias(c) for c in ("slope_per_day", "slope_per_30_days", "fitted_change")],
                         F.col("span_days").cast("bigint").alias("span_days"), "direction")
 
 
 @query("tile_trends", f"""WITH tiles AS (SELECT user_id AS site, ts::DATE AS day, quantile_cont(value / 1e2, 0.5) AS median FROM events GROUP BY ALL),
 {trend_sql('tiles')}
-SELECT site, observations, round(slope_per_day, 8) + 0e0 AS slope_per_day, direction FROM directed""")
+SELECT site, observations, round(slope_per_day, 12) + 0e0 AS slope_per_day, direction FROM directed""")
 def tile_trends(spark: SparkSession, folder: str) -> DataFrame:
     daily = exact_quantiles(acquisitions(spark, folder), ["tile", "day"], "value", {"median": 0.5})
     trend = temporal.theil_sen(daily, ["tile"], "day", "median")
-    return trend.select(F.col("tile").alias("site"), "observations", r(F.col("slope_per_day"), 8).alias("slope_per_day"), "direction")
+    return trend.select(F.col("tile").alias("site"), "observations", r(F.col("slope_per_day"), 12).alias("slope_per_day"), "direction")
 
 
 @query("series_check", f"""WITH {ACQUISITIONS} SELECT site, count(*) AS observations, 0::BIGINT AS problems FROM days GROUP BY ALL""")
@@ -78,15 +78,16 @@ sources AS (SELECT user_id AS tile, event_id AS scene_id, ts AS acquired_at FROM
 placed AS (SELECT t.tile, target_id, scene_id, epoch_us(acquired_at) - epoch_us(target_at) AS gap,
   row_number() OVER (PARTITION BY t.tile, target_id ORDER BY abs(epoch_us(acquired_at) - epoch_us(target_at)), acquired_at, scene_id) AS place
   FROM targets t JOIN sources s ON t.tile = s.tile)
-SELECT tile, target_id::VARCHAR AS target_id, scene_id, round(abs(gap) / 864e8, 9) AS absolute_gap_days, round(gap / 864e8, 9) + 0e0 AS signed_gap_days
+SELECT tile, target_id::VARCHAR AS target_id, scene_id, abs(gap)::BIGINT AS absolute_gap_micros, gap::BIGINT AS signed_gap_micros
 FROM placed WHERE place = 1""")
 def nearest_acquisition(spark: SparkSession, folder: str) -> DataFrame:
     a = acquisitions(spark, folder)
     targets = a.where(F.col("site") == "error").select("tile", F.col("scene_id").alias("target_id"), F.col("acquired_at").alias("target_at"))
     sources = a.where(F.col("site") == "purchase").select("tile", "scene_id", "acquired_at")
     nearest = temporal.nearest_acquisition(targets, sources, ["tile"])
-    return nearest.select("tile", "target_id", "scene_id", r(F.col("absolute_gap_days")).alias("absolute_gap_days"),
-                          r(F.col("signed_gap_days")).alias("signed_gap_days"))
+    micros = lambda days: F.round(F.col(days) * float(MICROS_PER_DAY)).cast("bigint")
+    return nearest.select("tile", "target_id", "scene_id", micros("absolute_gap_days").alias("absolute_gap_micros"),
+                          micros("signed_gap_days").alias("signed_gap_micros"))
 
 
 def noon_targets(spark: SparkSession, folder: str) -> DataFrame:
