@@ -59,20 +59,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
     return ranked.select("source", "source_no", "source_size", "source_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS,
+def mix(docs: DataFrame, quality: Column | None = None, size: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS,
         most: int = MOST_EPOCHS, seed: str = ":mix", keep: list[str] | None = None) -> DataFrame:
     """Words each document of ``docs`` (doc_id, text, source) gives to the mix.
 
     Returns one row per input row: doc_id, ``keep`` columns, source_no, size, source_size, target,
     taken. ``quality`` is a positive weight per document (default 1; null or not positive counts
-    as 1). Null or empty texts have size 0 and give nothing; a null source is a source of its own,
+    as 1). ``size`` is the words of a document (default: counted in ``text``). Null or empty texts have size 0 and give nothing; a null source is a source of its own,
     the last. Repeated rows are separate documents; equal keys are ordered by id, then size. An
     empty table gives no rows.
     """
     given = F.lit(1.0) if quality is None else quality.cast("double")
     worth = F.when((given > 0) & (given < float("inf")), given).otherwise(1.0)
     names = keep or []
-    sized = docs.select("doc_id", "source", *names, word_count(F.col("text")).alias("size"),
+    sized = docs.select("doc_id", "source", *names, (word_count(F.col("text")) if size is None else size).alias("size"),
                         (-F.log(uniform(F.col("doc_id").cast("string"), seed)) / worth).alias("key"))
     sized = stored(sized, "mix-sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))

@@ -64,5 +64,6 @@ counted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)
 SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken FROM counted""")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = label_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    weighted = label_weight(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(weighted, F.col("quality_weight"), F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
