@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, map_batches
+from fieldscan.llm.common import Columns, map_batches, stored
 
 #: The classifier is fitted on about so many labelled documents, chosen by a hash of their id.
-LEARN_DOCUMENTS = 40_000
+LEARN_DOCUMENTS = 20_000
 #: Longest n-gram, and the entries of words and n-grams that a model holds at most (most frequent first).
-ORDERS, WORD_ENTRIES, GRAM_ENTRIES = 4, 150_000, 100_000
+ORDERS, WORD_ENTRIES, GRAM_ENTRIES = 4, 60_000, 60_000
 #: Added to every count.
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -72,61 +72,65 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language: ``table[known[order, gram]]``; order 0 holds words."""
+    """Log frequencies by language, ``known[order][gram]``; order 0 holds words."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]]):
+    def __init__(self, langs: list[str], keys: list[tuple[int, str]], counts: np.ndarray):
+        """``counts``: one row per key, one column per language."""
         self.langs = langs
-        place = {lang: i for i, lang in enumerate(langs)}
-        entries: dict[tuple[int, str], np.ndarray] = {}
-        for lang, order, gram, n in rows:
-            entries.setdefault((order, gram), np.zeros(len(langs)))[place[lang]] += n
-        totals = np.zeros((ORDERS + 1, len(langs)))
-        sizes = np.zeros((ORDERS + 1, 1))
-        for (order, _), counts in entries.items():
-            totals[order] += counts
-            sizes[order] += 1
-        base = np.log(totals + SMOOTH * sizes + 1e-9)
-        self.known = {key: np.log(counts + SMOOTH) - base[key[0]] for key, counts in entries.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.known.get((0, word))
+        orders = np.array([order for order, _ in keys], int)
+        counts = np.asarray(counts, float).reshape(len(keys), len(langs))
+        table = np.log(counts + SMOOTH)
+        for order in range(ORDERS + 1):
+            rows = orders == order
+            table[rows] -= np.log(counts[rows].sum(axis=0) + SMOOTH * rows.sum() + 1e-9)
+        self.known: list[dict[str, tuple[float, ...]]] = [{} for _ in range(ORDERS + 1)]
+        for (order, gram), row in zip(keys, table.tolist(), strict=True):
+            self.known[order][gram] = tuple(row)
+
+    def word(self, word: str) -> tuple[float, ...]:
+        found = self.known[0].get(word)
         if found is not None:
             return found
+        marked = f"^{word}$"
         for order in range(ORDERS, 0, -1):
-            hits = [v for g in grams(word, order) if (v := self.known.get((order, g))) is not None]
+            get = self.known[order].get
+            hits = [v for i in range(len(marked) - order + 1) if (v := get(marked[i:i + order])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
+                return tuple([sum(column) / len(hits) for column in zip(*hits, strict=True)])
+        return (0.0,) * len(self.langs)
 
-    def token(self, token: str) -> np.ndarray:
+    def token(self, token: str) -> tuple[float, ...]:
         """Scores of a space-delimited token, and its number of letters."""
         words = LETTERS.findall(token.lower())
-        scores = sum((self.word(w) for w in words), np.zeros(len(self.langs)))
-        return np.append(scores, sum(map(len, words)))
+        if len(words) == 1:
+            return (*self.word(words[0]), len(words[0]))
+        scores = [self.word(w) for w in words] or [(0.0,) * len(self.langs)]
+        return (*[sum(column) for column in zip(*scores, strict=True)], sum(map(len, words)))
 
 
 def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS) -> Model:
     """Fit on about ``documents`` rows of (doc_id, text, lang); rows without text or lang teach nothing.
 
     Words and n-grams are counted by the executors; the driver receives the most frequent entries
-    only, at most WORD_ENTRIES + GRAM_ENTRIES per language set.
+    only, at most WORD_ENTRIES words and GRAM_ENTRIES n-grams.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = known.count()
     share = min(1.0, documents / max(rows, 1))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     parts = chosen.select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    counted = parts.mapInArrow(_count, "lang string, order int, gram string, n long") \
-        .groupBy("order", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    langs: set[str] = set()
-    found: list[tuple[str, int, str, int]] = []
-    for words, most in ((True, WORD_ENTRIES), (False, GRAM_ENTRIES)):
-        top = counted.filter((F.col("order") == 0) == F.lit(words)).orderBy(F.desc("total"), "order", "gram").limit(most)
-        for order, gram, _, by_lang in top.collect():
-            for lang, n in by_lang:
-                langs.add(lang)
-                found.append((lang, order, gram, n))
-    return Model(sorted(langs), found)
+    counted = stored(parts.mapInArrow(_count, "lang string, order int, gram string, n long"), "language-counts")
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    by_lang = F.array(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in langs])
+    grouped = counted.groupBy("order", "gram").agg(F.sum("n").alias("total"), by_lang.alias("counts")) if langs else None
+    keys: list[tuple[int, str]] = []
+    counts: list[np.ndarray] = []
+    for words, most in ((True, WORD_ENTRIES), (False, GRAM_ENTRIES)) if langs else ():
+        top = grouped.filter((F.col("order") == 0) == F.lit(words)).orderBy(F.desc("total"), "order", "gram").limit(most)
+        found = top.select("order", "gram", "counts").toArrow()
+        keys += zip(found["order"].to_pylist(), found["gram"].to_pylist(), strict=True)
+        counts.append(np.array(found["counts"].combine_chunks().flatten()).reshape(-1, len(langs)))
+    return Model(langs, keys, np.concatenate(counts) if counts else np.zeros((0, 0)))
 
 
 class _Remembered(dict):

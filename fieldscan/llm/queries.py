@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.llm import html, language, mixing, quality, token_counts
+from fieldscan.llm import bpe, html, language, mixing, quality, token_counts, token_files
 from fieldscan.llm.common import table
 from fieldscan.llm.registry import query
 
@@ -24,6 +24,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.rank_table(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))

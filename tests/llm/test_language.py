@@ -32,12 +32,11 @@ def test_hard_texts_and_no_other_inputs(spark):
 
 
 def test_backoff_uses_the_longest_known_order():
-    model = language.Model(["a", "b"], [("a", 0, "word", 5), ("b", 4, "^xyz", 3), ("a", 1, "x", 9), ("a", 3, "^wo", 1)])
-    assert (model.word("word") == model.known[0, "word"]).all()
-    assert (model.word("xyzq") == model.known[4, "^xyz"]).all()
-    assert (model.word("wot") == model.known[3, "^wo"]).all()
-    assert (model.word("axb") == model.known[1, "x"]).all()
-    assert not model.word("qq").any()
+    keys = [(0, "word"), (4, "^xyz"), (1, "x"), (3, "^wo")]
+    model = language.Model(["a", "b"], keys, [[5, 0], [0, 3], [9, 0], [1, 0]])
+    for word, key in (("word", (0, "word")), ("xyzq", (4, "^xyz")), ("wot", (3, "^wo")), ("axb", (1, "x"))):
+        assert model.word(word) == model.known[key[0]][key[1]]
+    assert model.word("qq") == (0.0, 0.0)
 
 
 def test_holding_out_follows_the_id():
