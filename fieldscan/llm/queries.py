@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.llm import bpe, html, language, mixing, quality, token_counts, token_files
+from fieldscan.llm import bpe, embeddings, html, language, minhash, mixing, quality, token_counts, token_files
 from fieldscan.llm.common import table
 from fieldscan.llm.registry import query
 
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +51,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def label_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with a quality weight: 2 if labelled good, 0.5 if labelled bad, 1 without a label."""
     truth = labels.filter("quality is not null and doc_id is not null") \
