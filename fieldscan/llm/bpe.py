@@ -18,7 +18,7 @@ import json
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -32,11 +32,11 @@ from fieldscan.llm.units import SPACES, units
 Ranks = dict[bytes, int]
 
 #: Units encoded ahead: the most frequent, so many at most, of so many bytes at most.
-TABLE_UNITS, UNIT_BYTES = 500_000, 48
+TABLE_UNITS, UNIT_BYTES = 300_000, 48
 #: Maps in the rank literal; each holds about three ranks for two slots.
 SLOTS = 1 << 15
 #: Distinct units counted in a task before they go to the shuffle.
-HELD = 400_000
+HELD = 200_000
 #: The public pattern with its white space written out, as Java's differs.
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]") \
     .replace(r"\s+(?!\S)", rf"[{SPACES}]+(?![^{SPACES}])").replace(r"|\s+", rf"|[{SPACES}]+")
@@ -147,29 +147,33 @@ class _Ids(dict):
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode_ordinary(unit))
 
 
-def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_UNITS) -> DataFrame:
-    """(doc_id, ids binary) of every row: ids of the whole text as little-endian 32-bit integers.
-
-    Null and empty texts have no ids. Special tokens are ordinary text. One row per input row; an
-    empty table gives no rows.
-    """
-    spark = docs.sparkSession
+def _mapped(docs: DataFrame, ranks: Ranks, most: int, schema: str, use: Callable[[Columns, list[bytes]], Columns]) -> DataFrame:
+    """Encode every text and apply ``use`` to the rows and their ids, in one pass over the documents."""
     found = frequent(stored(count_units(docs), "bpe-units"), most).select("unit")
     table = stored(encode_units(found, ranks), "bpe-table").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    sent, key = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks)), uuid.uuid4().hex
+    sent, key = docs.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks)), uuid.uuid4().hex
 
     def batch(rows: Columns) -> Columns:
         if _worker.get("key") != key:
+            _worker.clear()
             data, given = sent.value
             _worker.update(key=key, ids=_Ids(pa.ipc.open_stream(data).read_all(), given))
         known: _Ids = _worker["ids"]
-        return {"doc_id": rows["doc_id"], "ids": [b"".join(map(known.__getitem__, units(text or ""))) for text in rows["text"]]}
+        return use(rows, [b"".join(map(known.__getitem__, units(text or ""))) for text in rows["text"]])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-                       "doc_id long, ids binary", batch)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), schema, batch)
+
+
+def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_UNITS) -> DataFrame:
+    """(doc_id, ids binary) of every row: ids of the whole text as little-endian 32-bit integers.
+
+    Null and empty texts have no ids. Special tokens are ordinary text. One row per input row; an
+    empty table gives no rows.
+    """
+    return _mapped(docs, ranks, most, "doc_id long, ids binary", lambda rows, ids: {"doc_id": rows["doc_id"], "ids": ids})
 
 
 def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -184,14 +188,13 @@ def piece_list(ranks: Ranks) -> list[bytes]:
     return pieces
 
 
-def digests(encoded: DataFrame, ranks: Ranks) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of (doc_id, ids)."""
-    sent = encoded.sparkSession.sparkContext.broadcast(piece_list(ranks))
+def digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_UNITS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids."""
+    pieces = piece_list(ranks)
 
-    def batch(rows: Columns) -> Columns:
-        pieces = sent.value
-        return {"doc_id": rows["doc_id"], "n_tokens": [len(ids) // 4 for ids in rows["ids"]],
-                "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids in rows["ids"]],
-                "decoded_sha256": [hashlib.sha256(decoded(ids, pieces)).hexdigest() for ids in rows["ids"]]}
+    def use(rows: Columns, ids: list[bytes]) -> Columns:
+        return {"doc_id": rows["doc_id"], "n_tokens": [len(i) // 4 for i in ids],
+                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                "decoded_sha256": [hashlib.sha256(decoded(i, pieces)).hexdigest() for i in ids]}
 
-    return map_batches(encoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", batch)
+    return _mapped(docs, ranks, most, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", use)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.llm import bpe, embeddings, html, language, minhash, mixing, quality, token_counts, token_files
+from fieldscan.llm import bpe, embeddings, html, language, minhash, mixing, quality, repeats, token_counts, token_files
 from fieldscan.llm.common import table
 from fieldscan.llm.registry import query
 
@@ -32,7 +32,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.rank_table(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks)
+
+
+@query("op5_repeated_strings")
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
 
 
 @query("op6_token_files")

@@ -31,7 +31,7 @@ LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
 #: Ids of about so many per block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 #: Distinct units whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 
 _worker: dict = {}
 
@@ -44,18 +44,20 @@ def pack(ids: np.ndarray) -> bytes:
         return b""
     if int(ids.max()) >> 60:
         raise ValueError("An id has more than 60 bits")
-    width = np.searchsorted(LIMITS, ids)  # narrowest selector that holds each id
-    place = np.arange(n)
-    choice = np.full(n, len(WIDTHS) - 1, np.int64)
+    width = np.searchsorted(LIMITS, ids).astype(np.int8)  # narrowest selector that holds each id
+    choice = np.full(n, len(WIDTHS) - 1, np.int8)
     running, covered = width, 1  # widest need among the ids from each place on
     for selector in range(len(WIDTHS) - 1, -1, -1):
-        while covered < COUNTS[selector]:
+        while covered < min(COUNTS[selector], n):
             step = min(covered, COUNTS[selector] - covered)
-            running = np.maximum(running, running[np.minimum(place + step, n - 1)])
+            running[:n - step] = np.maximum(running[:n - step], running[step:])
             covered += step
-        fits = (running <= selector) & (place + COUNTS[selector] <= n)
-        choice[fits] = selector
-    jump = (place + np.asarray(COUNTS)[choice]).tolist()
+        whole = max(n - COUNTS[selector] + 1, 0)
+        fits = running[:whole] <= selector
+        if not fits.any():
+            break  # more ids in fewer bits fit nowhere either
+        choice[:whole][fits] = selector
+    jump = (np.arange(n) + np.asarray(COUNTS)[choice]).tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -99,7 +101,7 @@ class _Ids(dict):
         self.tokenizer.encode_special_tokens = True
 
     def learn(self, found: set[str]) -> None:
-        new = [u for u in found if u not in self]
+        new = list(found - self.keys())
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             for unit, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -125,7 +127,7 @@ def encoded(texts: list[str | None], tokenizer_file: str, end_id: int) -> Iterat
     end = np.asarray([end_id], "<u4").tobytes()
     for at in range(0, len(texts), 256):
         cut = [units(text or "") for text in texts[at:at + 256]]
-        known.learn({u for doc in cut for u in doc})
+        known.learn(set().union(*cut))
         for doc in cut:
             yield np.frombuffer(b"".join(map(known.__getitem__, doc)) + end, "<u4")
         known.trim()
