@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side of a join is broadcast only when its measured rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
 
 Columns = dict[str, list]
 
@@ -65,16 +63,6 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(schema))
 
 
-def fits_broadcast(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a stored frame's counted rows, at the given width, stay below the limit."""
-    return frame.count() * row_bytes <= limit
-
-
-def checked_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
-    """Join with the right side broadcast if its measured size allows, else by shuffle."""
-    return left.join(F.broadcast(right) if fits_broadcast(right, row_bytes) else right, on, how)
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(id, component_id) of every id that occurs in ``edges`` (u, v); the component is its smallest id.
 

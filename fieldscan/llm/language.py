@@ -159,8 +159,8 @@ class _Remembered(dict):
             self.used = REMEMBERED
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of (doc_id, text), by text alone.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score), and columns ``keep``, of every row of (doc_id, text), by text alone.
 
     ``score`` is the posterior of the predicted language under equal priors. Null texts and texts
     without a letter are ``und`` with score 0; so is everything if the model has learned no
@@ -185,7 +185,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names.append(langs[best])
                 scores.append(float(1 / np.exp(np.minimum(0, sums[:-1] - sums[best])).sum()))
             tokens.trim()
-        return {"doc_id": rows["doc_id"], "lang_pred": names, "score": scores}
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-                       "doc_id long, lang_pred string, score double", batch)
+        return {**rows, "lang_pred": names, "score": scores}
+
+    more = [docs.schema[c] for c in keep or [] if c not in ("doc_id", "text")]
+    schema = "doc_id long, text string, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
+    if "text" not in (keep or []):
+        schema = schema.replace("text string, ", "")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[f.name for f in more])
+    return map_batches(narrow, schema, batch)

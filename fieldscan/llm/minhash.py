@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, checked_join, components, map_batches, stored
+from fieldscan.llm.common import Columns, components, map_batches, stored
 
 SHINGLE = 5
 #: Documents are linked when intersection * 100 >= PERCENT * union.
@@ -139,13 +139,12 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (u, v) of the pairs whose full sets are similar enough.
 
-    Sets are derived again for the documents in question only; they are looked up by a broadcast of
-    the ids where their counted size allows, else by a shuffle.
+    Sets are derived again for the documents in question only, found by a shuffle join on the id.
     """
     pairs = stored(pairs, "minhash-pairs")
     wanted = stored(pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct(), "minhash-wanted")
-    texts = checked_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-                         wanted, "doc_id", "left_semi", 16)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .join(wanted, "doc_id", "left_semi")
 
     def sets(rows: Columns) -> Columns:
         found = [shingles(text) for text in rows["text"]]

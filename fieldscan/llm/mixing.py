@@ -103,8 +103,6 @@ def copies(mixed: DataFrame) -> DataFrame:
     times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     repeated = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter("taken > 0")
     words = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    spaced = F.lit(r"[\x20\x09-\x0D]*")
-    pattern = F.concat(F.lit("^"), spaced, F.lit("(?:[^\\x20\\x09-\\x0D]++"), spaced, F.lit("){"),
-                       words.cast("string"), F.lit("}"))
-    first = F.regexp_substr("text", pattern)
-    return repeated.withColumn("text", F.when(words >= F.col("size"), F.col("text")).otherwise(F.rtrim(first))).drop("copy")
+    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    first = F.array_join(F.slice(parts, 1, F.greatest(words, F.lit(0)).cast("int")), "")
+    return repeated.withColumn("text", F.when(words >= F.col("size"), F.col("text")).otherwise(first)).drop("copy")

@@ -9,10 +9,10 @@ anchors at equal places. Consecutive windows with one anchor form a segment of t
    window. Such segments, with one example of each folded kind, are dealt by anchor. In a task they
    form shards of bounded size. Each shard's Burrows-Wheeler transform is sorted alone; the shards
    are then merged by refining their interleave: in every round the symbols before the suffixes, in
-   merged order, are sorted stably and carry the shard numbers with them, so that after ``h`` rounds
-   the interleave is right to ``h`` symbols, and places where symbol or interval change bound
-   the intervals of equal prefixes. No suffix is sorted again. The intervals left at depth LENGTH
-   that hold two or more suffixes are the repeated windows. A symbol is two bytes, so that 100
+   merged order, are sorted stably and lead to the suffixes that start with them, so that after
+   ``h`` rounds the interleave is right to ``h`` symbols, and places where symbol or interval change
+   bound the intervals of equal prefixes. No suffix is sorted again. The intervals left at depth
+   LENGTH that hold two or more suffixes are the repeated windows. A symbol is two bytes, so that 100
    rounds reach 200 bytes.
 3. An anchor with very many segments is dealt to several tasks by salt; there each interval of
    windows that its task saw once, and one window of each repeated interval, meets the other tasks'
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, fits_broadcast, map_batches, stored
+from fieldscan.llm.common import Columns, map_batches, stored
 
 #: Bytes of a string; bytes of a k-gram.
 LENGTH, GRAM = 200, 32
@@ -121,57 +121,65 @@ def found_segments(docs: DataFrame) -> DataFrame:
 
 
 def transform(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, symbols before each suffix in that order, places) of a shard.
+    """A shard's transform: (order, symbols, back).
 
     The shard's segments are cyclic, each with its end mark. ``order`` sorts their rotations by
-    LENGTH bytes at least, found by doubling; a symbol is the two bytes before a rotation.
+    LENGTH bytes at least, found by doubling. A symbol is the two bytes before a rotation, and
+    ``back`` the place in the order of the rotation that starts with them.
     """
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(parts), np.uint8)
     start, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
     offset = np.arange(len(data)) - start
-    rank = data.astype(np.int64)
-    depth = 1
-    while depth < LENGTH:
-        ahead = rank[start + (offset + depth) % size]
-        pair = rank * (int(ahead.max()) + 1) + ahead
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        new = np.empty(len(data), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank, depth = new, depth * 2
-    order = np.argsort(rank, kind="stable")
-    before = data[start + (offset - 2) % size].astype(np.uint16) << np.uint16(8) | data[start + (offset - 1) % size]
-    return order, before[order], order
-
-
-def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, place within the shard's order, interval) of all suffixes, merged to LENGTH bytes.
-
-    Refines the interleave of the shards' transforms, two bytes a round.
+    packed = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        packed = packed << np.uint64(8) | data[start + (offset + k) % size]
+    keys, depth = packed, 8
+    while True:
+        order = np.argsort(keys)
+        ordered = keys[order]
+        rank = np.empty(len(data), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        if depth >= LENGTH:
+            break
+        keys = rank * len(data) + rank[start + (offset + depth) % size]
+        depth *= 2
+    place = np.empty(len(data), np.int64)
+    place[order] = np.arange(len(data))
+    earlier = start + (offset - 2) % size
+    symbols = data[earlier].astype(np.uint16) << np.uint16(8) | data[start + (offset - 1) % size]
+    return order, symbols[order], place[earlier][order]
+
+
+def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For every shard, by place in its order, the interval of a rotation among all, to LENGTH bytes.
+
+    Refines the interleave of the shards' transforms, two bytes a round: the interleave is a list of
+    places, each shard's in its own order; the symbols at these places, sorted stably, give the
+    interleave of the places they lead back to, right to two bytes more. Where symbol or interval
+    change, an interval ends. A rotation alone in its interval stays alone, and so does the one it
+    leads back to, so neither is carried further; its interval is a number of its own below 0.
     """
-    sizes = [len(s[0]) for s in shards]
+    starts = np.cumsum([0, *[len(s[0]) for s in shards]])
     symbols = np.concatenate([s[1] for s in shards])
-    owner = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    interval = np.zeros(len(owner), np.int32)
-    merged = np.empty(len(owner), np.uint16)
-    known = 0
+    back = np.concatenate([s[2] + at for s, at in zip(shards, starts.tolist(), strict=False)]).astype(np.int32)
+    places = np.arange(len(symbols), dtype=np.int32)
+    interval = np.zeros(len(symbols), np.int32)
     for _ in range(LENGTH // 2):
-        merged[np.argsort(owner, kind="stable")] = symbols
+        merged = symbols[places]
         turn = np.argsort(merged, kind="stable")
-        owner, ordered, carried = owner[turn], merged[turn], interval[turn]
-        new = np.empty(len(owner), bool)
-        new[0] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        new[1:] |= carried[1:] != carried[:-1]
-        interval = np.cumsum(new, dtype=np.int32)
-        if interval[-1] == known:
-            break  # a round without a new border is followed by none
-        known = int(interval[-1])
-    place = np.empty(len(owner), np.int64)
-    place[np.argsort(owner, kind="stable")] = np.concatenate([np.arange(n) for n in sizes])
-    return owner, place, interval
+        places, ordered, carried = back[places][turn], merged[turn], interval[turn]
+        border = np.ones(len(places) + 1, bool)
+        border[1:-1] = (ordered[1:] != ordered[:-1]) | (carried[1:] != carried[:-1])
+        interval = np.cumsum(border[:-1], dtype=np.int32)
+        shared = ~(border[:-1] & border[1:])
+        places, interval = places[shared], interval[shared]
+        if not len(places):
+            break
+    found = -1 - np.arange(len(symbols))
+    found[places] = interval
+    return [found[a:b] for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
 
 
 def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
@@ -179,21 +187,18 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
 
     Equal windows, and only they, have equal intervals.
     """
-    shards, members, held, size = [], [], [], 0
+    members, held, size = [], [], 0
     for i, text in enumerate(texts):
         held.append(i)
         size += len(text)
         if size >= SHARD or i == len(texts) - 1:
             members.append(held)
             held, size = [], 0
-    for own in members:
-        shards.append(transform([texts[i] + END for i in own]))
-    owner, place, interval = merged_intervals(shards)
+    shards = [transform([texts[i] + END for i in own]) for own in members]
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    for k, own in enumerate(members):
-        mine = owner == k
-        by_place = np.empty(len(shards[k][0]), np.int64)
-        by_place[shards[k][0][place[mine]]] = interval[mine]
+    for own, (order, _, _), interval in zip(members, shards, merged_intervals(shards), strict=True):
+        by_place = np.empty(len(order), np.int64)
+        by_place[order] = interval
         at = 0
         for i in own:
             out[i] = by_place[at:at + len(texts[i]) - LENGTH + 1]
@@ -257,8 +262,7 @@ def spans(docs: DataFrame) -> DataFrame:
         F.when(salted, F.pmod(F.xxhash64("digest"), F.ceil(F.col("kinds") / SEGMENTS))).otherwise(0).alias("salt"))
     wanted = stored(open_kinds, "repeat-open")
     per_text = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "salted", "first", "salt")).alias("wanted"))
-    small = fits_broadcast(wanted, 48)
-    texts = docs.join(F.broadcast(per_text) if small else per_text, "row")
+    texts = docs.join(per_text, "row")
 
     def cut(rows: Columns) -> Columns:
         out: Columns = {c: [] for c in ("anchor", "salted", "salt", "row", "first", "text")}
@@ -296,8 +300,7 @@ def kept(docs: DataFrame, keep: list[str], schema: str, use) -> DataFrame:
         numbered = stored(texts.withColumn("row", F.monotonically_increasing_id()), "repeat-texts")
     out = spans(numbered.select("row", "text"))
     per_text = stored(out.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeat-spans")
-    few = fits_broadcast(per_text, 32 + 16 * 24)
-    joined = numbered.join(F.broadcast(per_text) if few else per_text, "row", "left")
+    joined = numbered.join(per_text, "row", "left")
 
     def batch(rows: Columns) -> Columns:
         done = []
