@@ -42,9 +42,8 @@ def fingerprint(fields: dict[str, Column]) -> Column:
 
 
 def canonical_json_hash(text: Column) -> Column:
-    """SHA-256 of a flat JSON object after sorting its keys; transport neutral."""
-    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    return F.sha2(F.to_json(F.map_from_entries(entries)), 256)
+    """SHA-256 of a JSON document with keys sorted at every depth and types kept; invalid JSON fails."""
+    return F.sha2(F.to_json(F.parse_json(text)), 256)
 
 
 def canonical_text_hash(text: Column) -> Column:

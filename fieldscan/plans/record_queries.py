@@ -175,12 +175,14 @@ def scrubbed_messages(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", T.scrub_credentials(F.concat(F.lit("failed: "), "url", F.lit(" (retry)"))).alias("message"))
 
 
-@query("json_fingerprints", """SELECT event_id, sha256('{"k":"' || json_extract_string(props, '$.k') || '"}') AS semantic,
+@query("json_fingerprints", """SELECT event_id,
+  sha256('{"a":{"k":' || event_id || ',"u":"' || event_type || '"},"z":{"k":' || json_extract(props, '$.k')::VARCHAR || '}}') AS semantic,
   sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS keyed FROM events""")
 def json_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     keyed = T.fingerprint({"user_id": F.col("user_id"), "event_id": F.col("event_id"), "event_type": F.col("event_type")})
-    return e.select("event_id", T.canonical_json_hash(F.col("props")).alias("semantic"), keyed.alias("keyed"))
+    nested = F.concat(F.lit('{"z": '), "props", F.lit(', "a": {"u": "'), "event_type", F.lit('", "k": '), F.col("event_id").cast("string"), F.lit("}}"))
+    return e.select("event_id", T.canonical_json_hash(nested).alias("semantic"), keyed.alias("keyed"))
 
 
 @query("document_manifest", """WITH a AS (SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS h FROM documents WHERE lang <> 'de'),

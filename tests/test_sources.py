@@ -129,3 +129,14 @@ def test_sensor_rule_on_a_stream(spark, tmp_path):
     streamed = sorted(r["usable"] for r in spark.table("usable").collect())
     assert streamed == [False, False, True]
     assert sorted(r["usable"] for r in sensors.mark_usable(readings, as_of).collect()) == streamed
+
+
+def test_json_digest_sorts_every_depth_and_keeps_types(spark):
+    from pyspark.sql import functions as F
+
+    from fieldscan.functions.text import canonical_json_hash
+    texts = ['{"a":{"x":1,"y":[2,3]},"b":1}', '{"b": 1, "a": {"y": [2, 3], "x": 1}}', '{"a":{"x":1,"y":[2,3]},"b":"1"}', '{"a":{"x":1,"y":[3,2]},"b":1}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical_json_hash(F.col("t")).alias("h")).collect()
+    digest = {r.i: r.h for r in rows}
+    assert digest[0] == digest[1]
+    assert len(set(digest.values())) == 3
