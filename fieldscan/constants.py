@@ -43,7 +43,6 @@ BASELINE_REASON = "Too few prior dates or nearest usable acquisition is more tha
 
 # --- fixed values: anomaly model --------------------------------------------
 MODEL_SEED = 813
-FIT_SAMPLE_CAP = 20_000
 EXPORT_SAMPLE_SIZE = 2_048
 PCA_VARIANCE = 0.99
 FOREST_TREES = 200

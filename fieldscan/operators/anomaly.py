@@ -1,29 +1,34 @@
 """Unsupervised spectral anomaly score, one model per scene.
 
-Scenes are independent populations, so every step is keyed by scene. Fitting
-touches a sample of bounded size; scoring meets each scene's model in chunks of
-bounded size, so a scene holding most of the rows still spreads over the cluster.
+Scenes are independent populations, so every step is keyed by scene. Scaler and components
+come from sums over all rows, the trees from their own draws out of all rows; scoring meets each
+scene's model in chunks of bounded size, so a scene holding most of the rows still spreads over
+the cluster.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldscan import constants as C
 from fieldscan.operators.lookup import lookup_join
 from fieldscan.operators.quantiles import join_groups, robust_statistics
 from fieldscan.operators.ranks import spearman
-from fieldscan.operators.sampling import exact_sample_by
 from fieldscan.session import checkpointed
 
 CHUNK_ROWS = 50_000
 TREES_PER_GROUP = 20
+#: Groups whose partial matrices a task keeps before it hands them on.
+GROUPS_HELD = 64
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -60,47 +65,87 @@ def _standardized(pdf: pd.DataFrame, model: pd.Series) -> np.ndarray:
     return (values - np.asarray(model["mean"], dtype=float)) / np.asarray(model["scale"], dtype=float)
 
 
-def fit_components(sample: DataFrame, scaler: DataFrame, keys: list[str],
+def band_covariance(spectra: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, n, covariance) of the bands i >= j over all rows, as population covariance.
+
+    Each task folds its rows to one centred product matrix per group, so what is shuffled grows
+    with the tasks and the squared number of bands, not with the rows.
+    """
+    schema = T.StructType([*[spectra.schema[k] for k in keys], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+                           T.StructField("n", T.LongType()), T.StructField("mean_i", T.DoubleType()),
+                           T.StructField("mean_j", T.DoubleType()), T.StructField("product", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def rows_of(key: tuple, part: tuple) -> pa.RecordBatch:
+        n, mean, product = part
+        i, j = np.tril_indices(len(mean))
+        columns = [*[pa.array([k] * len(i), arrow.field(at).type) for at, k in enumerate(key)], pa.array(i, pa.int32()),
+                   pa.array(j, pa.int32()), pa.array(np.full(len(i), n), pa.int64()), pa.array(mean[i]), pa.array(mean[j]),
+                   pa.array(product[i, j])]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            places: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True)):
+                places.setdefault(key, []).append(at)
+            spectrum = batch.column(len(keys))
+            starts, flat = spectrum.offsets.to_numpy(), spectrum.values.to_numpy(zero_copy_only=False)
+            for key, at in places.items():
+                size = starts[at[0] + 1] - starts[at[0]]
+                values = flat[starts[at][:, None] + np.arange(size)]
+                mean = values.mean(axis=0)
+                part = (len(at), mean, (values - mean).T @ (values - mean))
+                held[key] = _combined(held[key], part) if key in held else part
+            if len(held) > GROUPS_HELD:
+                yield from (rows_of(key, part) for key, part in held.items())
+                held.clear()
+        yield from (rows_of(key, part) for key, part in held.items())
+
+    weighted = {c: F.sum(F.col("n") * F.col(c)) for c in ("mean_i", "mean_j")}
+    between = F.sum(F.col("n") * F.col("mean_i") * F.col("mean_j")) - weighted["mean_i"] * weighted["mean_j"] / F.sum("n")
+    return spectra.select(*keys, F.col("spectrum").cast("array<double>").alias("spectrum")).mapInArrow(fold, schema) \
+        .groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), ((F.sum("product") + between) / F.sum("n")).alias("covariance"))
+
+
+def _combined(one: tuple, two: tuple) -> tuple:
+    """Row count, mean and centred product matrix of two sets of rows together."""
+    n, apart = one[0] + two[0], two[1] - one[1]
+    return n, one[1] + apart * (two[0] / n), one[2] + two[2] + np.outer(apart, apart) * (one[0] * two[0] / n)
+
+
+def fit_components(spectra: DataFrame, scaler: DataFrame, keys: list[str],
                    variance: float = C.PCA_VARIANCE) -> DataFrame:
-    """Scaler rows plus components[][] and variance ratios.
+    """Scaler rows plus components[][] and variance ratios, from all rows.
 
-    Keeps the smallest number of components whose cumulative ratio is strictly
-    above ``variance``. A group is one scene's fitting sample, at most the cap.
+    Keeps the smallest number of components whose cumulative ratio is strictly above ``variance``.
+    A task meets one group's covariance matrix, never its rows.
     """
-    schema = T.StructType([*[sample.schema[k] for k in keys],
+    schema = T.StructType([*[spectra.schema[k] for k in keys],
                            T.StructField("components", T.ArrayType(T.ArrayType(T.DoubleType()))),
                            T.StructField("ratios", T.ArrayType(T.DoubleType()))])
 
-    def components(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        scaled = _standardized(left, right.iloc[0])
-        spread, axes = np.linalg.eigh(scaled.T @ scaled / len(scaled))
+    def components(cells: pd.DataFrame) -> pd.DataFrame:
+        i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
+        matrix = np.zeros((i.max() + 1, i.max() + 1))
+        matrix[i, j] = matrix[j, i] = cells["covariance"].to_numpy()
+        scale = np.sqrt(np.diag(matrix))
+        if not (scale > 0).all():
+            raise ValueError("a fitting band has zero variance")
+        spread, axes = np.linalg.eigh(matrix / np.outer(scale, scale))
         spread, axes = np.clip(spread[::-1], 0, None), axes[:, ::-1].T
         ratios = spread / spread.sum()
         kept = int(np.searchsorted(np.cumsum(ratios), variance, side="right")) + 1
         axes = axes[:kept] * np.sign(axes[np.arange(kept), np.abs(axes[:kept]).argmax(axis=1)])[:, None]
-        out = right[keys].iloc[[0]].copy()
+        out = cells[keys].iloc[[0]].copy()
         out["components"], out["ratios"] = [axes.tolist()], [ratios[:kept].tolist()]
         return out
 
-    fitted = sample.groupBy(*keys).cogroup(_renewed(scaler).groupBy(*keys)).applyInPandas(components, schema)
+    fitted = band_covariance(spectra, keys).groupBy(*keys).applyInPandas(components, schema)
     return join_groups(scaler, fitted, keys, "inner")
 
 
-def embed_sample(sample: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pixel_id, point[]): the fitting sample in component space."""
-    schema = T.StructType([*[sample.schema[f] for f in (*keys, "pixel_id")],
-                           T.StructField("point", T.ArrayType(T.DoubleType()))])
-
-    def embed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        model_row = right.iloc[0]
-        axes = np.asarray(model_row["components"].tolist(), dtype=float)
-        out = left[[*keys, "pixel_id"]].copy()
-        out["point"] = (_standardized(left, model_row) @ axes.T).tolist()
-        return out
-
-    return sample.groupBy(*keys).cogroup(_renewed(model).groupBy(*keys)).applyInPandas(embed, schema)
-
-
 def grow_tree(points: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
     """One isolation tree as parallel node arrays; feature -1 marks a leaf."""
     nodes = {"feature": [], "threshold": [], "left": [], "right": [], "size": []}
@@ -133,50 +178,63 @@ def average_path(size: np.ndarray | int) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, deep))
 
 
-def fit_forest(embedded: DataFrame, keys: list[str], trees: int = C.FOREST_TREES,
-               samples: int = C.FOREST_SAMPLES, seed: int = C.MODEL_SEED) -> DataFrame:
-    """(keys, trees[], sample_size): isolation trees grown in parallel.
+def drawn_rows(spectra: DataFrame, keys: list[str], trees: int, samples: int, seed: int) -> DataFrame:
+    """(keys, pixel_id, spectrum, tree, population): for each tree ``samples`` rows of the whole group, all of a smaller one.
 
-    Every row draws a hash per tree and few survive the first cut, from which
-    exactly ``samples`` rows per tree are kept by hash order: no replacement,
-    and the same rows under any partitioning.
+    Every row draws a hash per tree; only rows with a surviving draw leave the scan, about four
+    times as many as needed, of which exactly ``samples`` stay by hash order: no replacement, and
+    the same rows under any partitioning. Fewer survivors than needed fail the job (at 256 samples
+    the odds are below 1e-150 a tree).
     """
-    sizes = embedded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = join_groups(embedded, sizes, keys, "inner").withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) \
-        .withColumn("_draw", F.xxhash64(F.lit(seed), "tree", "pixel_id")) \
-        .where(F.pmod("_draw", "_n") < 4 * samples)
+    sizes = checkpointed(spectra.groupBy(*keys).agg(F.count(F.lit(1)).alias("population")))
+    known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("population").alias("weight")).first()
+    counted = lookup_join(spectra.select(*keys, "pixel_id", "spectrum"), sizes, keys, "population",
+                          known["groups"], known["weight"] or 0)
+
+    def draw(tree: Column) -> Column:
+        return F.xxhash64(F.lit(seed), tree, F.col("pixel_id"))
+
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(draw(tree), F.col("population")) < 4 * samples)
+    draws = counted.withColumn("_trees", chosen).where(F.size("_trees") > 0) \
+        .select("*", F.explode("_trees").alias("tree")).drop("_trees").withColumn("_draw", draw(F.col("tree")))
     order = Window.partitionBy(*keys, "tree").orderBy("_draw", "pixel_id")
-    drawn = draws.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= samples)
+    return draws.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= samples).drop("_draw", "_place")
+
+
+def fit_forest(spectra: DataFrame, model: DataFrame, keys: list[str], trees: int = C.FOREST_TREES,
+               samples: int = C.FOREST_SAMPLES, seed: int = C.MODEL_SEED) -> DataFrame:
+    """(keys, trees[], sample_size): isolation trees in component space, grown TREES_PER_GROUP to a task."""
+    part = F.floor(F.col("tree") / TREES_PER_GROUP)
+    drawn = drawn_rows(spectra, keys, trees, samples, seed).withColumn("part", part)
+    last = (trees - 1) // TREES_PER_GROUP
+    copies = model.select(*keys, "mean", "scale", "components", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("part"))
     node = T.StructType([
-        *[embedded.schema[k] for k in keys], T.StructField("tree", T.IntegerType()),
+        *[spectra.schema[k] for k in keys], T.StructField("tree", T.IntegerType()),
         T.StructField("sample_size", T.LongType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
         T.StructField("threshold", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
         T.StructField("right", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType()))])
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        wanted = min(samples, int(pdf["_n"].iloc[0]))
-        height = max(1, math.ceil(math.log2(wanted)))
+    def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for tree, drawn_rows in pdf.sort_values(["tree", "pixel_id"]).groupby("tree"):
-            if len(drawn_rows) != wanted:
-                raise ValueError(f"a tree drew {len(drawn_rows)} of {wanted} rows")
-            points = np.asarray(drawn_rows["point"].tolist(), dtype=float)
-            nodes = grow_tree(points, np.random.default_rng([seed, int(tree)]), height)
-            out.append({**{k: pdf[k].iloc[0] for k in keys}, "tree": int(tree), "sample_size": wanted, **nodes})
+        for tree, rows in left.sort_values(["tree", "pixel_id"]).groupby("tree"):
+            wanted = min(samples, int(rows["population"].iloc[0]))
+            if len(rows) != wanted:
+                raise ValueError(f"a tree drew {len(rows)} of {wanted} rows")
+            points = _standardized(rows, right.iloc[0]) @ np.asarray(right.iloc[0]["components"].tolist(), dtype=float).T
+            nodes = grow_tree(points, np.random.default_rng([seed, int(tree)]), max(1, math.ceil(math.log2(wanted))))
+            out.append({**{k: rows[k].iloc[0] for k in keys}, "tree": int(tree), "sample_size": wanted, **nodes})
         return pd.DataFrame(out)
 
-    grown = drawn.groupBy(*keys, F.floor(F.col("tree") / TREES_PER_GROUP)).applyInPandas(grow, node)
+    by = [*keys, "part"]
+    grown = drawn.groupBy(*by).cogroup(_renewed(copies).groupBy(*by)).applyInPandas(grow, node)
     return grown.groupBy(*keys).agg(F.max("sample_size").alias("sample_size"), F.array_sort(F.collect_list(
         F.struct("tree", "feature", "threshold", "left", "right", "size"))).alias("trees"))
 
 
-def fit_anomaly(spectra: DataFrame, keys: list[str], cap: int = C.FIT_SAMPLE_CAP, seed: int = C.MODEL_SEED,
-                trees: int = C.FOREST_TREES) -> DataFrame:
-    """One model row per scene. Only spectra enter; no label, score or weight can."""
-    sample = checkpointed(exact_sample_by(spectra.select(*keys, "pixel_id", "spectrum"), keys, "pixel_id", cap, seed))
-    model = checkpointed(fit_components(sample, fit_scaler(sample, keys), keys))
-    return checkpointed(join_groups(model, fit_forest(embed_sample(sample, model, keys), keys, trees, seed=seed), keys, "inner"))
+def fit_anomaly(spectra: DataFrame, keys: list[str], seed: int = C.MODEL_SEED, trees: int = C.FOREST_TREES) -> DataFrame:
+    """One model row per scene, fitted on all its rows. Only spectra enter; no label, score or weight can."""
+    model = checkpointed(fit_components(spectra, fit_scaler(spectra, keys), keys))
+    return checkpointed(join_groups(model, fit_forest(spectra, model, keys, trees, seed=seed), keys, "inner"))
 
 
 def score_points(points: np.ndarray, trees: list, sample_size: int) -> np.ndarray:

@@ -212,6 +212,18 @@ def strongest_spectra_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return bands.with_gaps(curve, ["group_id", "index_name"], "reflectance").withColumn("reflectance", r(F.col("reflectance")))
 
 
+@query("band_covariance", f"""WITH {SPECTRA}, {COMPLETE},
+rows AS (SELECT s.group_id, s.pixel_id, s.band_index, v FROM shifted s JOIN complete c USING (group_id, pixel_id) JOIN kept USING (group_id, band_index)),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY band_index) - 1 AS position FROM rows)
+SELECT a.group_id, a.position::BIGINT AS i, b.position::BIGINT AS j, count(*) AS fit_rows, round(covar_pop(a.v, b.v), 8) + 0e0 AS covariance
+FROM placed a JOIN placed b ON a.group_id = b.group_id AND a.pixel_id = b.pixel_id AND b.position <= a.position GROUP BY ALL""")
+def band_covariance(spark: SparkSession, folder: str) -> DataFrame:
+    scan = scanned(spark, folder, shift=0.3)
+    matrix = anomaly.band_covariance(anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP), GROUP)
+    return matrix.select("group_id", big(F.col("i")).alias("i"), big(F.col("j")).alias("j"), F.col("n").alias("fit_rows"),
+                         r(F.col("covariance"), 8).alias("covariance"))
+
+
 def model_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """All-positive spectra, so every vector is complete; kept, as fitting and scoring both read them."""
     scan = scanned(spark, folder, shift=1.0)
