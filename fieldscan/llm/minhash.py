@@ -9,8 +9,9 @@ Buckets are not paired out. First each bucket's most central member (the one wit
 mates overall) is compared with the others; then only members whose components still differ are
 compared, in small buckets by a join, in large ones tile by tile, each pair once, in the first
 bucket it shares. All links are confirmed on full shingle sets. The result is exact for all pairs
-within the signature distance; a pair at the similarity threshold misses it with probability below
-1e-6 (and then only if no chain of other links joins it).
+within the signature distance and for those further apart that share a bucket; a pair at the
+similarity threshold shares none with probability below 1e-6 (and is then missed only if no chain
+of other links joins it).
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ CHUNKS, CHUNK, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * CHUNK
 #: Pairs within this signature distance surely share a bucket.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Pairs that share a bucket are confirmed up to this distance: a pair at the threshold (40 symbols, each wrong
+#: with probability 0.15) lies beyond it with probability below 1e-6.
+CONFIRM_DISTANCE = 20
 #: Buckets up to this size are joined with themselves; larger ones go tile by tile.
 SMALL, TILE = 32, 1024
 #: Distinct words whose hashes a Python worker remembers.
@@ -124,11 +128,11 @@ def _sizes_allow() -> Column:
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, ra, rb) whose signatures are within DISTANCE."""
+    """Pairs (a, b, ra, rb) whose signatures are within CONFIRM_DISTANCE."""
     def batch(rows: Columns) -> Columns:
         left = np.frombuffer(b"".join(rows["sa"]), "<u2").reshape(-1, SYMBOLS)
         right = np.frombuffer(b"".join(rows["sb"]), "<u2").reshape(-1, SYMBOLS)
-        near = np.flatnonzero((left != right).sum(axis=1) <= DISTANCE)
+        near = np.flatnonzero((left != right).sum(axis=1) <= CONFIRM_DISTANCE)
         return {c: [rows[c][i] for i in near] for c in ("a", "b", "ra", "rb")}
 
     own = classes.select("digest", "signature")
@@ -188,7 +192,7 @@ def _tiles(members: DataFrame) -> DataFrame:
         for x in first:
             y = second[(comp[second] != comp[x]) & (100 * np.minimum(n[second], n[x]) >= PERCENT * np.maximum(n[second], n[x]))]
             y = y[y > x] if within else y
-            y = y[(signs[y] != signs[x]).sum(axis=1) <= DISTANCE]
+            y = y[(signs[y] != signs[x]).sum(axis=1) <= CONFIRM_DISTANCE]
             if len(y):
                 same = keys[y] == keys[x]
                 out += [(x, z) for z in y[keys[x][same.argmax(axis=1)] == key]]
