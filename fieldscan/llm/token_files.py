@@ -11,6 +11,7 @@ and read alone. Decoding handles all words of one selector at a time.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldscan.llm.common import Columns, map_batches, shared_folder, stored
-from fieldscan.llm.units import units
+from fieldscan.llm.units import SPACES, units
 
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = tuple(60 // w for w in WIDTHS)
@@ -32,6 +33,9 @@ LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
 BLOCK_IDS = 1 << 17
 #: Distinct units whose ids a Python worker remembers.
 REMEMBERED = 700_000
+#: Units encoded as one text.
+JOINED = 256
+SPACE_WORD = re.compile(rf" [^{SPACES}]+")
 
 _worker: dict = {}
 
@@ -92,16 +96,43 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class _Ids(dict):
-    """Unit to its ids as little-endian bytes, filled by the tokenizer in batches."""
+    """Unit to its ids as little-endian bytes, filled by the tokenizer.
+
+    A space and a word is cut from what follows it, so such units are encoded JOINED at a time as one
+    text, and its ids are dealt out by the bytes they stand for. Other units are encoded one by one.
+    """
 
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        count = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a byte-level token has one character per byte
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(count)])
 
     def learn(self, found: set[str]) -> None:
-        new = list(found - self.keys())
+        new = found - self.keys()
+        words = [u for u in new if SPACE_WORD.fullmatch(u)]
+        for at in range(0, len(words), JOINED):
+            self._joined(words[at:at + JOINED])
+        self._apart([u for u in new if u not in self])
+
+    def _joined(self, part: list[str]) -> None:
+        """Learn the units of ``part``; none if ids and bytes do not meet at every unit's end."""
+        encoded = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0]
+        ids = np.asarray(encoded.ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in part])
+        stops = np.searchsorted(ends, wanted) + 1
+        if stops[-1] != len(ids) or (ends[stops - 1] != wanted).any():
+            return
+        data, start = ids.tobytes(), 0
+        for unit, stop in zip(part, (stops * 4).tolist(), strict=True):
+            self[unit] = data[start:stop]
+            start = stop
+
+    def _apart(self, new: list[str]) -> None:
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             for unit, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

@@ -20,13 +20,6 @@ def units(text: str) -> list[str]:
     """The units of a text in order; joined they give the text."""
     if not text:
         return []
-    if IRREGULAR.search(text):
+    if IRREGULAR.search(text) or "\0" in text:
         return [u for u in CUT.split(text) if u]
-    found: list[str] = []
-    for line in text.split("\n"):
-        if found:
-            found.append("\n")
-        first, *rest = line.split(" ")
-        found.append(first)
-        found += [" " + word for word in rest]
-    return found
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
