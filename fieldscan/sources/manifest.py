@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan.functions.text import canonical_json_hash, canonical_text_hash
 
 
+def _below(root: str) -> Column:
+    """A file's path below ``root``, so that equal names in two folders stay apart; the root itself, if a file, by its name."""
+    folder = root.split(":", 1)[-1].rstrip("/") + "/"
+    at = F.instr("path", folder)
+    return F.when(at > 0, F.substring("path", at + len(folder), F.length("path"))).otherwise(F.substring_index("path", "/", -1))
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, size_bytes, sha256) of every file; files are digested in parallel."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("path"), F.col("length").alias("size_bytes"),
+    return files.select(_below(path).alias("path"), F.col("length").alias("size_bytes"),
                         F.sha2("content", 256).alias("sha256"))
 
 
@@ -21,7 +28,7 @@ def semantic_manifest(spark: SparkSession, path: str) -> DataFrame:
     text = F.col("content").cast("string")
     digest = (F.when(F.col("path").endswith(".json"), canonical_json_hash(text))
               .when(F.col("path").endswith(".csv"), canonical_text_hash(text)).otherwise(F.sha2("content", 256)))
-    return files.select(F.substring_index("path", "/", -1).alias("path"), digest.alias("sha256"))
+    return files.select(_below(path).alias("path"), digest.alias("sha256"))
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:

@@ -102,6 +102,16 @@ def test_manifest_statuses(spark, tmp_path):
     assert {r["path"]: r["sha256"] for r in manifest.semantic_manifest(spark, str(tmp_path)).collect()} == before
 
 
+def test_manifest_keeps_folders_apart(spark, tmp_path):
+    for folder, text in (("one", "1"), ("two", "22")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.csv").write_text(text)
+    sizes = {r["path"]: r["size_bytes"] for r in manifest.file_manifest(spark, f"file:{tmp_path}/").collect()}
+    assert sizes == {"one/same.csv": 1, "two/same.csv": 2}
+    assert {r["path"] for r in manifest.semantic_manifest(spark, str(tmp_path)).collect()} == sizes.keys()
+    assert [r["path"] for r in manifest.file_manifest(spark, str(tmp_path / "one/same.csv")).collect()] == ["same.csv"]
+
+
 def test_documents_must_be_finite(spark, tmp_path):
     tables.write_document(spark.createDataFrame([(1.0, "x")], "v double, t string"), str(tmp_path / "ok"))
     with pytest.raises(ValueError, match="v: 1"):
