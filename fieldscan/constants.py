@@ -39,6 +39,7 @@ BASELINE_LOOKBACK_DAYS = 60
 BASELINE_MIN_DATES = 5
 BASELINE_MAX_GAP_DAYS = 7.0
 DIRECTIONS = ("increasing", "decreasing", "broadly stable", "insufficient observations")
+DIRECTIONS_MISSING = "insufficient observations"
 BASELINE_REASON = "Too few prior dates or nearest usable acquisition is more than the allowed gap away."
 
 # --- fixed values: anomaly model --------------------------------------------
@@ -61,8 +62,6 @@ SPECTRAL_STATES = ("RELATIVE_HOTSPOTS_PRESENT", "NO_HIGH_RANKED_HOTSPOTS",
                    "NO_MEASURABLE_CONTRAST", "INSUFFICIENT")
 TEMPORAL_STATES = ("DECLINE_SUPPORT", "NEUTRAL_OR_MIXED", "RECOVERY_OR_WETTER", "INSUFFICIENT")
 GROUND_STATES = ("UNAVAILABLE", "VERIFIED_LOW", "VERIFIED_NORMAL")
-GROUND_INTERPRETATION = {"LOW_FOR_SITE": "VERIFIED_LOW", "WITHIN_SITE_RANGE": "VERIFIED_NORMAL",
-                         "UNDETERMINED": "UNAVAILABLE"}
 
 # (ord, id, any_insufficient, spectral, temporal, ground, decision, reason, next_step);
 # None means "any state".
@@ -93,6 +92,22 @@ RULES = [
      "Continue monitoring and seek ground context when available; absence of these signals does not establish absence of stress."),
 ]
 
+# --- fixed values: sentences of the reasoning trace ------------------------------
+TRACE_HOTSPOTS = "Relative hyperspectral hotspots are available within {} classified vegetation pixels. Their extent is not drought prevalence."
+TRACE_BASELINE = "Closest eligible Sentinel NDMI is {}, at percentile {} of {} prior daily medians: {}. This rank is not a probability."
+TRACE_NO_BASELINE = "A usable decision-time NDMI baseline comparison is unavailable."
+TRACE_TREND = "Using {} eligible daily observations, the historical NDMI slope is {} index units/day ({})."
+TRACE_NO_TREND = "Fewer than three eligible daily observations: no decision-time NDMI trend can be estimated."
+TRACE_CUTOFF = " Observations after the cutoff are not used."
+TRACE_TEMPORAL = {
+    "INSUFFICIENT": "A usable baseline and at least three historical dates are required.",
+    "DECLINE_SUPPORT": "Low NDMI baseline rank and decreasing historical NDMI agree; moisture-related decline evidence only.",
+    "RECOVERY_OR_WETTER": "High NDMI baseline rank and increasing historical NDMI agree; a relative spectral state, not measured recovery.",
+    "NEUTRAL_OR_MIXED": "NDMI baseline position and trend do not jointly support a directional state; central, stable or conflicting evidence remains neutral/mixed.",
+}
+TRACE_NO_GROUND = "No real ground measurements are available; none have been simulated or inferred from satellite indices."
+TRACE_AUTOMATION = "Stage 4 permits decision support and human review only. Automatic irrigation and pump activation are blocked in every rule."
+
 # --- fixed values: contract vocabulary ----------------------------------------
 USE_CASE_PURPOSE = {
     "EXPLORE_EARTH": "Preliminary Earth-observation screening of a selected agricultural region using data available for that location.",
@@ -129,7 +144,6 @@ SENSOR_RANGES = {  # (column, low, high, required)
     "ec": (0.0, None, False), "ph": (0.0, 14.0, False), "leaf_wetness": (0.0, 100.0, False),
 }
 PLATFORMS = ("Sentinel-2A", "Sentinel-2B", "Sentinel-2C")
-CONTRACT_VERSION = "4.7.1"
 
 # --- fixed values: limitation texts a contract must carry -----------------------
 ML_LIMITATION = "Experimental spectral anomaly evidence is complementary only; not drought or disease detection, probability, calibrated agronomic prediction or ground truth."

@@ -39,10 +39,6 @@ def gap_micros(later: Column, earlier: Column) -> Column:
     return F.unix_micros(later) - F.unix_micros(earlier)
 
 
-def gap_days(later: Column, earlier: Column) -> Column:
-    return gap_micros(later, earlier) / F.lit(float(MICROS_PER_DAY))
-
-
 def valid_range(start: Column, end: Column) -> Column:
     """Both ends present and in order (the range is inclusive)."""
     return F.coalesce(start <= end, F.lit(False))

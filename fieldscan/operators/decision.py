@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan import constants as C
-from fieldscan.functions.checks import close_to  # noqa: F401  (re-exported for audits)
 
 RULE_SCHEMA = ("ord int, rule_id string, any_insufficient boolean, spectral array<string>, temporal array<string>, "
                "ground array<string>, decision string, reason string, next_step string")
@@ -32,20 +31,30 @@ def spectral_evidence(evidence: DataFrame, scenes: DataFrame, keys: list[str], c
         F.col("acquired_at"), cutoff, F.col("ndmi_range"), F.col("hotspots_present")))
 
 
-def baseline_position(percentile: Column, available: Column) -> Column:
-    """25 and 75 themselves are central."""
+def _unknown(trend: Column) -> Column:
+    return ~F.coalesce(trend.isin(*C.DIRECTIONS), F.lit(False))
+
+
+def baseline_position(percentile: Column, trend: Column, available: Column) -> Column:
+    """25 and 75 themselves are central; without a baseline and a trend there is no position."""
     low, high = C.CONDITION_EDGES
-    return (F.when(~available | percentile.isNull(), "UNAVAILABLE").when(percentile < low, "RELATIVELY_LOW")
+    missing = F.coalesce(~available, F.lit(True)) | percentile.isNull() | (trend == C.DIRECTIONS_MISSING)
+    return (F.when(_unknown(trend), F.raise_error(F.lit("unknown temporal direction")).cast("string"))
+            .when(missing, "UNAVAILABLE").when(percentile < low, "RELATIVELY_LOW")
             .when(percentile > high, "RELATIVELY_HIGH").otherwise("BROAD_HISTORICAL_RANGE"))
 
 
 def temporal_state(percentile: Column, trend: Column, available: Column) -> Column:
-    """Direction and position must agree; anything else sufficient is neutral."""
+    """Direction and position must agree; anything else sufficient is neutral.
+
+    An unknown direction fails the job, with or without a baseline.
+    """
     low, high = C.CONDITION_EDGES
-    known = F.when(trend.isin(*C.DIRECTIONS), trend).otherwise(F.raise_error(F.lit("unknown temporal direction")).cast("string"))
     bounded = F.when(percentile.between(0, 100), percentile) \
         .otherwise(F.raise_error(F.lit("percentile outside 0..100")).cast("double"))
-    return (F.when(F.coalesce(~available, F.lit(True)) | percentile.isNull() | (known == "insufficient observations"), "INSUFFICIENT")
+    missing = F.coalesce(~available, F.lit(True)) | percentile.isNull() | (trend == C.DIRECTIONS_MISSING)
+    return (F.when(_unknown(trend), F.raise_error(F.lit("unknown temporal direction")).cast("string"))
+            .when(missing, "INSUFFICIENT")
             .when((bounded < low) & (trend == "decreasing"), "DECLINE_SUPPORT")
             .when((bounded > high) & (trend == "increasing"), "RECOVERY_OR_WETTER")
             .otherwise("NEUTRAL_OR_MIXED"))
@@ -85,25 +94,16 @@ def reasoning_trace(decisions: DataFrame) -> Column:
     def entry(rule_id: Column, explanation: Column) -> Column:
         return F.struct(rule_id.alias("rule_id"), explanation.alias("explanation"))
 
-    position = baseline_position(F.col("percentile"), F.col("baseline_available"))
-    spectral = F.when(F.col("spectral_state") == "RELATIVE_HOTSPOTS_PRESENT", F.format_string(
-        "Relative hyperspectral hotspots are available within %,d classified vegetation pixels. Their extent is not drought prevalence.",
-        "classified_pixels")).otherwise(F.col("spectral_state"))
+    position = baseline_position(F.col("percentile"), F.col("direction"), F.col("baseline_available"))
+    spectral = F.when(F.col("spectral_state") == "RELATIVE_HOTSPOTS_PRESENT", F.format_string(C.TRACE_HOTSPOTS.format("%,d"), "classified_pixels")).otherwise(F.col("spectral_state"))
     base = F.when(F.col("baseline_available"), F.format_string(
-        "Closest eligible Sentinel NDMI is %.4f, at percentile %.2f of %d prior daily medians: %s. This rank is not a probability.",
-        "target_value", "percentile", "baseline_dates", position)) \
-        .otherwise("A usable decision-time NDMI baseline comparison is unavailable.")
+        C.TRACE_BASELINE.format("%.4f", "%.2f", "%d", "%s"), "target_value", "percentile", "baseline_dates", position)) \
+        .otherwise(C.TRACE_NO_BASELINE)
     trend = F.concat(F.when(F.col("slope_per_day").isNotNull(), F.format_string(
-        "Using %d eligible daily observations, the historical NDMI slope is %+.6f index units/day (%s).",
-        "observations", "slope_per_day", "direction"))
-        .otherwise("Fewer than three eligible daily observations: no decision-time NDMI trend can be estimated."),
-        F.lit(" Observations after the cutoff are not used."))
-    agreement = (F.when(F.col("temporal_state") == "INSUFFICIENT", "A usable baseline and at least three historical dates are required.")
-                 .when(F.col("temporal_state") == "DECLINE_SUPPORT", "Low NDMI baseline rank and decreasing historical NDMI agree; moisture-related decline evidence only.")
-                 .when(F.col("temporal_state") == "RECOVERY_OR_WETTER", "High NDMI baseline rank and increasing historical NDMI agree; a relative spectral state, not measured recovery.")
-                 .otherwise("NDMI baseline position and trend do not jointly support a directional state; central, stable or conflicting evidence remains neutral/mixed."))
-    ground = F.when(F.col("ground_state") == "UNAVAILABLE",
-                    "No real ground measurements are available; none have been simulated or inferred from satellite indices.") \
+        C.TRACE_TREND.format("%d", "%+.6f", "%s"), "observations", "slope_per_day", "direction"))
+        .otherwise(C.TRACE_NO_TREND), F.lit(C.TRACE_CUTOFF))
+    agreement = F.coalesce(*[F.when(F.col("temporal_state") == state, text) for state, text in C.TRACE_TEMPORAL.items()])
+    ground = F.when(F.col("ground_state") == "UNAVAILABLE", C.TRACE_NO_GROUND) \
         .otherwise(F.col("ground_state"))
     return F.array(
         entry(F.concat(F.lit("SPECTRAL_"), "spectral_state"), spectral),
@@ -112,7 +112,7 @@ def reasoning_trace(decisions: DataFrame) -> Column:
         entry(F.concat(F.lit("TEMPORAL_"), "temporal_state"), agreement),
         entry(F.concat(F.lit("GROUND_"), "ground_state"), ground),
         entry(F.col("rule_id"), F.concat("reason", F.lit(" Result: "), "decision", F.lit("."))),
-        entry(F.lit("AUTOMATION_DISABLED"), F.lit("Stage 4 permits decision support and human review only. Automatic irrigation and pump activation are blocked in every rule.")))
+        entry(F.lit("AUTOMATION_DISABLED"), F.lit(C.TRACE_AUTOMATION)))
 
 
 def decision_matrix(spark: SparkSession) -> DataFrame:

@@ -13,14 +13,15 @@ SALTS = 1_024
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str,
-                lookup_rows: int, weight_total: int) -> DataFrame:
+                lookup_rows: int, weight_total: int, unmatched: str | None = None) -> DataFrame:
     """Left join ``rows`` to ``lookup`` (one row per key) without a hot task.
 
     ``weight`` says how many rows share a lookup key. A lookup of at most
     BROADCAST_ROWS rows is broadcast. Beyond that, keys owning more than
     1/HOT_SHARE of the total weight are broadcast - at most HOT_SHARE keys can -
     and their rows are spread over salts in the shuffle join that serves the rest.
-    Keys are compared null-safe, so a NULL group key is a group of its own.
+    Keys are compared null-safe, so a NULL group key is a group of its own. Rows
+    with a NULL in the key column ``unmatched``, which the lookup never holds, are salted too.
     """
     payload = [c for c in lookup.columns if c not in on]
     if lookup_rows <= BROADCAST_ROWS:
@@ -30,8 +31,9 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str,
     renamed = hot.select(*on, *[F.col(c).alias(f"_hot_{c}") for c in payload])
     marked = _join(rows, F.broadcast(renamed), on, [f"_hot_{c}" for c in payload])
     is_hot = F.col(f"_hot_{weight}").isNotNull()
+    spread = is_hot if unmatched is None else is_hot | F.col(unmatched).isNull()
     salted = marked.withColumn("_salt", F.when(
-        is_hot, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)))
+        spread, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)))
     joined = _join(salted, lookup.withColumn("_salt", F.lit(0).cast("bigint")), on + ["_salt"], payload)
     return joined.select(*rows.columns,
                          *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in payload])

@@ -71,7 +71,7 @@ def attach_ranks(rows: DataFrame, keys: list[str], values: list[str]) -> DataFra
         one = accumulated(folded.where(F.col("measure") == v).drop("measure"), keys, "value", size["largest"]).select(
             *keys, F.col("value").alias(v), F.col("n").alias(f"{v}_equal"),
             F.col("below").alias(f"{v}_below"), F.col("total").alias(f"{v}_total"))
-        rows = lookup_join(rows, one, [*keys, v], f"{v}_equal", size["rows"], size["weight"])
+        rows = lookup_join(rows, one, [*keys, v], f"{v}_equal", size["rows"], size["weight"], unmatched=v)
     return rows
 
 
@@ -83,13 +83,6 @@ def midranks(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
         for v in values])
 
 
-def average_ranks(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Add {value}_rank, 1-based, ties sharing their mean rank."""
-    ranked = attach_ranks(rows, keys, values)
-    return ranked.select(*rows.columns, *[
-        (F.col(f"{v}_below") + (F.col(f"{v}_equal") + 1) / F.lit(2.0)).alias(f"{v}_rank") for v in values])
-
-
 def spearman(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     """(keys, population, rho); rho is NULL when either side is constant.
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.functions import ranking, reflectance
-from fieldscan.operators.quantiles import exact_quantiles, join_groups
+from fieldscan.operators.lookup import lookup_join
+from fieldscan.operators.quantiles import exact_quantiles
 from fieldscan.operators.ranks import midranks
+from fieldscan.session import checkpointed
 
 
 def with_quality(pixels: DataFrame, masks: list[str]) -> DataFrame:
@@ -110,9 +112,10 @@ def risk_groups(evidence: DataFrame, keys: list[str]) -> DataFrame:
 
     Quartiles come from the whole classified population, boundary ties included.
     """
-    tails = exact_quantiles(evidence, keys, "risk_score", {"score_p25": 0.25, "score_p75": 0.75}) \
-        .withColumnRenamed("total", "population")
-    tagged = join_groups(evidence, tails, keys)
+    tails = checkpointed(exact_quantiles(evidence, keys, "risk_score", {"score_p25": 0.25, "score_p75": 0.75})
+                         .withColumnRenamed("total", "population"))
+    size = tails.agg(F.count(F.lit(1)).alias("populations"), F.sum("population").alias("pixels")).first()
+    tagged = lookup_join(evidence, tails, keys, "population", size["populations"], size["pixels"] or 0)
     low, _, high = C.CLASS_EDGES
     return tagged.withColumn("risk_group", F.when(
         (F.col("risk_score") <= F.col("score_p25")) & (F.col("risk_score") < low), "lower").when(

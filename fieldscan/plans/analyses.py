@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.operators import anomaly, bands, decision, mosaic, screening, temporal
+from fieldscan.operators.lookup import lookup_join
 from fieldscan.operators.quantiles import robust_statistics
+from fieldscan.session import checkpointed
 
 
 def screen_scenes(pixels: DataFrame, masks: list[str], keys: list[str],
                   threshold: float = C.VEGETATION_NDVI) -> dict[str, DataFrame]:
     """Pixels to evidence and reports. Evidence is kept because every report reads it."""
     screened = screening.with_vegetation(screening.with_indices(screening.with_quality(pixels, masks)), threshold)
-    rankable = screening.rankable(screened, keys)
+    rankable = checkpointed(screening.rankable(screened, keys))
+    size = rankable.agg(F.count(F.lit(1)).alias("populations"), F.sum("classified_pixels").alias("pixels")).first()
     narrow = screened.drop(*masks, *C.TARGET_BANDS_NM)  # ranks need the indices only
-    evidence = screening.risk_evidence(narrow.join(rankable.where("rankable").select(*keys), keys), keys) \
+    ranked = lookup_join(narrow, rankable, keys, "classified_pixels", size["populations"], size["pixels"] or 0)
+    evidence = screening.risk_evidence(ranked.where("rankable").select(*narrow.columns), keys) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     return {"screened": screened, "rankable": rankable, "evidence": evidence,
             "classes": screening.class_shares(evidence, keys), "counts": screening.screening_counts(screened, keys),
@@ -42,12 +46,13 @@ def temporal_evidence(days: DataFrame, sources: DataFrame, targets: DataFrame, k
     """One row per target: trend, nearest day, baseline and state, as of the cutoff.
 
     Days with any later acquisition are gone before anything else looks at
-    them; sources follow their day. Targets without an eligible day stay, as
+    them; sources follow their day, and one that gave no pixel (``contributing`` of
+    ``mosaic.source_contributions``) is never the nearest. Targets without an eligible day stay, as
     INSUFFICIENT.
     """
     gated = temporal.at_cutoff(days, cutoff)
     eligible = gated.where("eligible")
-    known = sources.join(eligible.select(*keys, "day"), [*keys, "day"], "left_semi")
+    known = sources.where(F.col("contributing") > 0).join(eligible.select(*keys, "day"), [*keys, "day"], "left_semi")
     trend = temporal.theil_sen(eligible, keys, "day", value, tolerance)
     nearest = temporal.nearest_acquisition(targets, known, keys).withColumn("compared_day", F.to_date("acquired_at"))
     base = temporal.baseline(nearest.select(*keys, "target_id", "target_at", "compared_day", "absolute_gap_days"), eligible, keys,
@@ -58,7 +63,7 @@ def temporal_evidence(days: DataFrame, sources: DataFrame, targets: DataFrame, k
         .withColumn("direction", F.coalesce("direction", F.lit("insufficient observations")))
     return joined.withColumns({
         "temporal_state": decision.temporal_state(F.col("percentile"), F.col("direction"), F.col("baseline_available")),
-        "baseline_position": decision.baseline_position(F.col("percentile"), F.col("baseline_available"))})
+        "baseline_position": decision.baseline_position(F.col("percentile"), F.col("direction"), F.col("baseline_available"))})
 
 
 def fuse(spectral: DataFrame, temporal_rows: DataFrame, rules: DataFrame, keys: list[str],

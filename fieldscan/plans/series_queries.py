@@ -10,6 +10,7 @@ from fieldscan.operators import temporal
 from fieldscan.operators.quantiles import exact_quantiles
 from fieldscan.plans.registry import query
 from fieldscan.plans.views import ACQUISITIONS, acquisitions, d, r, table
+from fieldscan.session import checkpointed
 
 SITE = ["site"]
 CUTOFF = "2024-01-20 08:35:59.024"
@@ -59,9 +60,17 @@ def tile_trends(spark: SparkSession, folder: str) -> DataFrame:
     return trend.select(F.col("tile").alias("site"), "observations", r(F.col("slope_per_day"), 12).alias("slope_per_day"), "direction")
 
 
-@query("series_check", f"""WITH {ACQUISITIONS} SELECT site, count(*) AS observations, 0::BIGINT AS problems FROM days GROUP BY ALL""")
+@query("series_check", """WITH daily AS (SELECT user_id AS tile, ts::DATE AS day, day(ts) % 2 = 0 AS even FROM events GROUP BY ALL)
+SELECT tile, count(*) + count(*) FILTER (even AND tile % 5 = 0) AS observations,
+  concat_ws(';', CASE WHEN count(*) FILTER (even AND tile % 5 = 0) > 0 THEN 'repeated or missing days' END,
+    CASE WHEN count(*) FILTER (even AND tile % 3 = 0) > 0 THEN 'nonfinite value' END) AS problems FROM daily GROUP BY ALL""")
 def series_check(spark: SparkSession, folder: str) -> DataFrame:
-    return temporal.series_problems(days(spark, folder), SITE, "day", "median").withColumn("problems", F.size("problems").cast("bigint"))
+    """Daily values per tile; on even days every third tile lacks a finite value, and every fifth repeats the day."""
+    even = F.day("day") % 2 == 0
+    daily = acquisitions(spark, folder).groupBy("tile", "day").agg(F.max("value").alias("value")) \
+        .withColumn("value", F.when(even & (F.col("tile") % 3 == 0), float("nan")).otherwise(F.col("value")))
+    series = daily.union(daily.where(even & (F.col("tile") % 5 == 0)))
+    return temporal.series_problems(series, ["tile"], "day", "value").withColumn("problems", F.array_join("problems", ";"))
 
 
 @query("series_summary", f"""WITH {ACQUISITIONS}
@@ -73,17 +82,18 @@ def series_summary(spark: SparkSession, folder: str) -> DataFrame:
                           F.array_join(F.transform("daily_values", lambda v: F.format_string("%.6f", F.round(v, 6))), ";").alias("daily_values"))
 
 
-@query("nearest_acquisition", """WITH targets AS (SELECT user_id AS tile, event_id AS target_id, ts AS target_at FROM events WHERE event_type = 'error'),
-sources AS (SELECT user_id AS tile, event_id AS scene_id, ts AS acquired_at FROM events WHERE event_type = 'purchase'),
+@query("nearest_acquisition", """WITH targets AS (SELECT user_id AS tile, event_id AS target_id, ts AS target_at FROM events),
+sources AS (SELECT user_id AS tile, event_id AS scene_id, ts AS acquired_at FROM events WHERE event_id % 4 > 0),
 placed AS (SELECT t.tile, target_id, scene_id, epoch_us(acquired_at) - epoch_us(target_at) AS gap,
   row_number() OVER (PARTITION BY t.tile, target_id ORDER BY abs(epoch_us(acquired_at) - epoch_us(target_at)), acquired_at, scene_id) AS place
   FROM targets t JOIN sources s ON t.tile = s.tile)
 SELECT tile, target_id::VARCHAR AS target_id, scene_id, abs(gap)::BIGINT AS absolute_gap_micros, gap::BIGINT AS signed_gap_micros
 FROM placed WHERE place = 1""")
 def nearest_acquisition(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event is a target; the sources of its tile are the events that contribute (three of four)."""
     a = acquisitions(spark, folder)
-    targets = a.where(F.col("site") == "error").select("tile", F.col("scene_id").alias("target_id"), F.col("acquired_at").alias("target_at"))
-    sources = a.where(F.col("site") == "purchase").select("tile", "scene_id", "acquired_at")
+    targets = a.select("tile", F.col("scene_id").alias("target_id"), F.col("acquired_at").alias("target_at"))
+    sources = a.where(F.col("scene_id") % 4 > 0).select("tile", "scene_id", "acquired_at")
     nearest = temporal.nearest_acquisition(targets, sources, ["tile"])
     micros = lambda days: F.round(F.col(days) * float(MICROS_PER_DAY)).cast("bigint")
     return nearest.select("tile", "target_id", "scene_id", micros("absolute_gap_days").alias("absolute_gap_micros"),
@@ -115,8 +125,8 @@ folded AS (SELECT site, target_id, compared_day, gap, target_value, count(v) AS
   FROM centred GROUP BY site, target_id, compared_day, gap, target_value)"""
 
 
-def baselines(spark: SparkSession, folder: str) -> DataFrame:
-    return temporal.baseline(noon_targets(spark, folder), days(spark, folder), SITE, "median", lookback_days=10)
+def baselines(spark: SparkSession, folder: str, daily: DataFrame | None = None) -> DataFrame:
+    return temporal.baseline(noon_targets(spark, folder), checkpointed(days(spark, folder)) if daily is None else daily, SITE, "median", lookback_days=10)
 
 
 @query("baseline_comparison", f"""WITH {BASELINE_SQL}

@@ -142,7 +142,9 @@ def decided(spark, later_value):
     rows = [(f"2025-05-{d:02d}", 0.5 - d / 100, at(f"2025-05-{d:02d}T08:00:00"), at(f"2025-05-{d:02d}T08:00:00")) for d in range(1, 11)]
     rows.append(("2025-05-20", later_value, at("2025-05-20T08:00:00"), at("2025-05-20T08:00:00")))
     days = observed(spark, rows)
-    sources = days.select("site", "day", F.lit(1).alias("scene_id"), F.col("first_at").alias("acquired_at"))
+    sources = days.select("site", "day", F.lit(1).alias("scene_id"), F.col("first_at").alias("acquired_at"), F.lit(5).alias("contributing"))
+    blind = sources.where("day = '2025-05-09'").withColumns({"acquired_at": F.lit("2025-05-10 11:59:00").cast("timestamp"), "contributing": F.lit(0)})
+    sources = sources.union(blind)  # nearer, but it gave no pixel
     targets = spark.createDataFrame([("s", "t", at("2025-05-10T12:00:00"))], "site string, target_id string, target_at timestamp")
     cutoff = F.lit("2025-05-11 00:00:00").cast("timestamp")
     temporal_rows = analyses.temporal_evidence(days, sources, targets, KEYS, "v", cutoff)
