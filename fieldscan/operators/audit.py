@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldscan import constants as C
 from fieldscan.functions import ranking
@@ -151,9 +152,25 @@ def area_agreement(summary: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def all_finite(frame: DataFrame) -> DataFrame:
-    """(check, n_bad): nonfinite numbers per float column; NULL is allowed."""
-    numeric = [f.name for f in frame.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return tally(frame, {c: F.col(c).isNull() | is_finite(F.col(c)) for c in numeric})
+    """(check, n_bad): rows with a nonfinite number, per column that holds floats at any depth; NULL is allowed."""
+    checks = {f.name: _finite(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields}
+    return tally(frame, {name: ok for name, ok in checks.items() if ok is not None})
+
+
+def _finite(value: Column, kind: T.DataType) -> Column | None:
+    """All floats inside a value are finite; None where its type holds none."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value.isNull() | is_finite(value)
+    if isinstance(kind, T.StructType):
+        inner = [ok for f in kind.fields if (ok := _finite(value.getField(f.name), f.dataType)) is not None]
+        return reduce(lambda a, b: a & b, inner) if inner else None
+    if isinstance(kind, T.ArrayType):
+        return None if _finite(value, kind.elementType) is None else \
+            value.isNull() | F.forall(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return None if _finite(value, kind.valueType) is None else \
+            value.isNull() | F.forall(F.map_values(value), lambda x: _finite(x, kind.valueType))
+    return None
 
 
 def duplicated(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,6 +187,6 @@ def same_members(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def raise_if_bad(checks: DataFrame) -> None:
     """The one action at the edge of a job: fail with the checks that did not hold."""
-    bad = checks.where(F.col("n_bad") > 0).orderBy("check").take(20)
+    bad = checks.where(F.col("n_bad") > 0).orderBy("check").collect()
     if bad:
         raise ValueError("; ".join(f"{row['check']}: {row['n_bad']}" for row in bad))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscan import constants as C
@@ -53,9 +53,14 @@ def calibrated_indices(scene_pixels: DataFrame) -> DataFrame:
         for name, other in (("ndvi", "red"), ("ndre", "red_edge"), ("ndmi", "swir"))})
 
 
+def beyond_bounds() -> Column:
+    """A valid cell with a normalised index outside [-1, 1]."""
+    return F.col("valid") & (F.greatest(*[F.abs(F.col(n)) for n in C.INDEX_NAMES]) > C.INDEX_BOUND)
+
+
 def out_of_bounds(indexed: DataFrame) -> DataFrame:
     """Rows whose normalised index leaves [-1, 1]; must be empty."""
-    return indexed.where(F.col("valid") & (F.greatest(*[F.abs(F.col(n)) for n in C.INDEX_NAMES]) > C.INDEX_BOUND))
+    return indexed.where(beyond_bounds())
 
 
 def first_valid(indexed: DataFrame, keys: list[str]) -> DataFrame:

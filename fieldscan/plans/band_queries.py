@@ -10,7 +10,7 @@ from fieldscan.functions import reflectance as R
 from fieldscan.operators import anomaly, bands
 from fieldscan.operators.ranks import spearman
 from fieldscan.plans.registry import query
-from fieldscan.plans.views import SPECTRA, big, r, spectra, spectra_bands
+from fieldscan.plans.views import SPECTRA, big, r, spectra, spectra_bands, table
 
 GROUP = ["scene_id", "group_id"]
 
@@ -39,12 +39,20 @@ def nearest_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("band_order_check", f"""WITH {SPECTRA},
-b AS (SELECT DISTINCT scene_id, band_index, wavelength_nm FROM spectra),
+b AS (SELECT pixel_id AS scene_id, band_index, CASE WHEN band_index = pixel_id % 64 AND pixel_id % 5 = 0 THEN 'NaN'::DOUBLE
+  WHEN band_index = pixel_id % 64 AND pixel_id % 3 = 0 THEN wavelength_nm - 3e1 ELSE wavelength_nm END AS wavelength_nm FROM spectra),
 s AS (SELECT *, coalesce(wavelength_nm > lag(wavelength_nm) OVER (PARTITION BY scene_id ORDER BY band_index), true) AS rising FROM b)
 SELECT scene_id, count(*) AS bands, count(*) FILTER (wavelength_nm BETWEEN 400 AND 1700) AS in_window,
-  (CASE WHEN count(*) FILTER (NOT rising) > 0 THEN 1 ELSE 0 END)::BIGINT AS problems FROM s GROUP BY ALL""")
+  concat_ws(';', CASE WHEN count(*) FILTER (isnan(wavelength_nm)) > 0 THEN 'nonfinite wavelength' END,
+    CASE WHEN count(*) FILTER (NOT rising) > 0 THEN 'wavelengths not strictly increasing' END,
+    CASE WHEN count(*) FILTER (wavelength_nm BETWEEN 400 AND 1700) = 0 THEN 'no band inside the window' END) AS problems FROM s GROUP BY ALL""")
 def band_order_check(spark: SparkSession, folder: str) -> DataFrame:
-    return bands.band_problems(spectra_bands(spark, folder)).withColumn("problems", big(F.size("problems")))
+    """One band table per vector; every fifth has a band without a finite wavelength, every third one out of order."""
+    at, nm = F.col("pixel_id"), 400.0 + 20.0 * F.col("band_index")
+    here = F.col("band_index") == at % 64
+    tables = spectra(spark, folder).select(at.alias("scene_id"), "band_index", F.when(here & (at % 5 == 0), float("nan"))
+                                           .when(here & (at % 3 == 0), nm - 30.0).otherwise(nm).alias("wavelength_nm"))
+    return bands.band_problems(tables).withColumn("problems", F.array_join("problems", ";"))
 
 
 @query("band_group_profiles", f"""WITH {SPECTRA}
@@ -185,7 +193,6 @@ best AS (SELECT group_id, 'greenness' AS index_name, arg_max(pixel_id, (greennes
 
 def strongest(spark: SparkSession, folder: str) -> DataFrame:
     """The three needed bands straight from each vector; no explode, no shuffle before the maximum."""
-    from fieldscan.plans.views import table
     e = table(spark, folder, "embeddings")
     red, nir, swir = (F.get("embedding", F.lit(i)).cast("double") for i in (13, 23, 62))
     indices = e.select(F.col("label").cast("bigint").alias("group_id"), F.col("vec_id").alias("pixel_id"),
@@ -206,8 +213,13 @@ stepped AS (SELECT *, lag(band_index) OVER w AS pb, lag(wavelength_nm) OVER w AS
 SELECT group_id, index_name, wavelength_nm, round(v, 9) AS reflectance FROM stepped
 UNION ALL SELECT group_id, index_name, (pn + wavelength_nm) / 2e0, NULL FROM stepped WHERE band_index > pb + 1""")
 def strongest_spectra_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    curve = scanned(spark, folder).where(~R.is_bad_band(F.col("wavelength_nm"))) \
-        .join(strongest(spark, folder).select("pixel_id", "index_name"), "pixel_id") \
+    """The chosen pixels first, at most two a group; only their vectors are exploded."""
+    best = strongest(spark, folder).select(F.col("pixel_id").alias("vec_id"), "index_name")
+    chosen = table(spark, folder, "embeddings").join(best, "vec_id") \
+        .select("label", "vec_id", "index_name", F.posexplode("embedding").alias("band_index", "v")) \
+        .select(F.lit("S").alias("scene_id"), F.col("label").cast("bigint").alias("group_id"), "index_name", "band_index",
+                F.col("v").cast("double").alias("reflectance"))
+    curve = bands.scan_bands(chosen, spectra_bands(spark, folder)).where(~R.is_bad_band(F.col("wavelength_nm"))) \
         .select("group_id", "index_name", "band_index", "wavelength_nm", F.col("valid_reflectance").alias("reflectance"))
     return bands.with_gaps(curve, ["group_id", "index_name"], "reflectance").withColumn("reflectance", r(F.col("reflectance")))
 

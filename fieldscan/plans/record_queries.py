@@ -393,11 +393,12 @@ def member_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("finite_numbers", """WITH t AS (SELECT count(*) FILTER (l_discount = 0) AS n FROM lineitem)
-SELECT unnest(['l_quantity', 'l_tax', 'per_discount']) AS "check", unnest([0, 0, n]) AS n_bad FROM t""")
+SELECT unnest(['l_quantity', 'l_tax', 'per_discount', 'nested']) AS "check", unnest([0, 0, n, n]) AS n_bad FROM t""")
 def finite_numbers(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem").select("l_quantity", "l_tax", F.when(F.col("l_discount") == 0, float("nan")).otherwise(
         F.lit(1.0) / F.when(F.col("l_discount") != 0, F.col("l_discount"))).alias("per_discount"))
-    return audit.all_finite(li)
+    nested = F.array(F.struct("l_quantity", F.create_map(F.lit("per_discount"), F.col("per_discount")).alias("ratios")))
+    return audit.all_finite(li.withColumn("nested", nested))
 
 
 @query("area_agreement", """SELECT 'bbox' AS "check", count(*) FILTER (o_orderpriority = '5-LOW') AS n_bad FROM orders UNION ALL

@@ -108,8 +108,9 @@ def spectra(spark: SparkSession, folder: str, shift: float = 0.0) -> DataFrame:
 
 
 def spectra_bands(spark: SparkSession, folder: str, step: float = 20.0) -> DataFrame:
-    """The band dimension: positions that occur, 400 nm upward; one constant nodata."""
-    return spectra(spark, folder).select("scene_id", "band_index").distinct().select(
+    """The band dimension: positions up to the longest vector, 400 nm upward; one constant nodata."""
+    longest = table(spark, folder, "embeddings").agg(F.max(F.size("embedding")).alias("n")).where("n > 0")
+    return longest.select(F.lit("S").alias("scene_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("band_index")).select(
         "scene_id", "band_index", (400.0 + step * F.col("band_index")).alias("wavelength_nm"),
         F.concat(F.lit("b"), F.col("band_index").cast("string")).alias("band_name"), F.lit(0.25).alias("nodata"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan import schemas
 from fieldscan.functions.text import join_list, split_list
-from fieldscan.functions.reflectance import is_finite
-from fieldscan.functions.timestamps import iso_utc
+from fieldscan.functions.timestamps import iso_utc, zoned_timestamp
 from fieldscan.operators.audit import all_finite, raise_if_bad
 
 
@@ -44,7 +43,7 @@ def read_scene_pixels(spark: SparkSession, path: str, days: tuple[str, str] | No
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:
-    evidence.write.mode("overwrite").partitionBy("scene_id").parquet(path)
+    evidence.repartition("scene_id", F.pmod(F.xxhash64("pixel_id"), F.lit(64))).write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
 def series_rows(observations: DataFrame, sources: DataFrame, statistics: DataFrame,
@@ -66,9 +65,18 @@ def series_rows(observations: DataFrame, sources: DataFrame, statistics: DataFra
         *[f"{n}_{x}" for n in C.INDEX_NAMES for x in ("median", "p25", "p75")])
 
 
+def _all_known(times: Column, cutoff: str) -> Column:
+    """Every listed time is at or before the cutoff; a time without a zone fails the job."""
+    def known(text: Column) -> Column:
+        instant = F.coalesce(zoned_timestamp(text), F.raise_error(F.concat(
+            F.lit("acquisition time lacks a zone: "), text)).cast("timestamp"))
+        return instant <= F.lit(cutoff).cast("timestamp")
+
+    return F.forall(times, known)
+
+
 def with_cutoff_flags(rows: DataFrame, cutoff: str) -> DataFrame:
-    eligible = F.forall(split_list(F.col("acquisition_datetimes")),
-                        lambda t: F.try_to_timestamp(t) <= F.lit(cutoff).cast("timestamp"))
+    eligible = _all_known(split_list(F.col("acquisition_datetimes")), cutoff)
     return rows.withColumns({"eligible_at_decision_cutoff": eligible, "after_decision_cutoff": ~eligible,
                              "operational_availability": F.lit("not_established")})
 
@@ -90,7 +98,7 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 def flag_mismatches(series: DataFrame, cutoff: str) -> DataFrame:
     """Rows whose stored eligibility differs from the recomputed one."""
-    eligible = F.forall("acquisition_datetimes", lambda t: F.try_to_timestamp(t) <= F.lit(cutoff).cast("timestamp"))
+    eligible = _all_known(F.col("acquisition_datetimes"), cutoff)
     return series.where(~(F.col("eligible_at_decision_cutoff").eqNullSafe(eligible)
                           & F.col("after_decision_cutoff").eqNullSafe(~eligible)))
 
@@ -99,12 +107,3 @@ def write_document(document: DataFrame, path: str) -> None:
     """A small JSON document; any nonfinite number stops the write."""
     raise_if_bad(all_finite(document))
     document.write.mode("overwrite").json(path)
-
-
-def nonfinite_rows(frame: DataFrame) -> DataFrame:
-    """Rows holding a NaN or an infinity in any float column."""
-    numeric = [f.name for f in frame.schema.fields if f.dataType.typeName() in ("double", "float")]
-    bad = F.lit(False)
-    for c in numeric:
-        bad = bad | (F.col(c).isNotNull() & ~is_finite(F.col(c)))
-    return frame.where(bad)
