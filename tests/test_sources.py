@@ -150,3 +150,14 @@ def test_json_digest_sorts_every_depth_and_keeps_types(spark):
     digest = {r.i: r.h for r in rows}
     assert digest[0] == digest[1]
     assert len(set(digest.values())) == 3
+
+
+def test_series_time_without_zone_fails(spark):
+    rows = spark.sql("SELECT '2025-06-08T08:00:00' AS acquisition_datetimes")
+    with pytest.raises(Exception, match="lacks a zone"):
+        tables.with_cutoff_flags(rows, "2025-06-09 00:00:00").collect()
+
+
+def test_nested_numbers_must_be_finite(spark):
+    frame = spark.sql("SELECT array(named_struct('v', double('NaN'))) AS a, map('k', double(1)) AS m, 'x' AS t, CAST(NULL AS DOUBLE) AS d")
+    assert {r["check"]: r["n_bad"] for r in audit.all_finite(frame).collect()} == {"a": 1, "m": 0, "d": 0}
