@@ -17,6 +17,8 @@ from fieldscan.llm.registry import query
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Documents of this similarity in percent, and more, are near duplicates to the pipeline; op9 has its own.
+NEAR_PERCENT = 80
 #: Not SQL: trained scores, hashed signatures, byte strings and tokens; tested against brute force.
 ORACLE_SQL = None
 
@@ -30,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; one row of a repeated id."""
-    good = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    good = minhash.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id").distinct()
     return docs.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 

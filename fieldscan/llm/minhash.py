@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash signatures joined under Hamming distance.
 
-A signature has SYMBOLS min-hashes of 16 bits. It is cut into CHUNKS; two signatures that differ in
-fewer than ``CHUNKS * (ERRORS + 1)`` symbols have, by the pigeonhole principle, a chunk with at most
-ERRORS = 1 wrong symbol. The allowed errors are enumerated: a chunk gives one key for each symbol
+A signature has min-hashes of 16 bits, CHUNK of them in each chunk; a Layout says how many chunks a
+similarity needs. Two signatures that differ in fewer than ``chunks * (ERRORS + 1)`` symbols have, by
+the pigeonhole principle, a chunk with at most ERRORS = 1 wrong symbol. The allowed errors are enumerated: a chunk gives one key for each symbol
 left out, so such a pair shares a key for certain. Every shared key is a bucket.
 
 Buckets are not paired out. First each bucket's most central member (the one with the most bucket
@@ -16,6 +16,10 @@ of other links joins it).
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,24 +29,64 @@ from pyspark.sql import functions as F
 from fieldscan.llm.common import Columns, components, map_batches, stored
 
 SHINGLE = 5
-#: Documents are linked when intersection * 100 >= PERCENT * union.
+#: Documents are linked when intersection * 100 >= percent * union; this is the percent of op9.
 PERCENT = 85
-CHUNKS, CHUNK, ERRORS = 8, 5, 1
-SYMBOLS = CHUNKS * CHUNK
-#: Pairs within this signature distance surely share a bucket.
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Pairs that share a bucket are confirmed up to this distance: a pair at the threshold (40 symbols, each wrong
-#: with probability 0.15) lies beyond it with probability below 1e-6.
-CONFIRM_DISTANCE = 20
+CHUNK, ERRORS = 5, 1
+#: Of pairs at the threshold, at most these shares have no key in common, and lie beyond the confirm distance.
+NO_KEY, BEYOND = 1e-6, 5e-8
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The signature that a similarity of ``percent`` needs; each symbol of a pair is wrong with probability 1 - similarity."""
+
+    percent: int
+    chunks: int = field(init=False)
+    #: Pairs that share a bucket are confirmed up to this signature distance.
+    confirm: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        if not 50 <= self.percent <= 100:
+            raise ValueError("percent must be from 50 to 100")
+        same = self.percent / 100
+        wrong = 1 - same
+        shared = sum(math.comb(CHUNK, k) * wrong**k * same**(CHUNK - k) for k in range(ERRORS + 1))
+        chunks = 1
+        while (1 - shared)**chunks > NO_KEY:
+            chunks += 1
+        symbols, beyond, confirm = chunks * CHUNK, 1.0, -1
+        while beyond > BEYOND and confirm < symbols:
+            confirm += 1
+            beyond = sum(math.comb(symbols, k) * wrong**k * same**(symbols - k) for k in range(confirm + 1, symbols + 1))
+        object.__setattr__(self, "chunks", chunks)
+        object.__setattr__(self, "confirm", confirm)
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * CHUNK
+
+    @property
+    def distance(self) -> int:
+        """Pairs within this signature distance surely share a bucket."""
+        return self.chunks * (ERRORS + 1) - 1
+
+
+OP9 = Layout(PERCENT)
+SYMBOLS, DISTANCE = OP9.symbols, OP9.distance
 #: Buckets up to this size are joined with themselves; larger ones go tile by tile.
 SMALL, TILE = 32, 1024
 #: Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_random = np.random.default_rng(2024)
-FLIP = _random.integers(0, 1 << 63, SYMBOLS, np.uint64)
-FACTOR = _random.integers(0, 1 << 63, SYMBOLS, np.uint64) | np.uint64(1)
+
+
+@cache
+def _draws(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each symbol's hash is made with: a flip and an odd factor."""
+    random = np.random.default_rng(2024)
+    flip = random.integers(0, 1 << 63, symbols, np.uint64)
+    return flip, random.integers(0, 1 << 63, symbols, np.uint64) | np.uint64(1)
 
 
 class _Hashes(dict):
@@ -71,32 +115,33 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique((mixed ^ (mixed >> np.uint64(31))) * MULTIPLY)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """SYMBOLS 16-bit min-hashes of a non-empty set."""
+def signature(found: np.ndarray, layout: Layout = OP9) -> np.ndarray:
+    """The layout's 16-bit min-hashes of a non-empty set."""
+    flip, factor = _draws(layout.symbols)
     low = None
     for at in range(0, len(found), 2048):
-        part = ((found[at:at + 2048, None] ^ FLIP) * FACTOR).min(axis=0)
+        part = ((found[at:at + 2048, None] ^ flip) * factor).min(axis=0)
         low = part if low is None else np.minimum(low, part)
     return (((low ^ (low >> np.uint64(32))) * MULTIPLY) >> np.uint64(48)).astype("<u2")
 
 
-def bucket_keys(signatures: np.ndarray) -> np.ndarray:
-    """For each row of signatures its CHUNKS * CHUNK keys: chunk by chunk, one symbol left out at a time."""
+def bucket_keys(signatures: np.ndarray, layout: Layout = OP9) -> np.ndarray:
+    """For each row of signatures a key per symbol: chunk by chunk, one symbol left out at a time."""
     rows = len(signatures)
-    chunks = signatures.reshape(rows, CHUNKS, CHUNK).astype(np.uint64)
-    keys = np.empty((rows, CHUNKS, CHUNK), np.uint64)
+    chunks = signatures.reshape(rows, layout.chunks, CHUNK).astype(np.uint64)
+    keys = np.empty((rows, layout.chunks, CHUNK), np.uint64)
     for left_out in range(CHUNK):
-        packed = np.zeros((rows, CHUNKS), np.uint64)
+        packed = np.zeros((rows, layout.chunks), np.uint64)
         for k in range(CHUNK):
             if k != left_out:
                 packed = (packed << np.uint64(16)) | chunks[:, :, k]
-        place = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out + 1)) * MULTIPLY
+        place = (np.arange(layout.chunks, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out + 1)) * MULTIPLY
         packed = (packed ^ place) * MULTIPLY
         keys[:, :, left_out] = packed ^ (packed >> np.uint64(29))
-    return keys.reshape(rows, SYMBOLS).view(np.int64)
+    return keys.reshape(rows, layout.symbols).view(np.int64)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, layout: Layout = OP9) -> DataFrame:
     """(doc_id, digest, n_shingles, signature); equal sets share a digest, an empty set has none."""
     def batch(rows: Columns) -> Columns:
         out: Columns = {c: [] for c in ("doc_id", "digest", "n_shingles", "signature")}
@@ -106,33 +151,33 @@ def signed(docs: DataFrame) -> DataFrame:
             out["doc_id"].append(doc)
             out["digest"].append(xxhash.xxh3_128_digest(found.tobytes()) if some else None)
             out["n_shingles"].append(len(found))
-            out["signature"].append(signature(found).tobytes() if some else None)
+            out["signature"].append(signature(found, layout).tobytes() if some else None)
         return out
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
                        "doc_id long, digest binary, n_shingles long, signature binary", batch)
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, layout: Layout) -> DataFrame:
     def batch(rows: Columns) -> Columns:
-        keys = bucket_keys(np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, SYMBOLS))
-        place = pa.array(np.repeat(np.arange(len(keys)), SYMBOLS))
+        keys = bucket_keys(np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, layout.symbols), layout)
+        place = pa.array(np.repeat(np.arange(len(keys)), layout.symbols))
         return {"key": pa.array(keys.ravel()), "digest": pa.array(rows["digest"], pa.binary()).take(place),
                 "rep": pa.array(rows["rep"], pa.int64()).take(place), "n": pa.array(rows["n"], pa.int64()).take(place)}
 
     return map_batches(classes.select("digest", "rep", "n", "signature"), "key long, digest binary, rep long, n long", batch)
 
 
-def _sizes_allow() -> Column:
-    return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+def _sizes_allow(layout: Layout) -> Column:
+    return 100 * F.least("na", "nb") >= layout.percent * F.greatest("na", "nb")
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, ra, rb) whose signatures are within CONFIRM_DISTANCE."""
+def _close(pairs: DataFrame, classes: DataFrame, layout: Layout) -> DataFrame:
+    """Pairs (a, b, ra, rb) whose signatures are within the confirm distance."""
     def batch(rows: Columns) -> Columns:
-        left = np.frombuffer(b"".join(rows["sa"]), "<u2").reshape(-1, SYMBOLS)
-        right = np.frombuffer(b"".join(rows["sb"]), "<u2").reshape(-1, SYMBOLS)
-        near = np.flatnonzero((left != right).sum(axis=1) <= CONFIRM_DISTANCE)
+        left = np.frombuffer(b"".join(rows["sa"]), "<u2").reshape(-1, layout.symbols)
+        right = np.frombuffer(b"".join(rows["sb"]), "<u2").reshape(-1, layout.symbols)
+        near = np.flatnonzero((left != right).sum(axis=1) <= layout.confirm)
         return {c: [rows[c][i] for i in near] for c in ("a", "b", "ra", "rb")}
 
     own = classes.select("digest", "signature")
@@ -140,7 +185,7 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(joined.select("a", "b", "ra", "rb", "sa", "sb"), "a binary, b binary, ra long, rb long", batch)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
     """Edges (u, v) of the pairs whose full sets are similar enough.
 
     Sets are derived again for the documents in question only, found by a shuffle join on the id.
@@ -161,7 +206,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for ra, rb, sa, sb in zip(rows["ra"], rows["rb"], rows["xa"], rows["xb"], strict=True):
             x, y = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+            if 100 * both >= layout.percent * (len(x) + len(y) - both):
                 out["u"].append(ra)
                 out["v"].append(rb)
         return out
@@ -170,7 +215,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(joined, "u long, v long", similar)
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, layout: Layout) -> DataFrame:
     """Pairs (a, b, ra, rb) of large buckets' members whose components differ, from (key, size, digest, rep, n, comp, signature)."""
     k = F.ceil(F.col("size") / TILE).cast("int")
     dealt = members.withColumn("tiles", k).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
@@ -183,16 +228,16 @@ def _tiles(members: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         own, rep, n, comp = (group[c].to_numpy() for c in ("own", "rep", "n", "comp"))
         digest = group["digest"].to_pylist()
-        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        keys, key = bucket_keys(signs), group["key"][0].as_py()
+        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, layout.symbols)
+        keys, key = bucket_keys(signs, layout), group["key"][0].as_py()
         within = group["i"][0].as_py() == group["j"][0].as_py()
         first = np.flatnonzero(own == 0)
         second = first if within else np.flatnonzero(own == 1)
         out: list[tuple[int, int]] = []
         for x in first:
-            y = second[(comp[second] != comp[x]) & (100 * np.minimum(n[second], n[x]) >= PERCENT * np.maximum(n[second], n[x]))]
+            y = second[(comp[second] != comp[x]) & (100 * np.minimum(n[second], n[x]) >= layout.percent * np.maximum(n[second], n[x]))]
             y = y[y > x] if within else y
-            y = y[(signs[y] != signs[x]).sum(axis=1) <= CONFIRM_DISTANCE]
+            y = y[(signs[y] != signs[x]).sum(axis=1) <= layout.confirm]
             if len(y):
                 same = keys[y] == keys[x]
                 out += [(x, z) for z in y[keys[x][same.argmax(axis=1)] == key]]
@@ -203,27 +248,28 @@ def _tiles(members: DataFrame) -> DataFrame:
     return spread.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary, ra long, rb long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text), linked from ``percent`` similarity on.
 
     ``component_id`` is the smallest doc_id reachable by links. Null and empty texts have no
     shingles and no links. Repeated rows and equal sets are linked; rows that share an id share its
     links. A row without an id has no links, a null component and is not kept. An empty table gives
     no rows.
     """
-    rows = stored(signed(docs), "minhash-rows")
+    layout = Layout(percent)
+    rows = stored(signed(docs, layout), "minhash-rows")
     classes = stored(rows.filter("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "minhash-classes")
-    counts = _keyed(classes).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(_keyed(classes).join(counts, "key"), "minhash-buckets")
+    counts = _keyed(classes, layout).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(_keyed(classes, layout).join(counts, "key"), "minhash-buckets")
 
     central = buckets.groupBy("digest").agg(F.sum("size").alias("mates"))
     ranked = buckets.join(central, "digest")
     hubs = ranked.groupBy("key").agg(F.max_by(F.struct("digest", "rep", "n"), F.struct("mates", "digest")).alias("hub"))
     stars = buckets.join(hubs, "key").filter(F.col("digest") != F.col("hub.digest")).select(
         F.col("hub.digest").alias("a"), F.col("digest").alias("b"), F.col("hub.rep").alias("ra"), F.col("rep").alias("rb"),
-        F.col("hub.n").alias("na"), F.col("n").alias("nb")).filter(_sizes_allow()).distinct()
-    edges = stored(_confirmed(_close(stars, classes), docs), "minhash-edges")
+        F.col("hub.n").alias("na"), F.col("n").alias("nb")).filter(_sizes_allow(layout)).distinct()
+    edges = stored(_confirmed(_close(stars, classes, layout), docs, layout), "minhash-edges")
 
     member = stored(components(edges, "minhash-stars"), "minhash-members")
     placed = buckets.join(member.withColumnRenamed("id", "rep"), "rep", "left") \
@@ -233,10 +279,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small = placed.filter(F.col("size") <= SMALL)
     left = small.select("key", F.col("digest").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = small.select("key", F.col("digest").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    paired = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow()) \
+    paired = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow(layout)) \
         .select("a", "b", "ra", "rb").distinct()
-    large = _tiles(placed.filter(F.col("size") > SMALL).join(classes.select("digest", "signature"), "digest"))
-    more = _confirmed(_close(paired, classes).union(large), docs)
+    large = _tiles(placed.filter(F.col("size") > SMALL).join(classes.select("digest", "signature"), "digest"), layout)
+    more = _confirmed(_close(paired, classes, layout).union(large), docs, layout)
 
     final = components(edges.union(more), "minhash-links")
     grouped = classes.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left") \
