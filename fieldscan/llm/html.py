@@ -1,9 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
 Markup cuts a page into blocks. The first pass decides blocks by where they stand (menus, forms,
-comments and the like are out), by link density, and by length and stop-word density. Blocks too
-short to tell are left open; in the second pass they take the label of the nearest decided
-neighbours. Where a page marks its article, blocks outside it are out.
+comments and the like are out), by link density, and by length and stop-word density. Density is
+taken relative to the page's own, so that a page whose words are in none of the lists is judged by
+length. Blocks too short to tell are left open; in the second pass they take the label of the nearest
+decided neighbours, and stay (if they have a letter or digit) where no block was found good. Where a page marks its article, blocks
+outside it are out, and both passes run over those inside.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ OUTSIDE_NAMES = frozenset(("header", "footer"))
 LONG, MEDIUM = 140, 70
 MOST_LINKS = 0.5
 STOPS_LONG, STOPS_MEDIUM = 0.15, 0.3
+#: The stop-word share of running text; a page with less needs less in its blocks, and none below LEAST_STOPS.
+USUAL_STOPS, LEAST_STOPS = 0.3, 0.075
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
                  r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
@@ -142,33 +146,44 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
 def labels(found: list[Block]) -> list[bool]:
     """Which blocks belong to the main text."""
     article = any(b.inside and not b.out for b in found)
+    stops = [_stops(b.text) for b in found]
+    linked = [b.linked > MOST_LINKS * len(b.text) for b in found]
+    open_blocks = [i for i, b in enumerate(found) if not (b.out or article and not b.inside)]
+    prose = [stops[i] for i in open_blocks if not linked[i]]
+    page = sum(n for n, _ in prose) / max(sum(words for _, words in prose), 1)
+    scale = min(1.0, page / USUAL_STOPS) if page >= LEAST_STOPS else 0.0
     decided: list[bool | None] = []
-    for b in found:
-        size = len(b.text)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
-        if b.out or article and not b.inside or b.linked > MOST_LINKS * size:
+    for i in open_blocks:
+        size, share = len(found[i].text), stops[i][0] / max(stops[i][1], 1)
+        if linked[i]:
             decided.append(False)
-        elif b.inside or size >= LONG and stops >= STOPS_LONG or size >= MEDIUM and stops >= STOPS_MEDIUM:
+        elif size >= LONG and share >= scale * STOPS_LONG or size >= MEDIUM and share >= scale * STOPS_MEDIUM:
             decided.append(True)
         else:
             decided.append(None)
-    result = []
+    result = [False] * len(found)
+    some = any(decided)
     before, ahead = _nearest(decided), _nearest(decided[::-1])[::-1]
-    for i, own in enumerate(decided):
+    for i, own, left, right in zip(open_blocks, decided, before, ahead, strict=True):
         if own is not None:
-            result.append(own)
-            continue
-        left, right = before[i], ahead[i]
-        if found[i].heading and right and right[1]:
-            result.append(True)
+            result[i] = own
+        elif not some:
+            result[i] = any(map(str.isalnum, found[i].text))
+        elif found[i].heading and right and right[1]:
+            result[i] = True
         elif left and right and left[1] != right[1]:
-            result.append(left[1] if left[0] < right[0] else right[1] if right[0] < left[0] else False)
+            result[i] = left[1] if left[0] < right[0] else right[1] if right[0] < left[0] else article
         else:
-            result.append(bool((left or right or (0, False))[1]))
+            result[i] = bool((left or right or (0, False))[1])
     return result
 
 
@@ -192,7 +207,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html).
 
-    Null and empty pages, and pages without main text, give an empty text. Unclosed and unknown
+    Null and empty pages, and pages of nothing but furniture and links, give an empty text. Unclosed and unknown
     elements are allowed; nothing is cut. One row per input row; an empty table gives no rows.
     """
     def batch(rows: Columns) -> Columns:

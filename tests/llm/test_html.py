@@ -41,3 +41,34 @@ def test_hard_pages(spark):
     assert got[7].text.count("\n") == 19999
     assert got[8].text == "T\nl text é x"
     assert html.extract(frame.limit(0)).count() == 0
+
+
+RUSSIAN = ["В этом году урожай пшеницы оказался выше среднего, и фермеры продают зерно на рынке ближайшего города по хорошей цене.",
+           "Погода была тёплой и сухой.", "Осенью поля снова засеют озимыми культурами, если дожди не начнутся раньше обычного срока."]
+CHINESE = ["今年小麦的收成高于平均水平，农民在市场上出售粮食。", "天气温暖干燥。", "秋天将再次播种冬小麦。"]
+POLISH = ["W tym roku plony pszenicy były wyższe niż zwykle, rolnicy sprzedają zboże na rynku najbliższego miasta.", "Pogoda była ciepła.",
+          "Jesienią pola zostaną ponownie obsiane oziminami, jeśli deszcze nie zaczną się wcześniej."]
+SHORT = ["Rain came late.", "Fields stayed dry.", "Harvest began in June."]
+
+
+def test_unmarked_pages_of_any_language_keep_their_text():
+    menu = "<nav><a href=/>Home</a></nav><div><a href=1>One link</a> <a href=2>another link</a></div>"
+    for lines in (RUSSIAN, CHINESE, POLISH, SHORT):
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        assert html.main_text(f"<body>{menu}{body}<footer>2024</footer></body>") == "\n".join(lines)
+        assert html.main_text(f"<body><div>{menu}</div><article>{body}</article><p>{'It was the end of the day. ' * 9}</p></body>") == "\n".join(lines)
+    assert html.main_text("plain") == "plain" and html.main_text("<p>a<b>c</p></div></p>") == "ac"
+    assert html.main_text(menu) == ""
+
+
+def test_both_passes_run_inside_an_article():
+    long = ("It was the best of times and it was the worst of times, " * 4).strip()
+    links = "".join(f"<li><a href={i}>Another story, number {i}</a></li>" for i in range(3))
+    page = f"<article><h1>Head</h1><p>{long}</p><p>Short one.</p><p>{long}</p><ul>{links}<li>Read on</li>{links}</ul></article><p>{long} out</p>"
+    assert html.main_text(page) == f"Head\n{long}\nShort one.\n{long}"
+
+
+def test_given_pages_give_their_article_without_its_marks():
+    for p in given("sf0.01", "pages"):
+        bare = re.sub(r"</?(?:article|main)\b[^>]*>", "", p["html"])
+        assert html.main_text(bare) == html.main_text(p["html"]) != ""
