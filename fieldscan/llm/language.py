@@ -99,6 +99,10 @@ class Model:
                 return tuple([sum(column) / len(hits) for column in zip(*hits, strict=True)])
         return (0.0,) * len(self.langs)
 
+    def knows(self, word: str) -> bool:
+        """Whether the word, or one of its n-grams of the longest order, was learned."""
+        return word in self.known[0] or any(gram in self.known[ORDERS] for gram in grams(word, ORDERS))
+
     def token(self, token: str) -> tuple[float, ...]:
         """Scores of a space-delimited token, and its number of letters."""
         words = LETTERS.findall(token.lower())
@@ -108,11 +112,12 @@ class Model:
         return (*[sum(column) for column in zip(*scores, strict=True)], sum(map(len, words)))
 
 
-def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS) -> Model:
+def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS, least: int = 1) -> Model:
     """Fit on about ``documents`` rows of (doc_id, text, lang); rows without text or lang teach nothing.
 
     Words and n-grams are counted by the executors; the driver receives the most frequent entries
-    only, at most WORD_ENTRIES words and GRAM_ENTRIES n-grams.
+    only, at most WORD_ENTRIES words and GRAM_ENTRIES n-grams. Entries seen fewer than ``least``
+    times are left out.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = known.count()
@@ -126,7 +131,7 @@ def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS) -> Model:
     keys: list[tuple[int, str]] = []
     counts: list[np.ndarray] = []
     for words, most in ((True, WORD_ENTRIES), (False, GRAM_ENTRIES)) if langs else ():
-        top = grouped.filter((F.col("order") == 0) == F.lit(words)).orderBy(F.desc("total"), "order", "gram").limit(most)
+        top = grouped.filter(((F.col("order") == 0) == F.lit(words)) & (F.col("total") >= least)).orderBy(F.desc("total"), "order", "gram").limit(most)
         found = top.select("order", "gram", "counts").toArrow()
         keys += zip(found["order"].to_pylist(), found["gram"].to_pylist(), strict=True)
         counts.append(np.array(found["counts"].combine_chunks().flatten()).reshape(-1, len(langs)))
@@ -136,17 +141,21 @@ def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS) -> Model:
 class _Remembered(dict):
     """Token to row of ``rows``; filled on demand, up to REMEMBERED tokens."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, share: bool = False):
         super().__init__()
-        self.model = model
-        self.rows = np.zeros((REMEMBERED + 200_000, len(model.langs) + 1))
+        self.model, self.share = model, share
+        self.rows = np.zeros((REMEMBERED + 200_000, len(model.langs) + share + 1))
         self.used = 0
 
     def __missing__(self, token: str) -> int:
         if self.used == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows[:200_000])])
         at = self.used
-        self.rows[at] = self.model.token(token)
+        scores = self.model.token(token)
+        if self.share:
+            known = sum(len(w) for w in LETTERS.findall(token.lower()) if self.model.knows(w))
+            scores = (*scores[:-1], known, scores[-1])
+        self.rows[at] = scores
         self[token] = at
         self.used += 1
         return at
@@ -159,36 +168,40 @@ class _Remembered(dict):
             self.used = REMEMBERED
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, share: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score), and columns ``keep``, of every row of (doc_id, text), by text alone.
 
     ``score`` is the posterior of the predicted language under equal priors. Null texts and texts
     without a letter are ``und`` with score 0; so is everything if the model has learned no
-    language. Ties go to the first language in code-point order. One row per input row.
+    language. Ties go to the first language in code-point order. One row per input row. With ``share`` a column ``known`` gives the share of the
+    letters in words that the model knows, or knows a longest n-gram of; 0 where the language is ``und``.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def batch(rows: Columns) -> Columns:
         if _worker.get("key") != key:
-            _worker.update({"key": key, "tokens": _Remembered(sent.value)})
+            _worker.update({"key": key, "tokens": _Remembered(sent.value, share)})
         tokens: _Remembered = _worker["tokens"]
         langs = tokens.model.langs
-        names, scores = [], []
+        names, scores, known = [], [], []
         for text in rows["text"]:
             idx = np.fromiter(map(tokens.__getitem__, (text or "").split()), np.int64)
-            sums = tokens.rows[idx].sum(axis=0) if len(idx) else np.zeros(len(langs) + 1)
+            sums = tokens.rows[idx].sum(axis=0) if len(idx) else np.zeros(len(langs) + share + 1)
             if not langs or sums[-1] == 0:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                known.append(0.0)
             else:
-                best = int(np.argmax(sums[:-1]))
+                own = sums[:len(langs)]
+                best = int(np.argmax(own))
                 names.append(langs[best])
-                scores.append(float(1 / np.exp(np.minimum(0, sums[:-1] - sums[best])).sum()))
+                scores.append(float(1 / np.exp(np.minimum(0, own - own[best])).sum()))
+                known.append(float(sums[-2] / sums[-1]))
             tokens.trim()
-        return {**rows, "lang_pred": names, "score": scores}
+        return {**rows, "lang_pred": names, "score": scores, **({"known": known} if share else {})}
 
     more = [docs.schema[c] for c in keep or [] if c not in ("doc_id", "text")]
-    schema = "doc_id long, text string, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
+    schema = "doc_id long, text string, lang_pred string, score double" + ", known double" * share + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
     if "text" not in (keep or []):
         schema = schema.replace("text string, ", "")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[f.name for f in more])
