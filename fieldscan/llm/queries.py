@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscan.llm import bpe, embeddings, html, language, minhash, mixing, quality, repeats, token_counts, token_files
+from fieldscan.llm import (bpe, clusters, embeddings, html, language, lexical, minhash, mixing, packing, quality, repeats, token_counts,
+                           token_files)
 from fieldscan.llm.common import table
 from fieldscan.llm.registry import query
 
@@ -93,3 +94,56 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     weighted = label_weight(docs, table(spark, sf_dir, "labels"))
     return mixing.mix(weighted, F.col("quality_weight"), F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_curve_packing")
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_lexical_search", r"""WITH words AS (SELECT row_number() OVER () AS row_id, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row_id, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+size AS (SELECT count(*)::BIGINT AS documents, coalesce(sum(n), 0)::BIGINT AS total FROM docs),
+tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * (SELECT documents FROM size) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, row_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total))))::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN docs USING (row_id), size GROUP BY ALL),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+  FROM scored JOIN docs USING (row_id) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def clusters_sql(rounds: int) -> str:
+    """The clustering query: every round computes all distances anew."""
+    def assign(step: int) -> str:
+        return f"""near{step} AS (SELECT row_id, cluster, distance FROM (SELECT row_id, cluster, sum((x - c) * (x - c)) AS distance
+    FROM cells JOIN cent{step} USING (pos) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, cluster) = 1)"""
+
+    def move(step: int) -> str:
+        return f"""cent{step + 1} AS (SELECT o.cluster, o.pos, coalesce(m.c, o.c) AS c FROM cent{step} o LEFT JOIN (
+    SELECT cluster, pos, CASE WHEN sum(x) < 0 THEN -((-sum(x) + count(*) - 1) // count(*)) ELSE sum(x) // count(*) END AS c
+    FROM cells JOIN near{step} USING (row_id) GROUP BY ALL) m ON o.cluster = m.cluster AND o.pos = m.pos)"""
+
+    steps = ",\n".join(f"{assign(s)},\n{move(s)}" for s in range(rounds))
+    return f"""WITH kept AS (SELECT row_number() OVER () AS row_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64),
+cells AS (SELECT row_id, unnest(list_transform(v, lambda e: floor(64 * e)::BIGINT)) AS x, generate_subscripts(v, 1) AS pos FROM kept),
+start AS (SELECT row_id, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS cluster FROM kept),
+cent0 AS (SELECT cluster, pos, x AS c FROM start JOIN cells USING (row_id) WHERE cluster < 16),
+{steps},
+{assign(rounds)},
+named AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM cent{rounds} GROUP BY ALL)
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM near{rounds} JOIN kept USING (row_id) JOIN named USING (cluster)"""
+
+
+@query("op13_centroid_clusters", clusters_sql(clusters.ROUNDS))
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
