@@ -30,7 +30,7 @@ END_ID = 1
 #: Hash buckets of a document vector, axes of the projection, bits of a coordinate.
 BUCKETS, DIMS, BITS = 256, 4, 10
 #: Bytes of text that are cut into words at once; a longer document is taken alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 12 << 20
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 400_000
 #: Words encoded as one text.
@@ -61,16 +61,21 @@ class Words(dict):
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self]
-        parts = [SIMPLE.fullmatch(w) for w in new]
-        split = [(w, m[1].lower(), m[2]) for w, m in zip(new, parts, strict=True) if m and m[1].lower().isalpha()]
-        split_words = {w for w, _, _ in split}
-        cores = list({c for _, c, _ in split} - self.cores.keys())
+        simple, rest = [], []
+        for word in new:
+            parts = SIMPLE.fullmatch(word)
+            core = parts[1].lower() if parts else ""
+            if core.isalpha():
+                simple.append((word, core, parts[2]))
+            else:
+                rest.append(word)
+        cores = list({core for _, core, _ in simple} - self.cores.keys())
         for at in range(0, len(cores), JOINED):
             self._joined(cores[at:at + JOINED])
-        self._apart(self.cores, list({m for _, _, m in split if m} - self.cores.keys()))
-        for word, core, marks in split:
+        self._apart(self.cores, list({marks for _, _, marks in simple if marks} - self.cores.keys()))
+        for word, core, marks in simple:
             self[word] = self.cores[core] + self.cores[marks] if marks else self.cores[core]
-        self._apart(self, [w for w in new if w not in split_words])
+        self._apart(self, rest)
 
     def _joined(self, part: list[str]) -> None:
         ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
