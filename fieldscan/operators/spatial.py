@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.functions import geometry as G
+from fieldscan.session import checkpointed
 
 
 def area_contains(area: str, lon: Column, lat: Column) -> Column:
@@ -22,23 +23,86 @@ def ring_bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(lons), F.array_min(lats), F.array_max(lons), F.array_max(lats)
 
 
-def points_in_rings(points: DataFrame, areas: DataFrame, cell_degrees: float = 1.0) -> DataFrame:
-    """Inner join of points (lon, lat) to areas (area_id, ring) that contain them.
+BOUNDS = ("west", "south", "east", "north")
+#: Degrees of a cell of level 0; a cell of level n is 2**n times narrower.
+ROOT_DEGREES = 360.0
+FINEST_LEVEL = 20
+#: Cells along one side of a crowded cell that is cut.
+CUT = 4
+#: A cell is crowded if it holds more than this share (1 / HOT_SHARE) of the points, and at least CROWDED_POINTS.
+HOT_SHARE = 1_000
+CROWDED_POINTS = 50_000
+
+
+def cell_degrees(level: Column) -> Column:
+    return F.lit(ROOT_DEGREES) / F.pow(F.lit(2.0), level)
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / cell_degrees(level))
+
 
-    Both sides meet on grid cells, so the join is an equi join: an area is
-    copied to the cells its bounding box touches, a point lies in one cell, and
-    the exact test runs on what meets. A crowded cell is the adaptive skew
-    join's case: its points split, its few areas are copied.
+def area_cells(areas: DataFrame) -> DataFrame:
+    """``areas`` with bounds and their cells (level, cx, cy), at most four for an area of any size.
+
+    An area's level is the finest whose cells are as wide and as high as its bounds.
     """
     west, south, east, north = ring_bounds(F.col("ring"))
+    boxed = areas.withColumns({"west": west, "south": south, "east": east, "north": north})
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    guess = F.when(extent > 0, F.least(F.floor(F.log2(F.lit(ROOT_DEGREES) / extent)), F.lit(FINEST_LEVEL))).otherwise(F.lit(FINEST_LEVEL))
+    levelled = boxed.withColumn("level", guess.cast("int")).withColumn(
+        "level", F.when(extent > cell_degrees(F.col("level")), F.col("level") - 1).otherwise(F.col("level")))  # rounding of the logarithm
+    sides = {c: _cell(F.col(side), F.col("level")) for c, side in (("x0", "west"), ("x1", "east"), ("y0", "south"), ("y1", "north"))}
+    return levelled.withColumn("cx", F.explode(F.sequence(sides["x0"], sides["x1"]))) \
+        .withColumn("cy", F.explode(F.sequence(sides["y0"], sides["y1"])))
+
+
+def _part(value: Column, cell: Column, level: Column) -> Column:
+    """Which of the CUT parts of a cell, along one side, holds the value; beyond its ends the outermost."""
+    return F.greatest(F.lit(0), F.least(F.lit(CUT - 1), F.floor((value / cell_degrees(level) - cell) * CUT)))
 
-    def cells(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / cell_degrees).cast("int"), F.floor(high / cell_degrees).cast("int"))
 
-    spread = areas.withColumn("cx", F.explode(cells(west, east))).withColumn("cy", F.explode(cells(south, north)))
-    placed = points.withColumns({"cx": F.floor(F.col("lon") / cell_degrees).cast("int"),
-                                 "cy": F.floor(F.col("lat") / cell_degrees).cast("int")})
-    return placed.join(spread, ["cx", "cy"]).where(G.ring_contains(F.col("ring"), F.col("lon"), F.col("lat"))).drop("cx", "cy")
+def points_in_rings(points: DataFrame, areas: DataFrame, crowded_points: int = CROWDED_POINTS) -> DataFrame:
+    """Inner join of points (lon, lat) to areas (area_id, ring) that contain them.
+
+    Both sides meet on cells, so the join is an equi join: an area lies in at most four cells of its
+    own level, a point in one cell of every level in use, and the exact test runs on what meets. Points
+    per cell are counted. A crowded cell is cut into parts, to which only the areas reaching them are
+    copied, and a part that is still crowded (points may coincide) into salts by its count, so no task
+    gets more than about a HOT_SHARE of the points. At most HOT_SHARE cells a level can be crowded,
+    which bounds the broadcast table of parts.
+    """
+    placed = area_cells(areas)
+    levels = [r["level"] for r in placed.select("level").distinct().collect()]  # FINEST_LEVEL + 1 and a few coarser
+    if not levels:
+        levels = [0]
+    columns = points.columns
+    level = F.col("level")
+    spread = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]))).withColumns(
+        {"cx": _cell(F.col("lon"), level), "cy": _cell(F.col("lat"), level)})
+    cell = ["level", "cx", "cy"]
+    total = points.count()
+    crowded = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")) \
+        .where((F.col("_n") >= crowded_points) & (F.col("_n") * HOT_SHARE > total)).drop("_n")
+    parts = (_part(F.col("lon"), F.col("cx"), level) * CUT + _part(F.col("lat"), F.col("cy"), level)).cast("int")
+    salts = F.least(F.lit(HOT_SHARE), F.ceil(F.col("_n") * HOT_SHARE / F.lit(max(total, 1)))).cast("int")
+    cut = checkpointed(spread.join(F.broadcast(crowded), cell).groupBy(*cell, parts.alias("part"))
+                       .agg(F.count(F.lit(1)).alias("_n")).select(*cell, "part", salts.alias("salts")))
+
+    keyed_points = spread.withColumn("part", parts).join(F.broadcast(cut), [*cell, "part"], "left").withColumns({
+        "part": F.when(F.col("salts").isNotNull(), F.col("part")).otherwise(F.lit(-1)),
+        "salt": F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*columns), F.col("salts"))).otherwise(F.lit(0)).cast("int")})
+    keyed = placed.join(F.broadcast(cut), cell, "left")
+    x, y = F.floor(F.col("part") / CUT), F.col("part") % CUT
+    reaches = F.col("part").isNull() | (x.between(_part(F.col("west"), F.col("cx"), level), _part(F.col("east"), F.col("cx"), level))
+                                        & y.between(_part(F.col("south"), F.col("cy"), level), _part(F.col("north"), F.col("cy"), level)))
+    keyed_areas = keyed.where(reaches).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))) \
+        .withColumn("part", F.coalesce("part", F.lit(-1))).select(*areas.columns, *BOUNDS, *cell, "part", "salt")
+    lon, lat = F.col("lon"), F.col("lat")
+    in_bounds = lon.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north"))  # cheap, and first
+    return keyed_points.drop("salts").join(keyed_areas, [*cell, "part", "salt"]) \
+        .where(in_bounds & G.ring_contains(F.col("ring"), lon, lat)).drop(*cell, *BOUNDS, "part", "salt")
 
 
 def snapped_grid(areas: DataFrame, metres: int = C.GRID_METRES) -> DataFrame:

@@ -132,19 +132,20 @@ def nearest_acquisition(targets: DataFrame, sources: DataFrame, keys: list[str],
     wanted = targets.select(*keys, bucket("target_at"), F.col("target_at").alias("at"), F.col("target_id").cast("string").alias("target_id"))
     marked = distinct.select(*keys, bucket("acquired_at"), F.col("acquired_at").alias("at"), candidate.alias("source")) \
         .unionByName(wanted, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "bucket").orderBy("at")
+    # both directions are frames that only grow; one that shrinks is summed up anew for every row
+    inside = Window.partitionBy(*keys, "bucket").rangeBetween(Window.unboundedPreceding, 0)
     placed = marked.withColumns({
-        "before": F.last("source", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("source", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))}) \
+        "before": F.last("source", ignorenulls=True).over(inside.orderBy("at")),
+        "after": F.last("source", ignorenulls=True).over(inside.orderBy(F.desc("at")))}) \
         .where(F.col("target_id").isNotNull())
 
     ends = distinct.groupBy(*keys, bucket("acquired_at")).agg(
         F.max_by(candidate, F.col("acquired_at")).alias("last"), F.min_by(candidate, F.col("acquired_at")).alias("first"))
     stops = wanted.select(*keys, "bucket").distinct().withColumn("wanted", F.lit(True))
-    order = Window.partitionBy(*keys).orderBy("bucket")  # whole buckets: rows of one bucket never see each other
+    order = Window.partitionBy(*keys).rangeBetween(Window.unboundedPreceding, -1)  # whole buckets: rows of one bucket never see each other
     around = ends.withColumn("wanted", F.lit(False)).unionByName(stops, allowMissingColumns=True).withColumns({
-        "earlier": F.last("last", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -1)),
-        "later": F.first("first", ignorenulls=True).over(order.rangeBetween(1, Window.unboundedFollowing))}) \
+        "earlier": F.last("last", ignorenulls=True).over(order.orderBy("bucket")),
+        "later": F.last("first", ignorenulls=True).over(order.orderBy(F.desc("bucket")))}) \
         .where("wanted").select(*keys, "bucket", "earlier", "later")
     gathered = placed.join(around, [*keys, "bucket"], "left").withColumn("c", F.explode(F.array_compact(
         F.array("before", "after", "earlier", "later"))))
@@ -170,6 +171,22 @@ def cutoff_audit(gated: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("eligible"), F.col("day")))).alias("excluded_days"))
 
 
+def days_around(days: DataFrame, wanted: DataFrame, keys: list[str], measure: list[str], value: str, lookback_days: int) -> DataFrame:
+    """(keys, measure, day, _around): for each wanted (keys, day) the series' days from ``lookback_days`` before to that day.
+
+    One row per distinct wanted day and measure; the window sees one row per day, so a series is
+    bounded by the calendar and a frame by the lookback.
+    """
+    known = F.struct("day", "first_at", "last_at", F.col(value).cast("double").alias("value"))
+    asked = wanted.distinct()
+    if measure:
+        asked = asked.join(days.select(*keys, *measure).distinct(), keys)
+    marked = days.select(*keys, *measure, "day", known.alias("_known")).unionByName(asked, allowMissingColumns=True)
+    frame = Window.partitionBy(*keys, *measure).orderBy(F.unix_date("day")).rangeBetween(-lookback_days, 0)
+    return marked.withColumn("_around", F.collect_list("_known").over(frame)).where(F.col("_known").isNull()) \
+        .select(*keys, *measure, "day", "_around")
+
+
 def baseline(targets: DataFrame, days: DataFrame, keys: list[str], value: str,
              lookback_days: int = C.BASELINE_LOOKBACK_DAYS, minimum_dates: int = C.BASELINE_MIN_DATES,
              maximum_gap_days: float = C.BASELINE_MAX_GAP_DAYS, measure: list[str] | None = None) -> DataFrame:
@@ -178,22 +195,18 @@ def baseline(targets: DataFrame, days: DataFrame, keys: list[str], value: str,
     targets: keys, target_id, target_at, compared_day, absolute_gap_days.
     days: keys, measure, day, first_at, last_at, value. A baseline day has *every*
     acquisition in [target - lookback, target) and is not the compared day.
-    Each target fans out to its lookback days, so the range join is an equi
-    join with a fixed fan-out.
+    A RANGE frame over the days of a series gathers the days around each day that has
+    a target, once however many targets it has; a target then meets one row. A frame
+    holds at most lookback_days + 1 days.
     """
     measure = measure or []
-    who = [*keys, "target_id", "target_at", "compared_day", "absolute_gap_days"]
+    compared = targets.withColumn("_day", F.to_date("target_at")).join(
+        days.select(*keys, *measure, F.col("day").alias("compared_day"), F.col(value).alias("target_value")), [*keys, "compared_day"])
     start = F.col("target_at") - F.expr(f"INTERVAL {lookback_days} DAYS")
-    wanted = targets.select(*who, start.alias("window_start"), F.explode(F.sequence(
-        F.date_sub(F.to_date("target_at"), lookback_days), F.to_date("target_at"))).alias("day"))
-    inside = (F.col("first_at") >= F.col("window_start")) & (F.col("last_at") < F.col("target_at"))
-    base = wanted.join(days, [*keys, "day"]).where(inside & (F.col("day") != F.col("compared_day")))
-    compared = targets.join(days.select(*keys, *measure, F.col("day").alias("compared_day"), F.col(value).alias("target_value")),
-                            [*keys, "compared_day"])
-    # a baseline holds at most lookback_days + 1 values
-    grouped = base.groupBy(*keys, "target_id", *measure).agg(F.collect_list(value).alias("values"))
-    joined = compared.join(grouped, [*keys, "target_id", *measure], "left") \
-        .withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
+    around = days_around(days, targets.select(*keys, F.to_date("target_at").alias("day")), keys, measure, value, lookback_days)
+    inside = F.filter("_around", lambda d: (d["first_at"] >= start) & (d["last_at"] < F.col("target_at")) & (d["day"] != F.col("compared_day")))
+    joined = compared.join(around.withColumnRenamed("day", "_day"), [*keys, *measure, "_day"], "left").withColumn(
+        "values", F.coalesce(F.transform(inside, lambda d: d["value"]), F.array().cast("array<double>")))
     n = F.size("values").cast("bigint")
     middle = _array_median(F.col("values"))
     spread = joined.withColumn("_median", middle).withColumn(

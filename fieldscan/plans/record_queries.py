@@ -62,7 +62,7 @@ def mercator_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("c_custkey", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), r(lon, 6).alias("back_lon"), r(lat, 6).alias("back_lat"))
 
 
-def diamond(lon: Column, lat: Column, half: int) -> Column:
+def diamond(lon: Column, lat: Column, half: int | Column) -> Column:
     corner = lambda a, b: F.struct(a.cast("double").alias("lon"), b.cast("double").alias("lat"))
     return F.array(corner(lon - half, lat), corner(lon, lat - half), corner(lon + half, lat), corner(lon, lat + half), corner(lon - half, lat))
 
@@ -77,7 +77,42 @@ def points_in_areas(spark: SparkSession, folder: str) -> DataFrame:
         (F.pmod(F.floor(k / 360) * 7 + F.col("c_nationkey"), F.lit(170)) - 85.0).alias("lat"))
     areas = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("area_id"), diamond(F.pmod(F.col("s_suppkey") * 37, F.lit(340)) - 170, F.col("s_nationkey") * 6 - 72, 6).alias("ring"))
-    return spatial.points_in_rings(points, areas, 4.0).select("c_custkey", "area_id")
+    return spatial.points_in_rings(points, areas).select("c_custkey", "area_id")
+
+
+MIXED_SQL = """areas AS (SELECT s_suppkey AS area_id, CASE WHEN s_suppkey = 1 THEN 0 ELSE (s_suppkey * 37) % 340 - 170 END AS cx,
+  CASE WHEN s_suppkey = 1 THEN 0 ELSE s_nationkey * 6 - 72 END AS cy, CASE WHEN s_suppkey = 1 THEN 170 ELSE [1, 6, 40][s_suppkey % 3 + 1] END AS half FROM supplier)"""
+
+
+def mixed_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Diamonds of three sizes, and one that reaches over most of the world."""
+    s, key = table(spark, folder, "supplier"), F.col("s_suppkey")
+    world = key == 1
+    half = F.when(world, 170).otherwise(F.element_at(F.array(F.lit(1), F.lit(6), F.lit(40)), (F.pmod(key, F.lit(3)) + 1).cast("int")))
+    lon = F.when(world, 0).otherwise(F.pmod(key * 37, F.lit(340)) - 170)
+    lat = F.when(world, 0).otherwise(F.col("s_nationkey") * 6 - 72)
+    return s.select(key.alias("area_id"), diamond(lon, lat, half).alias("ring"))
+
+
+@query("area_cells", f"""WITH {MIXED_SQL}, levels AS (SELECT *, least(20, floor(log2(36e1 / (2 * half))))::INT AS level FROM areas),
+sized AS (SELECT *, 36e1 / pow(2, level) AS size FROM levels)
+SELECT area_id, level, ((floor((cx + half) / size) - floor((cx - half) / size) + 1) * (floor((cy + half) / size) - floor((cy - half) / size) + 1))::BIGINT AS cells FROM sized""")
+def area_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return spatial.area_cells(mixed_areas(spark, folder)).groupBy("area_id", "level").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("points_in_mixed_areas", f"""WITH {MIXED_SQL},
+p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 20 ELSE (l_partkey % 3600) / 1e1 - 180 END AS lon,
+  CASE WHEN l_returnflag = 'R' THEN -6 ELSE (l_suppkey * 7 + l_linenumber) % 170 - 85 END AS lat FROM lineitem)
+SELECT area_id, count(*) AS points, sum(l_orderkey * 7 + l_linenumber)::BIGINT AS members FROM p JOIN areas ON abs(lon - cx) + abs(lat - cy) <= half GROUP BY ALL""")
+def points_in_mixed_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """All line items as points, every returned one at the same place; a cell counts as crowded early, so that small tables cut some."""
+    returned = F.col("l_returnflag") == "R"
+    points = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(returned, 20.0).otherwise(F.pmod("l_partkey", F.lit(3600)) / 10.0 - 180.0).alias("lon"),
+        F.when(returned, -6.0).otherwise(F.pmod(F.col("l_suppkey") * 7 + F.col("l_linenumber"), F.lit(170)) - 85.0).alias("lat"))
+    found = spatial.points_in_rings(points, mixed_areas(spark, folder), crowded_points=1_000)
+    return found.groupBy("area_id").agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("members"))
 
 
 @query("polygon_problems", """SELECT s_suppkey, (['', 'ring is not closed', 'repeated vertex;self-intersection', 'zero area', 'zero area;self-intersection', 'spans 180 degrees'])[s_suppkey % 6 + 1] AS problems FROM supplier""")

@@ -82,10 +82,27 @@ def test_bad_polygons_are_rejected(spark):
 def test_grid_join_equals_pairwise_test(spark):
     rings = spark.createDataFrame([(k, [(k + x, y) for x, y in SQUARE]) for k in range(5)], f"area_id int, ring {RING}")
     points = spark.createDataFrame([(i, i * 0.5, 1.0) for i in range(14)], "p int, lon double, lat double")
-    got = {(r["p"], r["area_id"]) for r in spatial.points_in_rings(points, rings, 0.7).collect()}
+    got = {(r["p"], r["area_id"]) for r in spatial.points_in_rings(points, rings).collect()}
     assert got == {(i, k) for i in range(14) for k in range(5) if k <= i * 0.5 <= k + 2}
 
 
+def test_world_wide_and_tiny_areas_with_a_crowded_cell(spark):
+    """Half of the points coincide; areas from a dot to the whole world, on cell borders and with one null ring."""
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    sides = [(-180.0, -90.0, 180.0, 90.0), (0.0, 0.0, 0.0, 0.0), (-45.0, -45.0, 45.0, 45.0), (11.2, 11.2, 11.3, 11.3), (90.0, -22.5, 180.0, 22.5),
+             (11.25, 11.25, 11.25, 30.0), (-400.0, -400.0, 400.0, 400.0)]
+    areas = spark.createDataFrame([(k, box(*b)) for k, b in enumerate(sides)] + [(99, None)], f"area_id int, ring {RING}")
+    places = [(i, 11.25, 11.25) for i in range(300)] + [(300 + i, (i * 37 % 3600) / 10 - 180, (i * 53 % 1800) / 10 - 90) for i in range(300)]
+    points = spark.createDataFrame(places + [(900, None, 1.0), (901, 0.0, 0.0)], "p int, lon double, lat double").withColumn("level", F.lit("x")).drop("level")
+    cells = spatial.area_cells(areas).groupBy("area_id").count().collect()
+    assert max(r["count"] for r in cells) <= 4
+    want = {(p, k) for p, x, y in [*places, (901, 0.0, 0.0)] for k, (w, s, e, n) in enumerate(sides) if w <= x <= e and s <= y <= n}
+    for crowded in (1, 50, 10**9):
+        found = [(r["p"], r["area_id"]) for r in spatial.points_in_rings(points.repartition(3), areas, crowded).collect()]
+        assert len(found) == len(want) and set(found) == want
+    assert spatial.points_in_rings(points, areas.limit(0)).count() == 0
+
+
 def test_footprint_uses_cell_centres(spark):
     area = spark.createDataFrame([(1, 5.0, 5.0, 95.0, 55.0, [(5.0, 5.0), (95.0, 5.0), (95.0, 55.0), (5.0, 55.0), (5.0, 5.0)])],
                                  f"area_id int, west double, south double, east double, north double, ring {RING}")

@@ -160,3 +160,32 @@ def test_future_rows_cannot_change_the_decision(spark):
         "SPECTRAL_RELATIVE_HOTSPOTS_PRESENT", "TEMPORAL_BASELINE_RELATIVELY_LOW", "TEMPORAL_TREND", "TEMPORAL_DECLINE_SUPPORT",
         "GROUND_UNAVAILABLE", "D06", "AUTOMATION_DISABLED"]
     assert "percentile 0.00 of 9 prior daily medians" in calm["trace"][1]["explanation"]
+
+
+def test_baseline_equals_a_loop_over_all_days(spark):
+    """Several targets a day, two measures, days whose acquisitions lie on either side of the window's ends."""
+    rng = np.random.default_rng(8)
+    start = dt.datetime(2024, 3, 1)
+    days, targets = [], []
+    for site in ("p", "q"):
+        for measure in ("m", "n"):
+            for d in range(0, 40, 1 if site == "p" else 3):
+                first = start + dt.timedelta(days=d, hours=int(rng.integers(0, 12)))
+                days.append((site, measure, first.date(), first, first + dt.timedelta(hours=int(rng.integers(0, 12))), float(rng.integers(0, 9))))
+        known = sorted({d[2] for d in days if d[0] == site})
+        for t in range(60):
+            at = start + dt.timedelta(days=int(rng.integers(0, 45)), hours=int(rng.integers(0, 24)))
+            targets.append((site, f"{site}{t}", at, known[int(rng.integers(0, len(known)))], 1.0))
+    frame = spark.createDataFrame(days, "site string, measure string, day date, first_at timestamp, last_at timestamp, v double")
+    wanted = spark.createDataFrame(targets, "site string, target_id string, target_at timestamp, compared_day date, absolute_gap_days double")
+    found = temporal.baseline(wanted, frame, ["site"], "v", lookback_days=10, measure=["measure"])
+    assert "sequence(" not in found._jdf.queryExecution().toString()
+    got = {(r.target_id, r.measure): (r.baseline_dates, r.baseline_median, r.percentile) for r in found.collect()}
+    assert len(got) == 2 * len(targets)
+    for site, target, at, compared, _ in targets:
+        for measure in ("m", "n"):
+            own = [d for d in days if d[:2] == (site, measure)]
+            base = [d[5] for d in own if d[3] >= at - dt.timedelta(days=10) and d[4] < at and d[2] != compared]
+            value = next(d[5] for d in own if d[2] == compared)
+            share = 100 * (sum(b < value for b in base) + 0.5 * sum(b == value for b in base)) / len(base) if len(base) >= 5 else None
+            assert got[(target, measure)] == (len(base), float(np.median(base)) if len(base) >= 5 else None, share)
