@@ -91,7 +91,7 @@ def slow_shingles(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def slow_documents(rows):
+def slow_documents(rows, percent=85):
     sets = {i: slow_shingles(t) for i, t in rows}
     holding = defaultdict(list)
     for i, s in sets.items():
@@ -103,7 +103,7 @@ def slow_documents(rows):
             for b in members:
                 if a < b and (a, b) not in tested:
                     tested.add((a, b))
-                    if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                         links.append((a, b))
     comp = joined(list(sets), links)
     return {(i, len(s), comp[i], comp[i] == i) for i, s in sets.items()}

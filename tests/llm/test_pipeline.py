@@ -23,7 +23,7 @@ def test_every_stage_against_brute_force(spark):
         if name == "language_id":
             assert {r.doc_id: r.text for r in got} == {i: t for i, t in before.items() if i < 9001}
         elif name == "near_duplicates":
-            assert {r.doc_id for r in got} == {r[0] for r in slow_documents(before.items()) if r[3]}
+            assert {r.doc_id for r in got} == {r[0] for r in slow_documents(before.items(), corpus_pipeline.NEAR_PERCENT) if r[3]}
         elif name == "repeated_strings":
             gone = {r[0]: r[2] for r in slow(before.items())}
             assert len(got) == len(before)

@@ -2,15 +2,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
-import public_tokenizers
-import tiktoken
 
 import corpus_pipeline
-from fieldscan.llm import bpe, minhash
-from fieldscan.llm.common import stored
+from fieldscan.llm import minhash
 from tests.llm.helpers import documents, given
 from tests.llm.test_near_duplicates import joined, slow_shingles
-from tests.llm.test_repeats import slow
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -64,29 +60,3 @@ def test_layouts_meet_their_bounds():
             other[rng.choice(layout.symbols, layout.distance, replace=False)] += np.uint16(1)
             keys = minhash.bucket_keys(np.stack([base, other]), layout)
             assert (keys[0] == keys[1]).any()
-
-
-def test_later_stages_against_brute_force(spark):
-    folder = "/root/testdata/sf0.001"
-    docs, before = documents(spark, [(d["doc_id"], d["text"], d["lang"], d["source"]) for d in given()]), {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, folder), name)
-        got = docs.collect()
-        if name == "near_duplicates":
-            assert {r.doc_id for r in got} == kept(before.items(), 80)
-        elif name == "repeated_strings":
-            gone = {r[0]: r[2] for r in slow(before.items())}
-            assert len(got) == len(before)
-            assert all(len(r.text.encode()) <= len(before[r.doc_id].encode()) - gone[r.doc_id] for r in got)
-            assert all(r.text == before[r.doc_id] for r in got if not gone[r.doc_id])
-        elif name == "source_mixing":
-            assert max(Counter(r.doc_id for r in got).values()) <= 3
-            assert all(before[r.doc_id].startswith(r.text.rstrip()) for r in got)
-        elif name == "byte_bpe":
-            ranks = bpe.rank_table(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-            library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            want = Counter((i, tuple(library.encode_ordinary(t))) for i, t in texts)
-            assert Counter((r.doc_id, tuple(memoryview(r.ids).cast("I").tolist())) for r in got) == want
-            break
-        texts = [(r.doc_id, r.text) for r in got]
-        before = dict(texts)
