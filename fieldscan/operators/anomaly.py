@@ -1,20 +1,21 @@
 """Unsupervised spectral anomaly score, one model per scene.
 
 Scenes are independent populations, so every step is keyed by scene. Scaler and components
-come from sums over all rows, the trees from their own draws out of all rows; scoring meets each
-scene's model in chunks of bounded size, so a scene holding most of the rows still spreads over
-the cluster.
+come from sums over all rows, the trees from their own draws out of all rows. Rows are scored where
+they lie, with the models sent to the workers while their measured size allows, and else in chunks
+of bounded size, so a scene holding most of the rows still spreads over the cluster.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,12 +24,17 @@ from fieldscan import constants as C
 from fieldscan.operators.lookup import lookup_join
 from fieldscan.operators.quantiles import join_groups, robust_statistics
 from fieldscan.operators.ranks import spearman
+from fieldscan.operators.spectra import GROUPS_HELD, fit_scaler, matrices, matrix_of, places
 from fieldscan.session import checkpointed
 
 CHUNK_ROWS = 50_000
+#: Models up to this size, as JSON text, are sent to every worker.
+MODEL_BYTES = 64 << 20
+#: Rows that step down all trees of a model at once.
+ROWS_AT_ONCE = 2_048
+#: Modulus of the rows' draws: products of two numbers below it, twice, stay in 64 bits.
+DRAW_PRIME = 2**31 - 1
 TREES_PER_GROUP = 20
-#: Groups whose partial matrices a task keeps before it hands them on.
-GROUPS_HELD = 64
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -43,28 +49,11 @@ def complete_spectra(scanned: DataFrame, audit: DataFrame, keys: list[str]) -> D
         .select(*keys, "pixel_id", F.transform("points", lambda p: p["v"]).alias("spectrum"))
 
 
-def fit_scaler(sample: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fit_rows, mean[], scale[]): population deviation; zero variance fails."""
-    per_band = sample.select(*keys, F.posexplode("spectrum").alias("band", "v")).groupBy(*keys, "band").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"))
-    checked = per_band.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(
-        F.raise_error(F.lit("a fitting band has zero variance")).cast("double")))
-    ordered = F.array_sort(F.collect_list(F.struct("band", "mean", "scale")))
-    return checked.groupBy(*keys).agg(F.max("n").alias("fit_rows"), ordered.alias("b")).select(
-        *keys, "fit_rows", F.transform("b", lambda b: b["mean"]).alias("mean"),
-        F.transform("b", lambda b: b["scale"]).alias("scale"))
-
-
 def _renewed(frame: DataFrame) -> DataFrame:
     """The same columns under new identities: both sides of a cogroup share their origin."""
     return frame.select(*[F.col(c).alias(c) for c in frame.columns])
 
 
-def _standardized(pdf: pd.DataFrame, model: pd.Series) -> np.ndarray:
-    values = np.asarray(pdf["spectrum"].tolist(), dtype=float)
-    return (values - np.asarray(model["mean"], dtype=float)) / np.asarray(model["scale"], dtype=float)
-
-
 def band_covariance(spectra: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, n, covariance) of the bands i >= j over all rows, as population covariance.
 
@@ -87,16 +76,9 @@ def band_covariance(spectra: DataFrame, keys: list[str]) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
         for batch in batches:
-            places: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True)):
-                places.setdefault(key, []).append(at)
-            spectrum = batch.column(len(keys))
-            starts, flat = spectrum.offsets.to_numpy(), spectrum.values.to_numpy(zero_copy_only=False)
-            for key, at in places.items():
-                size = starts[at[0] + 1] - starts[at[0]]
-                values = flat[starts[at][:, None] + np.arange(size)]
+            for key, values in matrices(batch, len(keys)):
                 mean = values.mean(axis=0)
-                part = (len(at), mean, (values - mean).T @ (values - mean))
+                part = (len(values), mean, (values - mean).T @ (values - mean))
                 held[key] = _combined(held[key], part) if key in held else part
             if len(held) > GROUPS_HELD:
                 yield from (rows_of(key, part) for key, part in held.items())
@@ -146,27 +128,69 @@ def fit_components(spectra: DataFrame, scaler: DataFrame, keys: list[str],
     return join_groups(scaler, fitted, keys, "inner")
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
-    """One isolation tree as parallel node arrays; feature -1 marks a leaf."""
-    nodes = {"feature": [], "threshold": [], "left": [], "right": [], "size": []}
-
-    def add(rows: np.ndarray, depth: int) -> int:
-        me = len(nodes["feature"])
-        for name, value in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("size", len(rows))):
-            nodes[name].append(value)
-        low, high = points[rows].min(axis=0), points[rows].max(axis=0)
-        splittable = np.flatnonzero(high > low)
-        if depth < height and len(rows) > 1 and len(splittable):
-            feature = int(rng.choice(splittable))
-            threshold = float(rng.uniform(low[feature], high[feature]))
-            goes_left = points[rows, feature] <= threshold
-            if goes_left.any() and not goes_left.all():
-                nodes["feature"][me], nodes["threshold"][me] = feature, threshold
-                nodes["left"][me] = add(rows[goes_left], depth + 1)
-                nodes["right"][me] = add(rows[~goes_left], depth + 1)
-        return me
-
-    add(np.arange(len(points)), 0)
+def component_residuals(cells: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, component, residual, length): how far correlation times axis is from share times axis, and the axis' length.
+
+    ``cells`` are those of ``band_covariance``. A share of the variance times the number of bands is the
+    eigenvalue, so a fitted component has residual 0 and length 1. Joins of cells with axes by band; no
+    task holds a matrix.
+    """
+    spread = cells.where("i = j").select(*keys, F.col("i").alias("band"), F.sqrt("covariance").alias("sd"))
+    whole = cells.select(*keys, "i", "j", "covariance").union(cells.where("i <> j").select(*keys, F.col("j"), F.col("i"), "covariance"))
+    scaled = whole.join(spread.select(*keys, F.col("band").alias("i"), F.col("sd").alias("sd_i")), [*keys, "i"]) \
+        .join(spread.select(*keys, F.col("band").alias("j"), F.col("sd").alias("sd_j")), [*keys, "j"]) \
+        .select(*keys, "i", "j", (F.col("covariance") / (F.col("sd_i") * F.col("sd_j"))).alias("r"))
+    axes = model.select(*keys, F.size("mean").alias("bands"), F.posexplode(F.arrays_zip("components", "ratios")).alias("component", "a")).select(
+        *keys, "bands", "component", F.col("a.ratios").alias("ratio"), F.posexplode("a.components").alias("j", "v"))
+    turned = scaled.join(axes, [*keys, "j"]).groupBy(*keys, "component", "i").agg(F.sum(F.col("r") * F.col("v")).alias("turned"))
+    both = turned.join(axes.withColumnRenamed("j", "i"), [*keys, "component", "i"])
+    return both.groupBy(*keys, "component").agg(
+        F.max(F.abs(F.col("turned") - F.col("ratio") * F.col("bands") * F.col("v"))).alias("residual"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+
+
+def unit_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) for a node (1 is the root, 2n and 2n + 1 are the sides of n), from an MD5 text."""
+    digits = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(digits[:8], 16) / 2**32, int(digits[8:16], 16) / 2**32
+
+
+def grow_tree(points: np.ndarray, seed: int, tree: int, height: int) -> dict[str, list]:
+    """One isolation tree as parallel node arrays; feature -1 marks a leaf.
+
+    A node's feature is drawn among those that vary in its rows, its threshold between their least and
+    largest value, both from ``unit_draws``; a value up to the threshold goes left. All nodes of a level
+    are split together.
+    """
+    nodes = {"feature": [-1], "threshold": [0.0], "left": [-1], "right": [-1], "size": [len(points)]}
+    open_nodes, sizes, order = [(0, 1)], np.array([len(points)]), np.arange(len(points))
+    for _ in range(height):
+        if not open_nodes:
+            break
+        values, place, starts = points[order], np.arange(len(open_nodes)), np.cumsum(sizes) - sizes
+        low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+        varies = high > low
+        draws = np.array([unit_draws(seed, tree, number) for _, number in open_nodes])
+        nth = (draws[:, 0] * varies.sum(axis=1)).astype(int)
+        feature = (varies.cumsum(axis=1) > nth[:, None]).argmax(axis=1)
+        threshold = low[place, feature] + draws[:, 1] * (high[place, feature] - low[place, feature])
+        owner = np.repeat(place, sizes)
+        goes_left = values[np.arange(len(order)), feature[owner]] <= threshold[owner]
+        lefts = np.bincount(owner, goes_left, len(place)).astype(int)
+        splits = varies.any(axis=1) & (lefts > 0) & (lefts < sizes)
+        following = []
+        for at in np.flatnonzero(splits).tolist():
+            me, number = open_nodes[at]
+            first = len(nodes["size"])
+            nodes["feature"][me], nodes["threshold"][me] = int(feature[at]), float(threshold[at])
+            nodes["left"][me], nodes["right"][me] = first, first + 1
+            for child, size in enumerate((int(lefts[at]), int(sizes[at] - lefts[at]))):
+                following.append((first + child, 2 * number + child))
+                for name, value in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("size", size)):
+                    nodes[name].append(value)
+        stay = splits[owner]
+        side = 2 * owner[stay] + ~goes_left[stay]
+        order = order[stay][np.argsort(side, kind="stable")]
+        open_nodes, sizes = following, np.array([nodes["size"][at] for at, _ in following])
     return nodes
 
 
@@ -178,55 +202,81 @@ def average_path(size: np.ndarray | int) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, deep))
 
 
+def tree_factors(seed: int, trees: int) -> list[tuple[int, int, int, int]]:
+    """(tree, first, second, third) of the rows' draws, below DRAW_PRIME, from MD5 texts."""
+    out = []
+    for tree in range(trees):
+        digits = hashlib.md5(f"{seed}:{tree}".encode()).hexdigest()
+        out.append((tree, *[1 + int(digits[at:at + 8], 16) % (DRAW_PRIME - 1) for at in (0, 8, 16)]))
+    return out
+
+
 def drawn_rows(spectra: DataFrame, keys: list[str], trees: int, samples: int, seed: int) -> DataFrame:
     """(keys, pixel_id, spectrum, tree, population): for each tree ``samples`` rows of the whole group, all of a smaller one.
 
-    Every row draws a hash per tree; only rows with a surviving draw leave the scan, about four
-    times as many as needed, of which exactly ``samples`` stay by hash order: no replacement, and
-    the same rows under any partitioning. Fewer survivors than needed fail the job (at 256 samples
-    the odds are below 1e-150 a tree).
+    A row's identity is hashed once to two numbers; a tree's draw combines them with the tree's factors
+    modulo a prime. Only rows with a surviving draw leave the scan, about four times as many as needed,
+    of which exactly ``samples`` stay by the order of their draws: no replacement, and the same rows
+    under any partitioning. Fewer survivors than needed fail the job; 256 are 24 standard deviations
+    below the expected 1024.
     """
     sizes = checkpointed(spectra.groupBy(*keys).agg(F.count(F.lit(1)).alias("population")))
     known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("population").alias("weight")).first()
     counted = lookup_join(spectra.select(*keys, "pixel_id", "spectrum"), sizes, keys, "population",
                           known["groups"], known["weight"] or 0)
+    digits = F.md5(F.col("pixel_id").cast("string"))
+    number = lambda at: F.pmod(F.conv(F.substring(digits, at, 13), 16, 10).cast("bigint"), F.lit(DRAW_PRIME))
+    factors = np.array(tree_factors(seed, trees), np.int64)
+    schema = T.StructType([*[spectra.schema[c] for c in (*keys, "pixel_id")], T.StructField("spectrum", T.ArrayType(T.DoubleType())),
+                           T.StructField("population", T.LongType()), T.StructField("tree", T.IntegerType()), T.StructField("draw", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
-    def draw(tree: Column) -> Column:
-        return F.xxhash64(F.lit(seed), tree, F.col("pixel_id"))
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                x, y, population = (batch.column(batch.num_columns - n).to_numpy()[:, None] for n in (2, 1, 3))
+                draws = (factors[:, 1] * x + factors[:, 2] * y + factors[:, 3]) % DRAW_PRIME
+                row, tree = np.nonzero(draws < 4.0 * samples * DRAW_PRIME / population)
+                kept = [batch.column(n).take(pa.array(row)) for n in range(batch.num_columns - 2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(tree.astype(np.int32)), pa.array(draws[row, tree])], schema=arrow)
 
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(draw(tree), F.col("population")) < 4 * samples)
-    draws = counted.withColumn("_trees", chosen).where(F.size("_trees") > 0) \
-        .select("*", F.explode("_trees").alias("tree")).drop("_trees").withColumn("_draw", draw(F.col("tree")))
-    order = Window.partitionBy(*keys, "tree").orderBy("_draw", "pixel_id")
-    return draws.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= samples).drop("_draw", "_place")
+    chosen = counted.select(*keys, "pixel_id", F.col("spectrum").cast("array<double>").alias("spectrum"), "population",
+                            number(1).alias("_x"), number(14).alias("_y")).mapInArrow(draw, schema)
+    order = Window.partitionBy(*keys, "tree").orderBy("draw", "pixel_id")
+    return chosen.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= samples).drop("draw", "_place")
 
 
-def fit_forest(spectra: DataFrame, model: DataFrame, keys: list[str], trees: int = C.FOREST_TREES,
-               samples: int = C.FOREST_SAMPLES, seed: int = C.MODEL_SEED) -> DataFrame:
-    """(keys, trees[], sample_size): isolation trees in component space, grown TREES_PER_GROUP to a task."""
+def fit_forest(points: DataFrame, keys: list[str], trees: int = C.FOREST_TREES, samples: int = C.FOREST_SAMPLES,
+               seed: int = C.MODEL_SEED, model: DataFrame | None = None) -> DataFrame:
+    """(keys, trees[], sample_size): isolation trees over the column ``spectrum``, grown TREES_PER_GROUP to a task.
+
+    With a ``model`` of mean, scale and components the drawn rows are projected first.
+    """
+    drawn = drawn_rows(points, keys, trees, samples, seed)
+    if model is not None:
+        extra = ["pixel_id", "tree", "population"]
+        drawn = apply_models(drawn, model.select(*keys, "mean", "scale", "components"), keys, extra, "spectrum", project,
+                             T.StructField("spectrum", T.ArrayType(T.DoubleType())))
     part = F.floor(F.col("tree") / TREES_PER_GROUP)
-    drawn = drawn_rows(spectra, keys, trees, samples, seed).withColumn("part", part)
-    last = (trees - 1) // TREES_PER_GROUP
-    copies = model.select(*keys, "mean", "scale", "components", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("part"))
     node = T.StructType([
-        *[spectra.schema[k] for k in keys], T.StructField("tree", T.IntegerType()),
+        *[points.schema[k] for k in keys], T.StructField("tree", T.IntegerType()),
         T.StructField("sample_size", T.LongType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
         T.StructField("threshold", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
         T.StructField("right", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType()))])
 
-    def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for tree, rows in left.sort_values(["tree", "pixel_id"]).groupby("tree"):
+        for tree, rows in group.groupby("tree"):
             wanted = min(samples, int(rows["population"].iloc[0]))
             if len(rows) != wanted:
                 raise ValueError(f"a tree drew {len(rows)} of {wanted} rows")
-            points = _standardized(rows, right.iloc[0]) @ np.asarray(right.iloc[0]["components"].tolist(), dtype=float).T
-            nodes = grow_tree(points, np.random.default_rng([seed, int(tree)]), max(1, math.ceil(math.log2(wanted))))
+            matrix = np.asarray(rows["spectrum"].tolist(), dtype=float)
+            nodes = grow_tree(matrix, seed, int(tree), max(1, math.ceil(math.log2(wanted))))
             out.append({**{k: rows[k].iloc[0] for k in keys}, "tree": int(tree), "sample_size": wanted, **nodes})
         return pd.DataFrame(out)
 
-    by = [*keys, "part"]
-    grown = drawn.groupBy(*by).cogroup(_renewed(copies).groupBy(*by)).applyInPandas(grow, node)
+    grown = drawn.withColumn("part", part).groupBy(*keys, "part").applyInPandas(grow, node)
     return grown.groupBy(*keys).agg(F.max("sample_size").alias("sample_size"), F.array_sort(F.collect_list(
         F.struct("tree", "feature", "threshold", "left", "right", "size"))).alias("trees"))
 
@@ -234,57 +284,101 @@ def fit_forest(spectra: DataFrame, model: DataFrame, keys: list[str], trees: int
 def fit_anomaly(spectra: DataFrame, keys: list[str], seed: int = C.MODEL_SEED, trees: int = C.FOREST_TREES) -> DataFrame:
     """One model row per scene, fitted on all its rows. Only spectra enter; no label, score or weight can."""
     model = checkpointed(fit_components(spectra, fit_scaler(spectra, keys), keys))
-    return checkpointed(join_groups(model, fit_forest(spectra, model, keys, trees, seed=seed), keys, "inner"))
-
-
-def score_points(points: np.ndarray, trees: list, sample_size: int) -> np.ndarray:
-    """2 ** -(mean path length / expected path length); higher is more unusual."""
-    total = np.zeros(len(points))
-    rows = np.arange(len(points))
-    for tree in trees:
-        feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
-        left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
-        at, depth = np.zeros(len(points), dtype=int), np.zeros(len(points))
-        moving = feature[at] >= 0
-        while moving.any():
-            here, who = at[moving], rows[moving]
-            goes_left = points[who, feature[here]] <= threshold[here]
-            at[moving] = np.where(goes_left, left[here], right[here])
-            depth[moving] += 1
-            moving = feature[at] >= 0
-        total += depth + average_path(np.asarray(tree["size"])[at])
-    expected = max(float(average_path(sample_size)[0]), np.finfo(float).tiny)
+    return checkpointed(join_groups(model, fit_forest(spectra, keys, trees, seed=seed, model=model), keys, "inner"))
+
+
+def project(values: np.ndarray, model: dict) -> np.ndarray:
+    """Rows in component space."""
+    standard = (values - np.asarray(model["mean"], dtype=float)) / np.asarray(model["scale"], dtype=float)
+    return standard @ np.asarray([list(c) for c in model["components"]], dtype=float).T
+
+
+def score_points(points: np.ndarray, model: dict) -> np.ndarray:
+    """2 ** -(mean path length / expected path length); higher is more unusual. All trees step down together."""
+    trees = model["trees"]
+    sizes = [len(tree["feature"]) for tree in trees]
+    roots = np.cumsum(sizes) - sizes
+    join = lambda name: np.concatenate([np.asarray(tree[name]) for tree in trees])
+    shift = np.repeat(roots, sizes)
+    feature, threshold, left, right = join("feature"), join("threshold"), join("left") + shift, join("right") + shift
+    leaf = average_path(join("size"))
+    expected = max(float(average_path(model["sample_size"])[0]), np.finfo(float).tiny)
+    total = np.empty(len(points))
+    for start in range(0, len(points), ROWS_AT_ONCE):
+        rows = points[start:start + ROWS_AT_ONCE]
+        at = np.tile(roots, (len(rows), 1))
+        depth = np.zeros(at.shape)
+        who, which = np.nonzero(feature[at] >= 0)
+        while len(who):
+            here = at[who, which]
+            at[who, which] = np.where(rows[who, feature[here]] <= threshold[here], left[here], right[here])
+            depth[who, which] += 1
+            moving = feature[at[who, which]] >= 0
+            who, which = who[moving], which[moving]
+        total[start:start + ROWS_AT_ONCE] = (depth + leaf[at]).sum(axis=1)
     return np.exp2(-total / len(trees) / expected)
 
 
-def score_anomaly(spectra: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pixel_id, anomaly_score) for every complete spectrum.
+def apply_models(rows: DataFrame, models: DataFrame, keys: list[str], extra: list[str], values: str,
+                 function: Callable[[np.ndarray, dict], np.ndarray], out: T.StructField) -> DataFrame:
+    """(keys, extra, out): ``function`` of each group's rows of ``values`` (double arrays) and its model row.
 
-    A scene is cut into chunks of about CHUNK_ROWS pixels by hash, and its model
-    row is copied to each chunk.
+    Models of MODEL_BYTES at most, as measured, are sent to all workers and rows stay where they lie.
+    Beyond, a group is cut by hash into chunks of about CHUNK_ROWS rows and its model copied to each.
     """
-    sizes = checkpointed(spectra.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    schema = T.StructType([*[rows.schema[c] for c in (*keys, *extra)], out])
+    wanted = rows.select(*keys, F.col(values).cast("array<double>").alias(values), *extra)
+    models = checkpointed(models)
+    text = F.sum(F.length(F.to_json(F.struct(*[c for c in models.columns if c not in keys]))).cast("bigint"))
+    if (models.agg(text).first()[0] or 0) > MODEL_BYTES:
+        return _apply_by_chunk(wanted, models, keys, extra, values, function, schema)
+    known = {tuple(row[k] for k in keys): row.asDict(recursive=True) for row in models.collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = {key: at for key, at in places(batch, len(keys)).items() if key in sent.value}
+            found = {key: function(matrix_of(batch.column(len(keys)), at), sent.value[key]) for key, at in spots.items()}
+            if not found:
+                continue
+            order = pa.array(np.concatenate(list(spots.values())))
+            result = pa.array([v for part in found.values() for v in part.tolist()], arrow.field(out.name).type)
+            kept = [batch.column(n).take(order) for n in range(batch.num_columns) if n != len(keys)]
+            yield pa.RecordBatch.from_arrays([*kept, result], schema=arrow)
+
+    return wanted.mapInArrow(run, schema)
+
+
+def _apply_by_chunk(rows: DataFrame, models: DataFrame, keys: list[str], extra: list[str], values: str,
+                    function: Callable[[np.ndarray, dict], np.ndarray], schema: T.StructType) -> DataFrame:
+    sizes = checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     summary = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("weight")).first()
     chunks = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS))
-    rows = lookup_join(spectra.select(*keys, "pixel_id", "spectrum"), sizes, keys, "_n",
-                       summary["groups"], summary["weight"] or 0) \
-        .withColumn("chunk", F.pmod(F.xxhash64("pixel_id"), chunks)).drop("_n")
-    copies = join_groups(model, sizes, keys, "inner") \
+    placed = lookup_join(rows, sizes, keys, "_n", summary["groups"], summary["weight"] or 0) \
+        .withColumn("chunk", F.pmod(F.xxhash64(*extra), chunks)).drop("_n")
+    copies = join_groups(models, sizes, keys, "inner") \
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))).drop("_n")
-    schema = T.StructType([*[spectra.schema[f] for f in (*keys, "pixel_id")], T.StructField("anomaly_score", T.DoubleType())])
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[[*keys, "pixel_id"]].copy()
-        if len(left):
-            row = right.iloc[0]
-            points = _standardized(left, row) @ np.asarray(row["components"].tolist(), dtype=float).T
-            out["anomaly_score"] = score_points(points, list(row["trees"]), int(row["sample_size"]))
-        else:
-            out["anomaly_score"] = pd.Series(dtype="float64")
-        return out
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        result = left[[*keys, *extra]].copy()
+        found = function(np.asarray(left[values].tolist(), dtype=float), right.iloc[0].to_dict()).tolist() if len(left) and len(right) else []
+        result = result.iloc[:len(found)]
+        result[schema[-1].name] = found
+        return result
 
     by = [*keys, "chunk"]
-    return rows.groupBy(*by).cogroup(_renewed(copies).groupBy(*by)).applyInPandas(score, schema)
+    return placed.groupBy(*by).cogroup(_renewed(copies).groupBy(*by)).applyInPandas(run, schema)
+
+
+def score_anomaly(spectra: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pixel_id, anomaly_score) of every spectrum; a model without components scores the spectra as they are."""
+    axes = "components" in model.columns
+
+    def score(values: np.ndarray, row: dict) -> np.ndarray:
+        return score_points(project(values, row) if axes else values, row)
+
+    return apply_models(spectra, model, keys, ["pixel_id"], "spectrum", score, T.StructField("anomaly_score", T.DoubleType()))
 
 
 def component_table(model: DataFrame, keys: list[str]) -> DataFrame:

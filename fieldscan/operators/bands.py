@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fieldscan import constants as C
 from fieldscan.functions import reflectance as R
 from fieldscan.functions.checks import errors
+from fieldscan.operators.lookup import lookup_join
 from fieldscan.operators.quantiles import exact_quantiles
+from fieldscan.session import checkpointed
 
 
 def band_table(scenes: DataFrame, asset: str = "asset") -> DataFrame:
@@ -53,13 +55,18 @@ def nearest_bands(bands: DataFrame, targets: dict[str, float] | None = None,
 def scan_bands(spectra: DataFrame, bands: DataFrame, window: tuple[float, float] = C.ANALYSIS_WINDOW_NM) -> DataFrame:
     """In-window spectra with wavelength, nodata and cleaned reflectance attached.
 
-    The band table is a dimension (a few hundred rows per sensor); Catalyst
-    broadcasts it when its measured size allows.
+    The band table is a dimension of a few hundred rows per sensor. Its rows are counted: it is
+    broadcast while they are few, and else joined with the rows of its most frequent bands salted.
     """
-    wanted = bands.where(R.in_window(F.col("wavelength_nm"), window)) \
-        .select("scene_id", "band_index", "wavelength_nm", "nodata")
-    return spectra.join(wanted, ["scene_id", "band_index"]).withColumn(
-        "valid_reflectance", R.valid_reflectance(F.col("reflectance"), None, F.col("nodata")))
+    on = ["scene_id", "band_index"]
+    wanted = checkpointed(bands.where(R.in_window(F.col("wavelength_nm"), window)).select(*on, "wavelength_nm", "nodata"))
+
+    def weighed() -> tuple[DataFrame, int]:
+        counts = checkpointed(spectra.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")))
+        return wanted.join(counts, on), counts.agg(F.sum("_rows")).first()[0] or 0
+
+    return lookup_join(spectra, wanted, on, "_rows", wanted.count(), weighed=weighed).where(F.col("wavelength_nm").isNotNull()) \
+        .drop("_rows").withColumn("valid_reflectance", R.valid_reflectance(F.col("reflectance"), None, F.col("nodata")))
 
 
 def band_audit(scanned: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,6 +76,11 @@ def band_audit(scanned: DataFrame, keys: list[str]) -> DataFrame:
         F.count(value).alias("valid_count"), F.count_if(value.isNull()).alias("invalid_count"),
         F.count_if(value > 1).alias("above_one_count"),
         (F.min(value) == F.max(value)).alias("_constant"))
+    return audit_reasons(audit)
+
+
+def audit_reasons(audit: DataFrame) -> DataFrame:
+    """Exclusion reasons and retention from valid_count, wavelength_nm and _constant."""
     reasons = errors(
         F.when(R.in_caution(F.col("wavelength_nm")), F.lit("atmospheric_caution_1350_1450_nm")),
         F.when(F.col("valid_count") == 0, F.lit("no_valid_candidate_reflectance"))

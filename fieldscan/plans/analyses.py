@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscan import constants as C
-from fieldscan.operators import anomaly, bands, decision, mosaic, screening, temporal
+from fieldscan.operators import anomaly, decision, mosaic, screening, spectra, temporal
 from fieldscan.operators.lookup import lookup_join
 from fieldscan.operators.quantiles import robust_statistics
-from fieldscan.session import checkpointed
+from fieldscan.session import checkpointed, spread
 
 
 def screen_scenes(pixels: DataFrame, masks: list[str], keys: list[str],
@@ -78,11 +78,11 @@ def fuse(spectral: DataFrame, temporal_rows: DataFrame, rules: DataFrame, keys:
     return decided.withColumn("trace", decision.reasoning_trace(decided))
 
 
-def score_scenes(spectra: DataFrame, band_table: DataFrame, keys: list[str], trees: int = C.FOREST_TREES) -> dict[str, DataFrame]:
-    """Candidate spectra to band audit, model and anomaly scores."""
-    scanned = bands.scan_bands(spectra, band_table)
-    audit = bands.band_audit(scanned, keys)
-    complete = anomaly.complete_spectra(scanned, audit, keys).persist(StorageLevel.MEMORY_AND_DISK)
+def score_scenes(cube: DataFrame, band_table: DataFrame, keys: list[str], trees: int = C.FOREST_TREES) -> dict[str, DataFrame]:
+    """Candidate spectra (scene_id, pixel_id, reflectance[]) to band audit, model and anomaly scores."""
+    cleaned = spectra.cleaned_cube(cube, band_table)
+    audit = checkpointed(spectra.cube_audit(cleaned, band_table, keys))
+    complete = checkpointed(spread(spectra.complete_vectors(cleaned, audit, keys)))
     model = anomaly.fit_anomaly(complete, keys, trees=trees)
     return {"audit": audit, "spectra": complete, "model": model, "components": anomaly.component_table(model, keys),
             "scores": anomaly.score_anomaly(complete, model, keys)}

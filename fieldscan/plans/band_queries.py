@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscan import constants as C
 from fieldscan.functions import reflectance as R
-from fieldscan.operators import anomaly, bands
+from fieldscan.operators import anomaly, bands, spectra as spectra_ops
 from fieldscan.operators.ranks import spearman
 from fieldscan.plans.registry import query
-from fieldscan.plans.views import SPECTRA, big, r, spectra, spectra_bands, table
+from fieldscan.plans.views import SPECTRA, big, cube, r, spectra, spectra_bands, table
+from fieldscan.session import checkpointed, spread
 
 GROUP = ["scene_id", "group_id"]
 
@@ -75,7 +76,7 @@ def group_report(spark: SparkSession, folder: str) -> DataFrame:
     return bands.group_report(profiles, ["scene_id"], "group_id").withColumn("bands_without", big(F.size("bands_without")))
 
 
-@query("band_audit", f"""WITH {SPECTRA}
+AUDIT_SQL = f"""WITH {SPECTRA}
 SELECT scene_id, group_id, band_index::BIGINT AS band_index, count(valid_reflectance) AS valid_count,
   count(*) - count(valid_reflectance) AS invalid_count, count(*) FILTER (valid_reflectance > 1) AS above_one_count,
   concat_ws(';', CASE WHEN wavelength_nm BETWEEN 1350 AND 1450 THEN 'atmospheric_caution_1350_1450_nm' END,
@@ -83,13 +84,25 @@ SELECT scene_id, group_id, band_index::BIGINT AS band_index, count(valid_reflect
          WHEN min(valid_reflectance) = max(valid_reflectance) THEN 'constant_candidate_reflectance' END) AS reasons,
   NOT (wavelength_nm BETWEEN 1350 AND 1450) AND count(valid_reflectance) > 0
     AND min(valid_reflectance) <> max(valid_reflectance) AS retained
-FROM spectra GROUP BY scene_id, group_id, band_index, wavelength_nm""")
-def band_audit(spark: SparkSession, folder: str) -> DataFrame:
-    audit = bands.band_audit(scanned(spark, folder), GROUP)
+FROM spectra GROUP BY scene_id, group_id, band_index, wavelength_nm"""
+
+
+def audit_rows(audit: DataFrame) -> DataFrame:
     return audit.select(*GROUP, big(F.col("band_index")).alias("band_index"), "valid_count", "invalid_count", "above_one_count",
                         F.array_join("exclusion_reasons", ";").alias("reasons"), F.coalesce("retained", F.lit(False)).alias("retained"))
 
 
+@query("cube_audit", AUDIT_SQL)
+def cube_audit(spark: SparkSession, folder: str) -> DataFrame:
+    bands_of = spectra_bands(spark, folder)
+    return audit_rows(spectra_ops.cube_audit(spectra_ops.cleaned_cube(cube(spark, folder), bands_of), bands_of, GROUP))
+
+
+@query("band_audit", AUDIT_SQL)
+def band_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_rows(bands.band_audit(scanned(spark, folder), GROUP))
+
+
 COMPLETE = """
 shifted AS (SELECT *, CASE WHEN reflectance + 3e-1 >= 0 AND reflectance + 3e-1 <> 25e-2 THEN reflectance + 3e-1 END AS v FROM spectra),
 kept AS (SELECT group_id, band_index FROM shifted WHERE NOT wavelength_nm BETWEEN 1350 AND 1450 GROUP BY ALL
@@ -100,8 +113,14 @@ complete AS (SELECT s.scene_id, s.group_id, pixel_id, count(*) AS retained_bands
 
 @query("complete_pixels", f"""WITH {SPECTRA}, {COMPLETE} SELECT scene_id, group_id, pixel_id, retained_bands FROM complete""")
 def complete_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    scan = scanned(spark, folder, shift=0.3)
-    return bands.complete_pixels(scan, bands.band_audit(scan, GROUP), GROUP)
+    return complete_vectors(spark, folder, 0.3).select(*GROUP, "pixel_id", F.size("spectrum").cast("bigint").alias("retained_bands"))
+
+
+def complete_vectors(spark: SparkSession, folder: str, shift: float) -> DataFrame:
+    """Complete vectors of the shifted spectra; kept where they are read more than once."""
+    bands_of = spectra_bands(spark, folder)
+    cleaned = spectra_ops.cleaned_cube(cube(spark, folder, shift), bands_of)
+    return spectra_ops.complete_vectors(cleaned, spectra_ops.cube_audit(cleaned, bands_of, GROUP), GROUP)
 
 
 @query("scaler_statistics", f"""WITH {SPECTRA}, {COMPLETE},
@@ -110,8 +129,7 @@ placed AS (SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY band_inde
 SELECT group_id, position::BIGINT AS position, count(*) AS fit_rows, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS scale
 FROM placed GROUP BY ALL""")
 def scaler_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    scan = scanned(spark, folder, shift=0.3)
-    scaler = anomaly.fit_scaler(anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP), GROUP)
+    scaler = spectra_ops.fit_scaler(complete_vectors(spark, folder, 0.3), GROUP)
     return scaler.select("group_id", "fit_rows", F.posexplode(F.arrays_zip("mean", "scale")).alias("position", "b")).select(
         "group_id", big(F.col("position")).alias("position"), "fit_rows", r(F.col("b.mean"), 8).alias("mean"), r(F.col("b.scale"), 8).alias("scale"))
 
@@ -230,16 +248,70 @@ placed AS (SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY band_inde
 SELECT a.group_id, a.position::BIGINT AS i, b.position::BIGINT AS j, count(*) AS fit_rows, round(covar_pop(a.v, b.v), 8) + 0e0 AS covariance
 FROM placed a JOIN placed b ON a.group_id = b.group_id AND a.pixel_id = b.pixel_id AND b.position <= a.position GROUP BY ALL""")
 def band_covariance(spark: SparkSession, folder: str) -> DataFrame:
-    scan = scanned(spark, folder, shift=0.3)
-    matrix = anomaly.band_covariance(anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP), GROUP)
+    matrix = anomaly.band_covariance(complete_vectors(spark, folder, 0.3), GROUP)
     return matrix.select("group_id", big(F.col("i")).alias("i"), big(F.col("j")).alias("j"), F.col("n").alias("fit_rows"),
                          r(F.col("covariance"), 8).alias("covariance"))
 
 
 def model_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """All-positive spectra, so every vector is complete; kept, as fitting and scoring both read them."""
-    scan = scanned(spark, folder, shift=1.0)
-    return anomaly.complete_spectra(scan, bands.band_audit(scan, GROUP), GROUP).persist(StorageLevel.MEMORY_AND_DISK)
+    return checkpointed(spread(complete_vectors(spark, folder, 1.0)))
+
+
+@query("component_residuals", f"""WITH {SPECTRA},
+per AS (SELECT group_id, band_index, stddev_pop(reflectance) AS sd FROM spectra WHERE NOT wavelength_nm BETWEEN 1350 AND 1450 GROUP BY ALL)
+SELECT group_id, count(*) AS bands, true AS solves, true AS unit_length, true AS fewest_above FROM per WHERE sd > 0 GROUP BY ALL""")
+def component_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """Every component solves its eigenvalue equation, has length 1, and one fewer would not reach the share."""
+    inputs = model_inputs(spark, folder)
+    cells = checkpointed(anomaly.band_covariance(inputs, GROUP))
+    model = checkpointed(anomaly.fit_components(inputs, anomaly.fit_scaler(inputs, GROUP), GROUP))
+    residuals = anomaly.component_residuals(cells, model, GROUP).groupBy(*GROUP).agg(
+        (F.max("residual") < 1e-9).alias("solves"), (F.max(F.abs(F.col("length") - 1)) < 1e-9).alias("unit_length"))
+    total, last = F.aggregate("ratios", F.lit(0.0), lambda a, v: a + v), F.element_at("ratios", -1)
+    return residuals.join(model, GROUP).select("group_id", big(F.size("mean")).alias("bands"), "solves", "unit_length", (
+        (total > C.PCA_VARIANCE) & (total - last <= C.PCA_VARIANCE)).alias("fewest_above"))
+
+
+TREES, TREE_ROWS, TREE_HEIGHT = 4, 16, 4
+
+
+def forest_sql() -> str:
+    """The trees and scores of ``anomaly.fit_forest`` on raw bands, level by level."""
+    factors = ", ".join(str(f) for f in anomaly.tree_factors(C.MODEL_SEED, TREES))
+    number = lambda at: f"(CAST('0x' || substr(md5(pixel_id::VARCHAR), {at}, 13) AS BIGINT) % {anomaly.DRAW_PRIME})"
+    unit = lambda at: f"CAST('0x' || substr(md5('{C.MODEL_SEED}:' || tree || ':' || node), {at}, 8) AS BIGINT) / 4294967296e0"
+    steps = []
+    for depth in range(TREE_HEIGHT):
+        steps.append(f"""range{depth} AS (SELECT group_id, tree, node, band_index, min(v) AS low, max(v) AS high FROM at{depth} JOIN bands USING (group_id, pixel_id) GROUP BY ALL),
+vary{depth} AS (SELECT *, row_number() OVER (PARTITION BY group_id, tree, node ORDER BY band_index) - 1 AS place, count(*) OVER (PARTITION BY group_id, tree, node) AS n
+  FROM range{depth} WHERE high > low),
+split{depth} AS (SELECT group_id, tree, node, band_index, low + {unit(9)} * (high - low) AS threshold FROM vary{depth} WHERE place = floor({unit(1)} * n)),
+at{depth + 1} AS (SELECT group_id, tree, pixel_id, 2 * node + (v > threshold)::INT AS node FROM at{depth} JOIN split{depth} USING (group_id, tree, node) JOIN bands USING (group_id, pixel_id, band_index)),
+go{depth + 1} AS (SELECT group_id, tree, pixel_id, 2 * node + (v > threshold)::INT AS node FROM go{depth} JOIN split{depth} USING (group_id, tree, node) JOIN bands USING (group_id, pixel_id, band_index))""")
+    reached = " UNION ALL ".join(f"SELECT *, {d} AS depth FROM go{d}" for d in range(TREE_HEIGHT + 1))
+    sized = " UNION ALL ".join(f"SELECT group_id, tree, node, count(*) AS size FROM at{d} GROUP BY ALL" for d in range(TREE_HEIGHT + 1))
+    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + {anomaly.EULER_GAMMA}::DOUBLE) - 2e0 * ({n} - 1e0) / {n} END"
+    return f"""WITH {SPECTRA},
+bands AS (SELECT group_id, pixel_id, band_index, reflectance + 1e0 AS v FROM spectra WHERE NOT wavelength_nm BETWEEN 1350 AND 1450),
+pixels AS (SELECT DISTINCT group_id, pixel_id FROM bands),
+drawn AS (SELECT group_id, pixel_id, tree, (a * {number(1)} + b * {number(14)} + c) % {anomaly.DRAW_PRIME} AS draw FROM pixels, (VALUES {factors}) f(tree, a, b, c)),
+at0 AS (SELECT group_id, tree, pixel_id, 1 AS node FROM (SELECT *, row_number() OVER (PARTITION BY group_id, tree ORDER BY draw, pixel_id) AS place FROM drawn) WHERE place <= {TREE_ROWS}),
+go0 AS (SELECT group_id, tree, pixel_id, 1 AS node FROM pixels, (SELECT DISTINCT tree FROM at0)),
+{','.join(chr(10) + s for s in steps)},
+sizes AS ({sized}), visits AS ({reached}),
+leaves AS (SELECT group_id, tree, pixel_id, max_by(node, depth) AS node, max(depth) AS depth FROM visits GROUP BY ALL),
+lengths AS (SELECT group_id, pixel_id, sum(depth + {path('size')}) AS total FROM leaves JOIN sizes USING (group_id, tree, node) GROUP BY ALL),
+expected AS (SELECT group_id, least({TREE_ROWS}, count(*)) AS n FROM pixels GROUP BY ALL)
+SELECT 'S' AS scene_id, group_id, pixel_id, round(pow(2e0, -total / {TREES} / ({path('n')})), 9) AS anomaly_score FROM lengths JOIN expected USING (group_id)"""
+
+
+@query("forest_scores", forest_sql())
+def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Few small trees on the bands themselves, so that SQL can grow the same ones."""
+    inputs = model_inputs(spark, folder)
+    forest = anomaly.fit_forest(inputs, GROUP, TREES, TREE_ROWS)
+    return anomaly.score_anomaly(inputs, forest, GROUP).withColumn("anomaly_score", r(F.col("anomaly_score"), 9))
 
 
 @query("anomaly_components")

@@ -107,6 +107,13 @@ def spectra(spark: SparkSession, folder: str, shift: float = 0.0) -> DataFrame:
         .select("scene_id", "group_id", "pixel_id", "band_index", (F.col("v").cast("double") + shift).alias("reflectance"))
 
 
+def cube(spark: SparkSession, folder: str, shift: float = 0.0) -> DataFrame:
+    """The same pixels with their whole spectrum as one array."""
+    e = table(spark, folder, "embeddings")
+    return e.select(F.lit("S").alias("scene_id"), F.col("label").cast("bigint").alias("group_id"), F.col("vec_id").alias("pixel_id"),
+                    F.transform("embedding", lambda v: v.cast("double") + shift).alias("reflectance"))
+
+
 def spectra_bands(spark: SparkSession, folder: str, step: float = 20.0) -> DataFrame:
     """The band dimension: positions up to the longest vector, 400 nm upward; one constant nodata."""
     longest = table(spark, folder, "embeddings").agg(F.max(F.size("embedding")).alias("n")).where("n > 0")

@@ -54,3 +54,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
     return frame.checkpoint()
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal the rows to as many partitions as there are cores, if the scan has fewer.
+
+    A small file is one partition, however dear its rows are to fit and score. Large scans stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -31,14 +31,12 @@ def test_flat_scenes_get_no_ranking(spark):
 
 
 def test_anomaly_analysis(spark):
-    spectra = views.spectra(spark, FOLDER, 1.0)
-    result = analyses.score_scenes(spectra, views.spectra_bands(spark, FOLDER), ["scene_id"], trees=20)
+    result = analyses.score_scenes(views.cube(spark, FOLDER, 1.0), views.spectra_bands(spark, FOLDER), ["scene_id"], trees=20)
     scores = result["scores"]
     assert scores.count() == result["spectra"].count() == 500
     assert scores.where("anomaly_score <= 0 OR anomaly_score >= 1").count() == 0
     components = result["components"].orderBy("component").collect()
     assert components[-1]["cumulative"] > 0.99 and (len(components) < 2 or components[-2]["cumulative"] <= 0.99)
-    result["spectra"].unpersist()
 
 
 @pytest.mark.parametrize("name", ["queries", "oracle_sql"])

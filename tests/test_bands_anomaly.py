@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscan.operators import anomaly, bands, sampling
+from fieldscan.operators import anomaly, bands, lookup, sampling, spectra
 
 KEYS = ["scene_id"]
 
@@ -59,6 +59,44 @@ def test_rule_cube(spark, parts):
     assert [v["pixel_id"] for v in vectors] == kept and len(vectors[0]["spectrum"]) == 3
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rule_cube_as_arrays(spark, parts, monkeypatch):
+    """The same audit and vectors as from long rows, through the broadcast and through the salted join."""
+    table, long = rule_cube(spark)
+    length = long.agg(F.max("band_index")).first()[0] + 1
+    filled = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(F.map_values(F.map_filter("m", lambda k, _: k == i)), F.lit(0)))
+    cube = long.groupBy("scene_id", "pixel_id").agg(F.map_from_entries(F.collect_list(F.struct("band_index", "reflectance"))).alias("m")) \
+        .select("scene_id", "pixel_id", filled.alias("reflectance")).repartition(parts)
+    scanned = bands.scan_bands(long, table)
+    want_audit = {r["band_index"]: r for r in bands.band_audit(scanned, KEYS).collect()}
+    want = {r["pixel_id"]: r["spectrum"] for r in anomaly.complete_spectra(scanned, bands.band_audit(scanned, KEYS), KEYS).collect()}
+    for most in (lookup.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", most)
+        cleaned = spectra.cleaned_cube(cube, table)
+        audit = spectra.cube_audit(cleaned, table, KEYS)
+        got = {r["band_index"]: r for r in audit.collect()}
+        for band, row in want_audit.items():
+            assert all(got[band][c] == row[c] for c in ("valid_count", "above_one_count", "exclusion_reasons", "retained"))
+        assert {r["pixel_id"]: r["spectrum"] for r in spectra.complete_vectors(cleaned, audit, KEYS).collect()} == want
+
+
+def test_position_statistics_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("abc"[i % 3], i, [None if rng.random() < 0.2 else float(x) for x in rng.normal(1e3, 1, 4 + i % 3)]) for i in range(300)]
+    rows += [("d", 900, [None, None])]
+    frame = spark.createDataFrame(rows, "g string, pixel_id long, v array<double>").repartition(5)
+    monkeypatch.setattr(spectra, "GROUPS_HELD", 1)
+    found = {(r["g"], r["position"]): r for r in spectra.position_statistics(frame, ["g"], "v").collect()}
+    assert found[("d", 0)]["valid_count"] == 0 and found[("d", 0)]["mean"] is None and found[("d", 0)]["low"] is None
+    for (g, position), r in found.items():
+        own = [v[position] for k, _, v in rows if k == g]
+        good = np.array([x for x in own if x is not None])
+        assert (r["valid_count"], r["invalid_count"]) == (len(good), len(own) - len(good))
+        if len(good):
+            assert r["mean"] == pytest.approx(good.mean(), rel=1e-12) and r["deviation"] == pytest.approx(good.std(), rel=1e-6)
+            assert (r["low"], r["high"]) == (good.min(), good.max())
+
+
 def test_atmospheric_edges(spark):
     rows = spark.createDataFrame([("s", i, p, float(p)) for i in range(5) for p in (1, 2)],
                                  "scene_id string, band_index int, pixel_id bigint, reflectance double")
@@ -129,6 +167,7 @@ def test_scores_rank_outlier_first_and_ignore_partitioning(spark, monkeypatch):
 
     first = scores(1)
     monkeypatch.setattr(anomaly, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(anomaly, "MODEL_BYTES", 0)  # models meet chunks by key instead of being sent
     second = scores(17)
     assert len(first) == 800 and first.keys() == second.keys()
     assert all(abs(first[k] - second[k]) < 1e-12 for k in first)
@@ -137,6 +176,24 @@ def test_scores_rank_outlier_first_and_ignore_partitioning(spark, monkeypatch):
         assert max((v, k) for k, v in first.items() if k[0] == scene)[1] == (scene, 0)
 
 
+def test_trees_split_rows_as_their_nodes_say():
+    points = np.random.default_rng(6).integers(0, 4, (200, 3)).astype(float)
+    tree = anomaly.grow_tree(points, 1, 2, 8)
+
+    def walk(node, rows, depth):
+        assert tree["size"][node] == len(rows)
+        if tree["feature"][node] < 0:
+            assert depth == 8 or len(rows) == 1 or (points[rows] == points[rows][0]).all()
+            return
+        left = points[rows, tree["feature"][node]] <= tree["threshold"][node]
+        assert 0 < left.sum() < len(rows)
+        walk(tree["left"][node], rows[left], depth + 1)
+        walk(tree["right"][node], rows[~left], depth + 1)
+
+    walk(0, np.arange(200), 0)
+    assert anomaly.grow_tree(np.ones((5, 2)), 1, 2, 3)["feature"] == [-1]
+
+
 def test_zero_variance_band_fails(spark):
     frame = spark.createDataFrame([("s", i, [1.0, float(i)]) for i in range(5)], "scene_id string, pixel_id bigint, spectrum array<double>")
     with pytest.raises(Exception, match="zero variance"):

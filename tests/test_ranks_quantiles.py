@@ -28,7 +28,7 @@ def path(request, monkeypatch):
     if request.param == "large":
         monkeypatch.setattr(ranks, "WINDOW_VALUES", 0)
         monkeypatch.setattr(quantiles, "WINDOW_ROWS", 0)
-        monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(lookup, "HOT_SHARE", 10)
     return request.param
 
