@@ -16,9 +16,23 @@ def is_hex_digest(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[0-9a-f]{64}$"), F.lit(False))
 
 
+OMITTED = "[credentials omitted]"
+
+
 def scrub_credentials(text: Column) -> Column:
-    """Replace the query string of every URL in a message."""
-    return F.regexp_replace(text, r"""(https?://[^\s?'"]+)\?[^\s'"]+""", r"$1?[credentials omitted]")
+    """Web addresses in a message without what follows their first question mark.
+
+    The message is cut at white space, each part that holds ``http://`` or ``https://`` before a question
+    mark is shortened, and a closing quote is kept.
+    """
+    def shortened(part: Column) -> Column:
+        head = F.substring_index(part, "?", 1)
+        closing = F.when(F.right(part, F.lit(1)).isin("'", '"'), F.right(part, F.lit(1))).otherwise("")
+        query = F.substr(part, F.length(head) + 2, F.length(part) - F.length(head) - 1 - F.length(closing))
+        address = head.contains("http://") | head.contains("https://")
+        return F.when(address & (F.length(query) > 0), F.concat(head, F.lit(f"?{OMITTED}"), closing)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, r"(?<=\s)|(?=\s)"), shortened), "")
 
 
 def product_id_ok(scene_id: Column, platform: Column, acquired_at: Column) -> Column:

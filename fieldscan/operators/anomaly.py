@@ -265,18 +265,22 @@ def fit_forest(points: DataFrame, keys: list[str], trees: int = C.FOREST_TREES,
         T.StructField("threshold", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
         T.StructField("right", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType()))])
 
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for tree, rows in group.groupby("tree"):
-            wanted = min(samples, int(rows["population"].iloc[0]))
+    arrow = to_arrow_schema(node)
+
+    def grow(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        matrix = matrix_of(group["spectrum"].chunk(0), np.arange(len(group)))
+        tree_of, population = group["tree"].to_numpy(), group["population"][0].as_py()
+        wanted, out = min(samples, population), []
+        for tree in np.unique(tree_of).tolist():
+            rows = np.flatnonzero(tree_of == tree)
             if len(rows) != wanted:
                 raise ValueError(f"a tree drew {len(rows)} of {wanted} rows")
-            matrix = np.asarray(rows["spectrum"].tolist(), dtype=float)
-            nodes = grow_tree(matrix, seed, int(tree), max(1, math.ceil(math.log2(wanted))))
-            out.append({**{k: rows[k].iloc[0] for k in keys}, "tree": int(tree), "sample_size": wanted, **nodes})
-        return pd.DataFrame(out)
+            nodes = grow_tree(matrix[rows], seed, tree, max(1, math.ceil(math.log2(wanted))))
+            out.append({**{k: group[k][0].as_py() for k in keys}, "tree": tree, "sample_size": wanted, **nodes})
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    grown = drawn.withColumn("part", part).groupBy(*keys, "part").applyInPandas(grow, node)
+    grown = drawn.withColumn("part", part).groupBy(*keys, "part").applyInArrow(grow, node)
     return grown.groupBy(*keys).agg(F.max("sample_size").alias("sample_size"), F.array_sort(F.collect_list(
         F.struct("tree", "feature", "threshold", "left", "right", "size"))).alias("trees"))
 

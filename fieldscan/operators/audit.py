@@ -44,6 +44,35 @@ def reconcile(saved: DataFrame, expected: DataFrame, keys: list[str], values: li
         F.when(status == "differs", differing).otherwise(F.array().cast("array<string>")).alias("differing"))
 
 
+def reconcile_parts(saved: dict[str, DataFrame], expected: dict[str, DataFrame], keys: list[str], values: dict[str, list[str]],
+                    absolute: float = C.ABS_TOLERANCE, relative: float = C.REL_TOLERANCE) -> DataFrame:
+    """(part, keys, status, differing): several saved tables against their recomputed ones, in one full-outer join.
+
+    Each part compares its own ``values``: numbers within the tolerance, booleans, dates and texts as
+    they are. NULL equals NULL. Keys are compared as text.
+    """
+    def long(tables: dict[str, DataFrame], side: str) -> DataFrame:
+        rows = []
+        for part, frame in tables.items():
+            numeric = {f.name for f in frame.schema.fields if isinstance(f.dataType, T.NumericType)}
+            cells = F.array(*[F.struct(
+                F.lit(v).alias("name"), (F.col(v).cast("double") if v in numeric else F.lit(None).cast("double")).alias("number"),
+                (F.lit(None).cast("string") if v in numeric else F.col(v).cast("string")).alias("text")) for v in values[part]])
+            rows.append(frame.select(F.lit(part).alias("part"), *[F.col(k).cast("string").alias(k) for k in keys], cells.alias(side)))
+        return reduce(DataFrame.unionByName, rows)
+
+    def apart(cell: Column) -> Column:
+        one, two = cell["saved"], cell["expected"]
+        return ~(close_to(one["number"], two["number"], absolute, relative) & one["text"].eqNullSafe(two["text"]))
+
+    both = long(saved, "saved").join(long(expected, "expected"), ["part", *keys], "full_outer")
+    pairs = F.filter(F.arrays_zip("saved", "expected"), apart)
+    status = (F.when(F.col("saved").isNull(), "missing").when(F.col("expected").isNull(), "extra")
+              .when(F.size(pairs) > 0, "differs").otherwise("equal"))
+    return both.select("part", *keys, status.alias("status"), F.when(status == "differs", F.transform(pairs, lambda c: c["saved"]["name"]))
+                       .otherwise(F.array().cast("array<string>")).alias("differing"))
+
+
 def evidence_audit(saved: DataFrame, keys: list[str], threshold: float = C.VEGETATION_NDVI) -> DataFrame:
     """Check saved pixel evidence against its own ranks, formula, classes and masks.
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.functions import reflectance as R
-from fieldscan.operators import anomaly, bands, spectra as spectra_ops
+from fieldscan.operators import anomaly, bands, screening, spectra as spectra_ops
 from fieldscan.operators.ranks import spearman
 from fieldscan.plans.registry import query
-from fieldscan.plans.views import SPECTRA, big, cube, r, spectra, spectra_bands, table
+from fieldscan.plans.views import EVIDENCE, MASKS, PIXELS, SPECTRA, big, cube, r, spectra, spectra_bands, table
 from fieldscan.session import checkpointed, spread
 
 GROUP = ["scene_id", "group_id"]
@@ -335,3 +335,50 @@ def anomaly_vs_index(spark: SparkSession, folder: str) -> DataFrame:
     scores = anomaly.score_anomaly(spectra_in, anomaly.fit_anomaly(spectra_in, GROUP), GROUP)
     paired = scores.join(spectra_in.select(*GROUP, "pixel_id", F.get("spectrum", F.lit(0)).alias("first_band")), [*GROUP, "pixel_id"])
     return spearman(paired, GROUP, "anomaly_score", "first_band").withColumn("rho", r(F.col("rho"), 6))
+
+
+RISK_SQL = EVIDENCE.replace(PIXELS, f"""
+{SPECTRA.strip()},
+deviations AS (SELECT group_id, pixel_id, reflectance, avg(reflectance) OVER (PARTITION BY group_id, band_index) AS mean FROM spectra),
+given AS (SELECT group_id, pixel_id, avg(abs(reflectance - mean)) AS anomaly_score FROM deviations GROUP BY ALL),
+pixels AS (SELECT group_id AS scene_id, pixel_id, 0 AS nodata_mask, 0 AS cloud_mask, 0 AS cirrus_mask, max(reflectance + 6e-1) FILTER (band_index = 13) AS red,
+  max(reflectance + 6e-1) FILTER (band_index = 15) AS red_edge, max(reflectance + 9e-1) FILTER (band_index = 23) AS nir,
+  max(reflectance + 6e-1) FILTER (band_index = 62) AS swir FROM spectra GROUP BY ALL)""")
+PAIRED_SQL = RISK_SQL + ", paired AS (SELECT e.scene_id, e.pixel_id, anomaly_score, risk_score, risk_class FROM evidence e JOIN given g ON g.group_id = e.scene_id AND g.pixel_id = e.pixel_id)"
+
+
+def scores_and_evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A given score (mean distance from the group's mean spectrum) of every pixel, and the risk evidence of the same pixels' four bands."""
+    pixels_of = cube(spark, folder)
+    means = spectra_ops.position_statistics(pixels_of, GROUP, "reflectance").groupBy(*GROUP).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda p: p["mean"]).alias("means"))
+    known = spectra_ops.attach(pixels_of, means, GROUP, "means")
+    apart = F.zip_with("reflectance", "means", lambda v, m: F.abs(v - m))
+    scores = known.select(F.col("group_id").alias("scene_id"), "pixel_id", (F.aggregate(apart, F.lit(0.0), lambda a, v: a + v) / F.size(apart)).alias("anomaly_score"))
+    band = lambda at, shift: F.get("reflectance", F.lit(at)) + shift
+    rows = pixels_of.select(F.col("group_id").alias("scene_id"), "pixel_id", *[F.lit(0).alias(m) for m in MASKS], band(13, 0.6).alias("red"),
+                            band(15, 0.6).alias("red_edge"), band(23, 0.9).alias("nir"), band(62, 0.6).alias("swir"))
+    screened = screening.with_vegetation(screening.with_indices(screening.with_quality(rows, MASKS)))
+    return scores, screening.risk_evidence(screened, ["scene_id"])
+
+
+@query("anomaly_risk_correlation", f"""WITH {PAIRED_SQL},
+r AS (SELECT scene_id, rank() OVER (PARTITION BY scene_id ORDER BY anomaly_score) + (count(*) OVER (PARTITION BY scene_id, anomaly_score) - 1) / 2e0 AS x,
+  rank() OVER (PARTITION BY scene_id ORDER BY risk_score) + (count(*) OVER (PARTITION BY scene_id, risk_score) - 1) / 2e0 AS y FROM paired)
+SELECT scene_id, count(*) AS population, round(CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END, 8) + 0e0 AS rho FROM r GROUP BY ALL""")
+def anomaly_risk_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    rho, _ = anomaly.compare_with_risk(*scores_and_evidence(spark, folder), ["scene_id"])
+    return rho.withColumn("rho", r(F.col("rho"), 8))
+
+
+@query("anomaly_by_risk_class", f"""WITH {PAIRED_SQL},
+centred AS (SELECT *, quantile_cont(anomaly_score, 0.5) OVER (PARTITION BY scene_id, risk_class) AS m FROM paired),
+classes AS (SELECT scene_id, unnest([1, 2, 3, 4]) AS risk_class FROM (SELECT DISTINCT group_id AS scene_id FROM given)),
+s AS (SELECT scene_id, risk_class, count(*) AS n, min(anomaly_score) AS low, max(anomaly_score) AS high, avg(anomaly_score) AS mean,
+  quantile_cont(anomaly_score, 0.5) AS median, quantile_cont(abs(anomaly_score - m), 0.5) AS mad FROM centred GROUP BY ALL)
+SELECT c.scene_id, c.risk_class::BIGINT AS risk_class, coalesce(n, 0) AS count, round(low, 9) AS min, round(high, 9) AS max, round(mean, 9) AS mean,
+  round(median, 9) AS median, round(mad, 9) AS median_absolute_deviation FROM classes c LEFT JOIN s ON c.scene_id = s.scene_id AND c.risk_class = s.risk_class""")
+def anomaly_by_risk_class(spark: SparkSession, folder: str) -> DataFrame:
+    _, by_class = anomaly.compare_with_risk(*scores_and_evidence(spark, folder), ["scene_id"])
+    return by_class.select("scene_id", big(F.col("risk_class")).alias("risk_class"), "count",
+                           *[r(F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "median_absolute_deviation")])

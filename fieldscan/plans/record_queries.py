@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.functions import checks, geometry as G, text as T, timestamps as TS
-from fieldscan.operators import audit, contract, spatial
+from fieldscan import schemas
+from fieldscan.operators import audit, bands, contract, spatial
 from fieldscan.plans.registry import query
 from fieldscan.plans.views import big, r, table
-from fieldscan.sources import export, manifest
+from fieldscan.sources import calibration, catalog, export, manifest
 
 
 def pick(values, index: Column) -> Column:
@@ -204,7 +205,9 @@ def product_id_checks(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", T.product_id_ok(scene, F.concat(F.lit("Sentinel-2"), letter), at).alias("id_ok"), T.is_hex_digest(digest).alias("digest_ok"))
 
 
-@query("scrubbed_messages", r"""SELECT page_id, regexp_replace('failed: ' || url || ' (retry)', '(https?://[^\s?''"]+)\?[^\s''"]+', '\1?[credentials omitted]', 'g') AS message FROM pages""")
+@query("scrubbed_messages", """WITH parts AS (SELECT page_id, list_transform(string_split('failed: ' || url || ' (retry)', ' '), lambda part: CASE
+  WHEN part[1:4] = 'http' AND strpos(part, '?') > 0 AND strpos(part, '?') < length(part) THEN split_part(part, '?', 1) || '?[credentials omitted]' ELSE part END) AS kept FROM pages)
+SELECT page_id, array_to_string(kept, ' ') AS message FROM parts""")
 def scrubbed_messages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select(
         "page_id", T.scrub_credentials(F.concat(F.lit("failed: "), "url", F.lit(" (retry)"))).alias("message"))
@@ -239,6 +242,46 @@ def listed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("tile")).agg(F.count(F.lit(1)).alias("events"), F.sum(big(F.size(T.split_list(text)))).alias("listed"))
 
 
+# --- documents printed from rows and parsed back -----------------------------------
+
+@query("calibration_table", """WITH b(band, place) AS (VALUES ('B04', 0), ('B05', 1), ('B8A', 2), ('B11', 3)),
+o AS (SELECT o_orderkey AS scene_id, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN -1e0 ELSE 1e4 END AS quantification, o_orderkey % 7 = 0 AS repeated,
+  CASE WHEN (o_orderkey + place) % 9 = 0 OR (o_orderkey % 8 = 0 AND place = 1) THEN NULL ELSE -1e3 - place * 1e2 - o_custkey % 10 END AS add_offset, band FROM orders, b)
+SELECT scene_id, band, quantification, add_offset, concat_ws(';', CASE WHEN repeated OR quantification <= 0 THEN 'missing or invalid quantification value' END,
+  CASE WHEN add_offset IS NULL THEN 'missing or nonfinite offset' END) AS problems FROM o""")
+def calibration_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One product document per order; quantification values are repeated or not positive, offsets are absent or no number."""
+    o, k = table(spark, folder, "orders"), F.col("o_orderkey")
+    value = F.when(k % 11 == 0, "0").when(k % 13 == 0, "-1").otherwise("10000")
+    quantification = F.format_string("<BOA_QUANTIFICATION_VALUE unit=\"none\">%s</BOA_QUANTIFICATION_VALUE>", value)
+    ids = (3, 4, 8, 11)
+    offsets = [F.when((k + place) % 9 == 0, "").otherwise(F.format_string(
+        f"<BOA_ADD_OFFSET band_id=\"{at}\">%s</BOA_ADD_OFFSET>", F.when((k % 8 == 0) & F.lit(place == 1), "none")
+        .otherwise((-1000 - place * 100 - F.col("o_custkey") % 10).cast("string")))) for place, at in enumerate(ids)]
+    names = "".join(f'<Spectral_Information bandId="{at}" physicalBand="{band}"/>' for at, band in zip(ids, ("B4", "B5", "B8A", "B11"), strict=True))
+    xml = F.concat(F.lit('<n1:Product xmlns:n1="https://example.org"><General>'), quantification, F.when(k % 7 == 0, quantification).otherwise(""), *offsets,
+                   F.lit(f"</General>{names}</n1:Product>"))
+    found = calibration.parse_calibration(o.select(k.alias("scene_id"), xml.alias("xml")))
+    return found.withColumn("problems", F.array_join("problems", ";"))
+
+
+@query("band_table", """WITH v AS (SELECT vec_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings),
+s AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY place) - 1 AS band_index FROM v WHERE place % 16 <> vec_id % 16)
+SELECT 'v' || vec_id AS scene_id, band_index::BIGINT AS band_index, round((4e-1 + 2e-2 * place) * 1e3, 6) AS wavelength_nm, 'b' || place AS band_name,
+  CASE WHEN value >= 0 THEN -9999e0 END AS nodata FROM s""")
+def band_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One catalogue item per vector, printed as JSON: an entry per component, some without a centre wavelength, some without nodata."""
+    e = table(spark, folder, "embeddings")
+    entry = F.transform("embedding", lambda v, i: F.struct(
+        F.concat(F.lit("b"), i.cast("string")).alias("name"), F.when(i % 16 != F.col("vec_id") % 16, 0.4 + 0.02 * i).alias("eo:center_wavelength"),
+        F.when(v >= 0, -9999.0).alias("nodata")))
+    asset = F.create_map(F.when(F.col("vec_id") % 2 == 0, "ortho_sr_hdf5").otherwise("basic_sr_hdf5"), F.struct(F.lit("x.h5").alias("href"), entry.alias("bands")))
+    printed = e.select(F.to_json(F.struct(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), asset.alias("assets"))).alias("json"))
+    items = printed.select(F.from_json("json", schemas.ITEM).alias("i")).select("i.*")
+    found = bands.band_table(catalog.surface_reflectance(items))
+    return found.withColumns({"band_index": big(F.col("band_index")), "wavelength_nm": r(F.col("wavelength_nm"), 6)})
+
+
 # --- field records ------------------------------------------------------------------
 
 GROUND_SQL = f"""g AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_mktsegment END AS crop, c_acctbal > 9500 AS bad_point, c_custkey % 5 = 2 AS bad_time,

@@ -134,6 +134,26 @@ def observation_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.observation_audit(days, sources, AREA, 80.0, 0.2, 10)
 
 
+@query("statistics_audit", f"""WITH {MOSAIC},
+long AS (SELECT area, day, unnest(['ndvi', 'ndre', 'ndmi']) AS index_name, unnest([ndvi, ndre, ndmi]) AS v FROM mosaic WHERE ndvi >= 3e-1),
+stat AS (SELECT day(day + to_days((month(day) + ascii(area))::INT)) AS kind, index_name, min(v) AS low, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS median,
+  quantile_cont(v, 0.75) AS p75, max(v) AS high FROM long GROUP BY area, day, index_name),
+s AS (SELECT index_name, kind, CASE WHEN kind % 5 = 1 THEN low - 1 ELSE low END AS low, p25, CASE WHEN kind % 5 = 2 THEN NULL ELSE median END AS median,
+  CASE WHEN kind % 5 = 3 THEN p25 - 1e-3 ELSE p75 END AS p75, CASE WHEN kind % 5 = 4 THEN high + 2 ELSE high END AS high FROM stat)
+SELECT 'finite' AS "check", count(*) FILTER (median IS NULL) AS n_bad FROM s
+UNION ALL SELECT 'ordered', count(*) FILTER (NOT coalesce(low <= p25 AND p25 <= median AND median <= p75 AND p75 <= high, false)) FROM s
+UNION ALL SELECT 'inside bounds', count(*) FILTER (NOT (low >= -{C.INDEX_BOUND:e} AND high <= {C.INDEX_BOUND:e})) FROM s
+UNION ALL SELECT 'ndvi screen', count(*) FILTER (index_name = 'ndvi' AND low < 3e-1) FROM s""")
+def statistics_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily statistics with a defect in four of five kinds of days: a low minimum, no median, a third quartile below the first, a high maximum."""
+    stats = mosaic.vegetation_statistics(mosaic.first_valid(indexed(spark, folder), AREA), AREA)
+    kind = F.day(F.date_add("day", F.month("day") + F.ascii("area"))) % 5
+    broken = stats.withColumns({
+        "min": F.when(kind == 1, F.col("min") - 1).otherwise(F.col("min")), "median": F.when(kind != 2, F.col("median")),
+        "p75": F.when(kind == 3, F.col("p25") - 1e-3).otherwise(F.col("p75")), "max": F.when(kind == 4, F.col("max") + 2).otherwise(F.col("max"))})
+    return audit.statistics_audit(broken)
+
+
 @query("time_series_rows", f"""WITH {OBSERVED},
 src AS (SELECT area, day, string_agg(scene_id::VARCHAR, ';' ORDER BY cloud_cover, scene_id) AS scene_ids,
   string_agg(strftime(acquired_at, '%Y-%m-%dT%H:%M:%S.%fZ'), ';' ORDER BY cloud_cover, scene_id) AS acquisition_datetimes FROM sources GROUP BY ALL),

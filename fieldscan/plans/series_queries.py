@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan.functions.timestamps import MICROS_PER_DAY, iso_utc
-from fieldscan.operators import temporal
+from fieldscan.operators import audit, temporal
 from fieldscan.operators.quantiles import exact_quantiles
 from fieldscan.plans.registry import query
 from fieldscan.plans.views import ACQUISITIONS, acquisitions, d, r, table
@@ -165,3 +165,41 @@ def straddling_days(spark: SparkSession, folder: str) -> DataFrame:
     folded = acquisitions(spark, folder).groupBy("tile", "day").agg(F.min("acquired_at").alias("first_at"), F.max("acquired_at").alias("last_at"))
     gated = temporal.at_cutoff(folded, F.lit(CUTOFF).cast("timestamp"))
     return gated.where((F.col("first_at") <= F.lit(CUTOFF).cast("timestamp")) & ~F.col("eligible")).select("tile", d("day").alias("day"), "eligible")
+
+
+@query("cross_input_audit", f"""WITH {BASELINE_SQL}, {trend_sql()},
+s(site) AS (SELECT DISTINCT site FROM days),
+t AS (SELECT site, '' AS target_id, CASE WHEN site LIKE 'c%' THEN 'missing' WHEN site LIKE 'p%' THEN 'differs' ELSE 'equal' END AS status,
+  CASE WHEN site LIKE 'p%' THEN 'direction' ELSE '' END AS differing FROM s),
+n AS (SELECT site, target_id, day(compared_day) % 4 AS kind FROM compared),
+nearest AS (SELECT site, target_id, CASE kind WHEN 0 THEN 'differs' WHEN 1 THEN 'missing' ELSE 'equal' END AS status, CASE kind WHEN 0 THEN 'scene_id' ELSE '' END AS differing FROM n
+  UNION ALL SELECT site, target_id || '+', 'extra', '' FROM n WHERE kind = 2),
+b AS (SELECT site, target_id, day(compared_day) % 5 AS kind, available FROM folded),
+compared_baselines AS (SELECT site, target_id, CASE WHEN kind = 0 AND available OR kind = 1 THEN 'differs' WHEN kind = 2 THEN 'missing' ELSE 'equal' END AS status,
+  concat_ws(';', CASE WHEN kind = 1 THEN 'available' END, CASE WHEN kind = 0 AND available THEN 'percentile' END) AS differing FROM b)
+SELECT 'trend' AS part, * FROM t UNION ALL SELECT 'nearest', * FROM nearest UNION ALL SELECT 'baseline', * FROM compared_baselines""")
+def cross_input_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Trend, nearest acquisition and baseline recomputed and compared with saved tables, in which rows were changed, dropped and added by their values."""
+    daily = checkpointed(days(spark, folder))
+    a = acquisitions(spark, folder)
+    targets = a.select("site", "day").distinct().select(
+        "site", F.date_format("day", "yyyy-MM-dd").alias("target_id"), (F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("target_at"))
+    nearest = checkpointed(temporal.nearest_acquisition(targets, a.select("site", "scene_id", "acquired_at"), SITE))
+    compared = nearest.select("site", "target_id", "target_at", F.to_date("acquired_at").alias("compared_day"), "absolute_gap_days")
+    expected = {
+        "trend": temporal.theil_sen(daily, SITE, "day", "median").withColumn("target_id", F.lit("")),
+        "nearest": nearest,
+        "baseline": temporal.baseline(compared, daily, SITE, "median", lookback_days=10)}
+    kept = {part: checkpointed(frame) for part, frame in expected.items()}
+    by_day = F.day(F.to_date("acquired_at")) % 4
+    saved_nearest = kept["nearest"].where(by_day != 1).withColumn("scene_id", F.when(by_day == 0, F.col("scene_id") + 1).otherwise(F.col("scene_id")))
+    kind = F.day("compared_day") % 5
+    saved = {
+        "trend": kept["trend"].where(~F.col("site").startswith("c")).withColumn("direction", F.when(F.col("site").startswith("p"), "unknown").otherwise(F.col("direction"))),
+        "nearest": saved_nearest.unionByName(saved_nearest.where(by_day == 2).withColumn("target_id", F.concat("target_id", F.lit("+")))),
+        "baseline": kept["baseline"].where(kind != 2).withColumns({
+            "percentile": F.when(kind == 0, F.col("percentile") + 1e-3).otherwise(F.col("percentile")),
+            "available": F.when(kind == 1, ~F.col("available")).otherwise(F.col("available"))})}
+    values = {"trend": ["slope_per_day", "fitted_change", "direction"], "nearest": ["scene_id", "acquired_at", "signed_gap_days"],
+              "baseline": ["available", "baseline_dates", "baseline_median", "difference", "percentile", "mad_distance"]}
+    return audit.reconcile_parts(saved, kept, ["site", "target_id"], values).withColumn("differing", F.array_join("differing", ";"))

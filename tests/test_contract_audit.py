@@ -137,3 +137,22 @@ def test_seeded_defect_is_reported(spark, column, value, check):
     assert found[check] == 1
     with pytest.raises(ValueError, match=check):
         audit.raise_if_bad(audit.evidence_audit(bad, ["scene_id"]))
+
+
+def test_several_saved_tables_reconcile_in_one_pass(spark):
+    two = lambda rows: spark.createDataFrame(rows, "site string, v double, label string")
+    saved = {"a": two([("x", 1.0, "p"), ("y", 2.0, "p"), ("z", None, None)]), "b": spark.createDataFrame([("x", True, 5)], "site string, ok boolean, n int")}
+    expected = {"a": two([("x", 1.0 + 1e-12, "p"), ("y", 2.1, "q"), ("w", 0.0, "p"), ("z", None, None)]),
+                "b": spark.createDataFrame([("x", False, 5)], "site string, ok boolean, n int")}
+    got = {(r["part"], r["site"]): (r["status"], r["differing"]) for r in
+           audit.reconcile_parts(saved, expected, ["site"], {"a": ["v", "label"], "b": ["ok", "n"]}).collect()}
+    assert got == {("a", "x"): ("equal", []), ("a", "y"): ("differs", ["v", "label"]), ("a", "w"): ("missing", []), ("a", "z"): ("equal", []),
+                   ("b", "x"): ("differs", ["ok"])}
+
+
+def test_scrubbing_keeps_everything_but_queries(spark):
+    texts = {"a http://b?c=1 d\nhttps://e/f?g": "a http://b?[credentials omitted] d\nhttps://e/f?[credentials omitted]", "why? no address": "why? no address",
+             "http://x?": "http://x?", '"https://q?k=\'v"': '"https://q?[credentials omitted]"', "": "", "(http://a?b)": "(http://a?[credentials omitted]"}
+    rows = spark.createDataFrame([(k, v) for k, v in texts.items()], "t string, want string")
+    assert all(r[0] == r[1] for r in rows.select(T.scrub_credentials(F.col("t")), "want").collect())
+    assert spark.range(1).select(T.scrub_credentials(F.lit(None).cast("string"))).first()[0] is None
