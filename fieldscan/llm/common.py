@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,17 @@ def map_batches(frame: DataFrame, schema: str, function: Callable[[Columns], Col
     return frame.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values in a text or binary column have about ``most`` bytes; a longer value is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        reach = (sizes[at - 1] if at else 0) + most
+        stop = max(at + 1, int(np.searchsorted(sizes, reach, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 

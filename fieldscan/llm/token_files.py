@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldscan.llm.common import Columns, map_batches, shared_folder, stored
-from fieldscan.llm.units import SPACES, units
+from fieldscan.llm.common import Columns, map_batches, shared_folder, slices, stored
+from fieldscan.llm.units import IRREGULAR, SPACES, units
 
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = tuple(60 // w for w in WIDTHS)
@@ -32,7 +33,9 @@ LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
 #: Ids of about so many per block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 17
 #: Distinct units whose ids a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+#: Bytes of text cut into units at once; a longer document is taken alone.
+SLICE_BYTES = 10 << 20
 #: Units encoded as one text.
 JOINED = 256
 SPACE_WORD = re.compile(rf" [^{SPACES}]+")
@@ -105,14 +108,16 @@ class _Ids(dict):
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        #: Found by the library before it cuts pieces, also beside white space: a text with one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         count = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # a byte-level token has one character per byte
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(count)])
 
-    def learn(self, found: set[str]) -> None:
-        new = found - self.keys()
+    def learn(self, found: list[str]) -> None:
+        new = [u for u in found if u not in self]
         words = [u for u in new if SPACE_WORD.fullmatch(u)]
         for at in range(0, len(words), JOINED):
             self._joined(words[at:at + JOINED])
@@ -149,19 +154,40 @@ BLOCK = "first_doc long, seq long, n_ids long, docs binary, lengths binary, word
 NO_ID = -(1 << 63)
 
 
-def encoded(texts: list[str | None], tokenizer_file: str, end_id: int) -> Iterator[np.ndarray]:
-    """The ids of each text, then ``end_id``."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if _worker.get("file") != tokenizer_file:
-        _worker.update(file=tokenizer_file, ids=_Ids(tokenizer_file))
-    known: _Ids = _worker["ids"]
-    end = np.asarray([end_id], "<u4").tobytes()
-    for at in range(0, len(texts), 256):
-        cut = [units(text or "") for text in texts[at:at + 256]]
-        known.learn(set().union(*cut))
-        for doc in cut:
-            yield np.frombuffer(b"".join(map(known.__getitem__, doc)) + end, "<u4")
-        known.trim()
+def _marked(text: str) -> str:
+    """The text with a NUL between its units; it holds none itself."""
+    if IRREGULAR.search(text):
+        return "\0".join(units(text))
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+
+
+def encoded(texts: list[str | None], known: _Ids, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in order, each with ``end_id`` behind it; where each text starts, and the end).
+
+    Distinct units are found by Arrow, their ids looked up once and dealt out by position.
+    """
+    alone = {at: t for at, t in enumerate(texts) if t and ("\0" in t or any(a in t for a in known.added))}
+    marked = pa.array(["" if t is None or at in alone else _marked(t) for at, t in enumerate(texts)], pa.string())
+    cut = pc.split_pattern(marked, "\0")
+    coded = cut.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    known.learn(distinct)
+    values = [known[u] for u in distinct] + [np.asarray([end_id], "<u4").tobytes()]
+    codes, stops = coded.indices.to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(cut).to_numpy().astype(np.int64))
+    if alone:  # such a text is one unit of its own, in place of its empty one
+        place = {at: len(values) + n for n, at in enumerate(alone)}
+        values += [np.asarray(e.ids, "<u4").tobytes() for e in known.tokenizer.encode_batch_fast(list(alone.values()), add_special_tokens=False)]
+        codes[stops[list(place)] - 1] = list(place.values())
+    end = len(distinct)
+    flat = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.array([len(v) for v in values]) // 4
+    begins = np.cumsum(sizes) - sizes
+    codes = np.insert(codes, stops, end)
+    long = sizes[codes]
+    after = np.cumsum(long)
+    ids = flat[np.repeat(begins[codes] - (after - long), long) + np.arange(int(after[-1]))]
+    known.trim()
+    return ids, np.concatenate([[0], after[stops + np.arange(len(stops))]])
 
 
 def _block(docs: list[int], parts: list[np.ndarray], seq: int) -> pa.RecordBatch:
@@ -182,15 +208,18 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
         ids: list[int] = []
         parts: list[np.ndarray] = []
         held = seq = 0
+        if _worker.get("file") != tokenizer_file:
+            _worker.update(file=tokenizer_file, ids=_Ids(tokenizer_file))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc, found in zip(batch.column(0).to_pylist(), encoded(texts, tokenizer_file, end_id), strict=True):
-                ids.append(NO_ID if doc is None else doc)
-                parts.append(found)
-                held += len(found)
-                if held >= BLOCK_IDS:
-                    yield _block(ids, parts, seq)
-                    ids, parts, held, seq = [], [], 0, seq + 1
+            for part in slices(batch, 1, SLICE_BYTES):
+                found, starts = encoded(part.column(1).to_pylist(), _worker["ids"], end_id)
+                for doc, start, stop in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    ids.append(NO_ID if doc is None else doc)
+                    parts.append(found[start:stop])
+                    held += stop - start
+                    if held >= BLOCK_IDS:
+                        yield _block(ids, parts, seq)
+                        ids, parts, held, seq = [], [], 0, seq + 1
         if ids:
             yield _block(ids, parts, seq)
 

@@ -20,7 +20,8 @@ load()
 RANKS = bpe.rank_table(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 ODD = [None, "", " ", "\n", "  a", "a  b \n\n c", "tab\tx\r\ny", "I'm we'll", "　 x", "<|endoftext|>", "語言" * 300, "a" * 3000,
-       "x\n y", "\n\nq", "é \U0001f600", "a  b", "1234 567", "end ", "the the the"]
+       "x\n y", "\n\nq", "é \U0001f600", "a  b", "1234 567", "end ", "the the the",
+       "a <|endoftext|> b", "two  <|endoftext|>\n\n<|endoftext|>x", "nul\0 in it", "word " * 50000]
 
 
 def ids_digest(ids):
@@ -80,8 +81,7 @@ def test_packing_is_dense():
 
 
 def plain(texts):
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it comes: added tokens in a text are found
     start, out = 0, []
     for doc, text in texts:
         ids = [*own.encode(text or "", add_special_tokens=False).ids, 0]
