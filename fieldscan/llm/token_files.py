@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldscan.llm.common import Columns, map_batches, shared_folder, slices, stored
-from fieldscan.llm.units import IRREGULAR, SPACES, units
+from fieldscan.llm.units import regular, units
 
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = tuple(60 // w for w in WIDTHS)
@@ -38,7 +38,8 @@ REMEMBERED = 500_000
 SLICE_BYTES = 10 << 20
 #: Units encoded as one text.
 JOINED = 256
-SPACE_WORD = re.compile(rf" [^{SPACES}]+")
+#: A space and Latin letters (one piece), and ASCII marks behind them (another piece).
+SPACE_WORD = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 
 _worker: dict = {}
 
@@ -101,8 +102,9 @@ def unpack(data: bytes) -> np.ndarray:
 class _Ids(dict):
     """Unit to its ids as little-endian bytes, filled by the tokenizer.
 
-    A space and a word is cut from what follows it, so such units are encoded JOINED at a time as one
-    text, and its ids are dealt out by the bytes they stand for. Other units are encoded one by one.
+    A space and letters are cut from what follows them, so such words are encoded JOINED at a time as one
+    text, and its ids are dealt out by the bytes they stand for. Marks behind them are cut as well. Other
+    units are encoded one by one.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -117,11 +119,21 @@ class _Ids(dict):
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(count)])
 
     def learn(self, found: list[str]) -> None:
-        new = [u for u in found if u not in self]
-        words = [u for u in new if SPACE_WORD.fullmatch(u)]
+        split, rest = [], []
+        for unit in found:
+            if unit not in self:
+                parts = SPACE_WORD.fullmatch(unit)
+                if parts:
+                    split.append((unit, parts[1], parts[2]))
+                else:
+                    rest.append(unit)
+        words = list({word for _, word, _ in split} - self.keys())
         for at in range(0, len(words), JOINED):
             self._joined(words[at:at + JOINED])
-        self._apart([u for u in new if u not in self])
+        self._apart(list({u for u in [*rest, *words, *[marks for _, _, marks in split]] if u not in self}))
+        for unit, word, marks in split:
+            if marks:
+                self[unit] = self[word] + self[marks]
 
     def _joined(self, part: list[str]) -> None:
         """Learn the units of ``part``; none if ids and bytes do not meet at every unit's end."""
@@ -156,7 +168,7 @@ NO_ID = -(1 << 63)
 
 def _marked(text: str) -> str:
     """The text with a NUL between its units; it holds none itself."""
-    if IRREGULAR.search(text):
+    if not regular(text):
         return "\0".join(units(text))
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
 

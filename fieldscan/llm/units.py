@@ -16,6 +16,18 @@ IRREGULAR = re.compile(rf"[^\S \n]|[{SPACES}]{{2}}|\A[ \n]|[ \n]\Z")
 CUT = re.compile(rf"(?=[ \n][^{SPACES}])|(?<=\n)(?=[^{SPACES}])")
 
 
+#: White space other than space and newline.
+OTHER_ASCII = [c for c in map(chr, range(128)) if c.isspace() and c not in " \n"]
+OTHER_WIDE = [c for c in map(chr, range(128, 0x3001)) if c.isspace()]
+DOUBLE = [a + b for a in " \n" for b in " \n"]
+
+
+def regular(text: str) -> bool:
+    """The text is words separated by single spaces and newlines; what IRREGULAR finds, by substring searches."""
+    return not (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(d in text for d in DOUBLE) or any(c in text for c in OTHER_ASCII)
+                or (not text.isascii() and any(c in text for c in OTHER_WIDE)))
+
+
 def units(text: str) -> list[str]:
     """The units of a text in order; joined they give the text."""
     if not text:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from fieldscan.llm import bpe, token_files
 from fieldscan.llm.registry import QUERIES, load
-from fieldscan.llm.units import units
+from fieldscan.llm.units import IRREGULAR, regular, units
 from tests.llm.helpers import documents, given
 
 load()
@@ -36,6 +36,12 @@ def test_units_cut_where_the_pattern_cuts(text):
     assert [p for u in units(text) for p in pattern.findall(u)] == pattern.findall(text)
 
 
+@settings(max_examples=400, deadline=None)
+@drawn(st.text(alphabet=st.sampled_from("ab1. \n\t\r 　'é\x0b\x85\x1c\u2003"), max_size=10))
+def test_regular_texts_are_those_the_pattern_leaves(text):
+    assert regular(text) == (not IRREGULAR.search(text))
+
+
 def test_bpe_equals_the_library(spark):
     rows = QUERIES["op4_byte_bpe"](spark, "/root/testdata/sf0.001").collect()
     texts = {d["doc_id"]: d["text"] or "" for d in given()}
