@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,37 @@ ORDERS, WORD_ENTRIES, GRAM_ENTRIES = 4, 60_000, 60_000
 #: Added to every count.
 SMOOTH = 0.5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(holds: Callable[[str], bool], most: int) -> str:
+    """The characters up to ``most`` that satisfy ``holds``, as ranges of a character class."""
+    ranges: list[list[int]] = []
+    for code in range(most + 1):
+        if holds(chr(code)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in ranges)
+
+
+@cache
+def _words(most: int) -> re.Pattern:
+    letter, mark = _class(str.isalpha, most), _class(lambda c: unicodedata.category(c) in ("Mn", "Mc"), most)
+    return re.compile(f"[{letter}]+(?:[{mark}]+[{letter}]*)*")
+
+
+#: Letters with the combining marks behind them; numerals such as superscripts, fractions and circled digits are no letters.
+LETTERS = _words(0xFFFF)
+#: Characters that only a wider, slower pattern knows; it is made when one occurs.
+WIDE = re.compile("[\U00010000-\U0010ffff]")
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    return (_words(sys.maxunicode) if not text.isascii() and WIDE.search(text) else LETTERS).findall(text)
+
+
 #: Distinct tokens whose scores a Python worker remembers.
 REMEMBERED = 600_000
 
@@ -64,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(letters((text or "").lower()))
         if sum(map(len, counts.values())) > 300_000:
             yield flush()
     if counts:
@@ -105,7 +138,7 @@ class Model:
 
     def token(self, token: str) -> tuple[float, ...]:
         """Scores of a space-delimited token, and its number of letters."""
-        words = LETTERS.findall(token.lower())
+        words = letters(token.lower())
         if len(words) == 1:
             return (*self.word(words[0]), len(words[0]))
         scores = [self.word(w) for w in words] or [(0.0,) * len(self.langs)]
@@ -153,7 +186,7 @@ class _Remembered(dict):
         at = self.used
         scores = self.model.token(token)
         if self.share:
-            known = sum(len(w) for w in LETTERS.findall(token.lower()) if self.model.knows(w))
+            known = sum(len(w) for w in letters(token.lower()) if self.model.knows(w))
             scores = (*scores[:-1], known, scores[-1])
         self.rows[at] = scores
         self[token] = at

@@ -42,3 +42,10 @@ def test_backoff_uses_the_longest_known_order():
 def test_holding_out_follows_the_id():
     import zlib
     assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(8)].count(True) in range(0, 8)
+
+
+def test_letters_are_letters_with_their_marks():
+    text = "½² Ⅷ ① 12 _ x² 一二 नमस्ते, e\u0301te\u0301! a1b"
+    found = ["x", "一二", "नमस्ते", "e\u0301te\u0301", "a", "b"]
+    assert language.letters(text) == found and language.letters(text + " \U0001f600 \U00010400\U00010401") == [*found, "\U00010400\U00010401"]
+    assert language.letters("½² Ⅷ ① 3 - \U0001f600") == []
