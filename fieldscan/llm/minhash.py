@@ -8,7 +8,8 @@ left out, so such a pair shares a key for certain. Every shared key is a bucket.
 Buckets are not paired out. First each bucket's most central member (the one with the most bucket
 mates overall) is compared with the others; then only members whose components still differ are
 compared, in small buckets by a join, in large ones tile by tile, each pair once, in the first
-bucket it shares. All links are confirmed on full shingle sets. The result is exact for all pairs
+bucket it shares. Tiles hold full sets and return a forest, so their rows grow with the members.
+All links are confirmed on full shingle sets. The result is exact for all pairs
 within the signature distance and for those further apart that share a bucket; a pair at the
 similarity threshold shares none with probability below 1e-6 (and is then missed only if no chain
 of other links joins it).
@@ -23,7 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldscan.llm.common import Columns, components, map_batches, stored
@@ -74,7 +75,9 @@ class Layout:
 OP9 = Layout(PERCENT)
 SYMBOLS, DISTANCE = OP9.symbols, OP9.distance
 #: Buckets up to this size are joined with themselves; larger ones go tile by tile.
-SMALL, TILE = 32, 1024
+SMALL, TILE = 32, 2048
+#: Shingles that one side of a tile has on average, at most; a document of more is whole in its part.
+TILE_SHINGLES = 1_000_000
 #: Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
 
@@ -162,27 +165,29 @@ def _keyed(classes: DataFrame, layout: Layout) -> DataFrame:
     def batch(rows: Columns) -> Columns:
         keys = bucket_keys(np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, layout.symbols), layout)
         place = pa.array(np.repeat(np.arange(len(keys)), layout.symbols))
-        return {"key": pa.array(keys.ravel()), "digest": pa.array(rows["digest"], pa.binary()).take(place),
-                "rep": pa.array(rows["rep"], pa.int64()).take(place), "n": pa.array(rows["n"], pa.int64()).take(place)}
+        return {"key": pa.array(keys.ravel()), "rep": pa.array(rows["rep"], pa.int64()).take(place)}
 
-    return map_batches(classes.select("digest", "rep", "n", "signature"), "key long, digest binary, rep long, n long", batch)
-
-
-def _sizes_allow(layout: Layout) -> Column:
-    return 100 * F.least("na", "nb") >= layout.percent * F.greatest("na", "nb")
+    return map_batches(classes.select("rep", "signature"), "key long, rep long", batch)
 
 
 def _close(pairs: DataFrame, classes: DataFrame, layout: Layout) -> DataFrame:
-    """Pairs (a, b, ra, rb) whose signatures are within the confirm distance."""
+    """Pairs (a, b) whose sizes allow a link and whose signatures are within the confirm distance."""
     def batch(rows: Columns) -> Columns:
         left = np.frombuffer(b"".join(rows["sa"]), "<u2").reshape(-1, layout.symbols)
         right = np.frombuffer(b"".join(rows["sb"]), "<u2").reshape(-1, layout.symbols)
         near = np.flatnonzero((left != right).sum(axis=1) <= layout.confirm)
-        return {c: [rows[c][i] for i in near] for c in ("a", "b", "ra", "rb")}
+        return {c: [rows[c][i] for i in near] for c in ("a", "b")}
+
+    own = classes.select("rep", "n", "signature")
+    joined = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b") \
+        .filter(100 * F.least("na", "nb") >= layout.percent * F.greatest("na", "nb"))
+    return map_batches(joined.select("a", "b", "sa", "sb"), "a long, b long", batch)
 
-    own = classes.select("digest", "signature")
-    joined = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-    return map_batches(joined.select("a", "b", "ra", "rb", "sa", "sb"), "a binary, b binary, ra long, rb long", batch)
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the documents in ``wanted`` (rep), repeated rows once."""
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")) \
+        .join(wanted, "rep", "left_semi").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
@@ -191,98 +196,144 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
     Sets are derived again for the documents in question only, found by a shuffle join on the id.
     """
     pairs = stored(pairs, "minhash-pairs")
-    wanted = stored(pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct(), "minhash-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(wanted, "doc_id", "left_semi")
+    wanted = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "minhash-wanted")
 
     def sets(rows: Columns) -> Columns:
-        found = [shingles(text) for text in rows["text"]]
-        return {"digest": [xxhash.xxh3_128_digest(f.tobytes()) for f in found], "shingles": [f.tobytes() for f in found]}
+        return {"rep": rows["rep"], "shingles": [shingles(text).tobytes() for text in rows["text"]]}
 
-    full = stored(map_batches(texts.select("text"), "digest binary, shingles binary", sets), "minhash-sets")
+    full = stored(map_batches(_texts(docs, wanted), "rep long, shingles binary", sets), "minhash-sets")
 
     def similar(rows: Columns) -> Columns:
         out: Columns = {"u": [], "v": []}
-        for ra, rb, sa, sb in zip(rows["ra"], rows["rb"], rows["xa"], rows["xb"], strict=True):
+        for a, b, sa, sb in zip(rows["a"], rows["b"], rows["xa"], rows["xb"], strict=True):
             x, y = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= layout.percent * (len(x) + len(y) - both):
-                out["u"].append(ra)
-                out["v"].append(rb)
+            if both and 100 * both >= layout.percent * (len(x) + len(y) - both):
+                out["u"].append(a)
+                out["v"].append(b)
         return out
 
-    joined = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("ra", "rb", "xa", "xb")
+    joined = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
     return map_batches(joined, "u long, v long", similar)
 
 
-def _tiles(members: DataFrame, layout: Layout) -> DataFrame:
-    """Pairs (a, b, ra, rb) of large buckets' members whose components differ, from (key, size, digest, rep, n, comp, signature)."""
-    k = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = members.withColumn("tiles", k).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
+class _Sets:
+    """The shingle sets of a tile, and how many shingles one shares with others."""
+
+    def __init__(self, sets: list[bytes]) -> None:
+        self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        distinct, self.numbers = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+        self.marked = np.zeros(len(distinct), bool)
+
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.numbers[self.starts[x]:self.starts[x] + self.sizes[x]]
+        self.marked[mine] = True
+        sizes = self.sizes[others]
+        begin = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) + np.repeat(self.starts[others] - begin, sizes)
+        counts = np.add.reduceat(self.marked[self.numbers[places]].astype(np.int64), begin)
+        self.marked[mine] = False
+        return counts
+
+
+def _tile(group: pa.Table, layout: Layout) -> list[tuple[int, int]]:
+    """Edges of a forest that joins what the tile's links join; pairs that are joined already are not compared."""
+    own, rep = group["own"].to_numpy(), group["rep"].to_numpy()
+    signs = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, layout.symbols)
+    keys, key = bucket_keys(signs, layout), group["key"][0].as_py()
+    sets = _Sets(group["shingles"].to_pylist())
+    n, label = sets.sizes, np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+    within = group["i"][0].as_py() == group["j"][0].as_py()
+    first = np.flatnonzero(own == 0)
+    second = first if within else np.flatnonzero(own == 1)
+    edges: list[tuple[int, int]] = []
+    for x in first:
+        y = second[(label[second] != label[x]) & (100 * np.minimum(n[second], n[x]) >= layout.percent * np.maximum(n[second], n[x]))]
+        y = y[y > x] if within else y
+        y = y[(signs[y] != signs[x]).sum(axis=1) <= layout.confirm]
+        if len(y):
+            same = keys[y] == keys[x]
+            y = y[same.any(axis=1) & (keys[x][same.argmax(axis=1)] == key)]
+        if len(y):
+            both = sets.shared(x, y)
+            y = y[100 * both >= layout.percent * (n[x] + n[y] - both)]
+            met, at = np.unique(label[y], return_index=True)
+            edges += [(rep[x], rep[z]) for z in y[at]]
+            label[np.isin(label, met)] = label[x]
+    return edges
+
+
+def _tiles(members: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
+    """Forest edges (u, v) within large buckets, from (key, rep, comp).
+
+    A bucket is cut into parts by its members and by their shingles; every two parts meet in a tile,
+    with full sets, so links are confirmed where they are found.
+    """
+    def sets(rows: Columns) -> Columns:
+        found = [(rep, shingles(text)) for rep, text in zip(rows["rep"], rows["text"], strict=True)]
+        found = [(rep, s) for rep, s in found if len(s)]
+        return {"rep": [rep for rep, _ in found], "n": [len(s) for _, s in found],
+                "signature": [signature(s, layout).tobytes() for _, s in found], "shingles": [s.tobytes() for _, s in found]}
+
+    members = stored(members, "minhash-large")
+    full = stored(map_batches(_texts(docs, members.select("rep").distinct()),
+                              "rep long, n long, signature binary, shingles binary", sets), "minhash-large-sets")
+    weights = members.join(full.select("rep", "n"), "rep").groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    dealt = members.join(weights, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(
         F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), (F.col("mine") > other).cast("int").alias("own")))
-    spread = dealt.select("key", "digest", "rep", "n", "comp", "signature", F.explode(pairs).alias("p")) \
-        .select("key", "p.i", "p.j", "p.own", "digest", "rep", "n", "comp", "signature")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("ra", pa.int64()), ("rb", pa.int64())])
+    spread = dealt.join(full, "rep").select("key", "rep", "comp", "signature", "shingles", F.explode(pairs).alias("p")) \
+        .select("key", "p.i", "p.j", "p.own", "rep", "comp", "signature", "shingles")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        own, rep, n, comp = (group[c].to_numpy() for c in ("own", "rep", "n", "comp"))
-        digest = group["digest"].to_pylist()
-        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, layout.symbols)
-        keys, key = bucket_keys(signs, layout), group["key"][0].as_py()
-        within = group["i"][0].as_py() == group["j"][0].as_py()
-        first = np.flatnonzero(own == 0)
-        second = first if within else np.flatnonzero(own == 1)
-        out: list[tuple[int, int]] = []
-        for x in first:
-            y = second[(comp[second] != comp[x]) & (100 * np.minimum(n[second], n[x]) >= layout.percent * np.maximum(n[second], n[x]))]
-            y = y[y > x] if within else y
-            y = y[(signs[y] != signs[x]).sum(axis=1) <= layout.confirm]
-            if len(y):
-                same = keys[y] == keys[x]
-                out += [(x, z) for z in y[keys[x][same.argmax(axis=1)] == key]]
-        return pa.table({"a": pa.array([digest[x] for x, _ in out], pa.binary()), "b": pa.array([digest[y] for _, y in out], pa.binary()),
-                         "ra": pa.array([rep[x] for x, _ in out], pa.int64()), "rb": pa.array([rep[y] for _, y in out], pa.int64())},
-                        schema=schema)
-
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary, ra long, rb long")
+        edges = _tile(group, layout)
+        return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())}, schema=schema)
+
+    return spread.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes of rows that share an id."""
+    own = rows.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    return own.join(several, "doc_id").filter("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text), linked from ``percent`` similarity on.
 
     ``component_id`` is the smallest doc_id reachable by links. Null and empty texts have no
-    shingles and no links. Repeated rows and equal sets are linked; rows that share an id share its
-    links. A row without an id has no links, a null component and is not kept. An empty table gives
+    shingles and no links. Repeated rows and equal sets are linked; rows with words that share an id
+    share its links. A row without an id has no links, a null component and is not kept. An empty table gives
     no rows.
     """
     layout = Layout(percent)
     rows = stored(signed(docs, layout), "minhash-rows")
     classes = stored(rows.filter("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "minhash-classes")
-    counts = _keyed(classes, layout).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(_keyed(classes, layout).join(counts, "key"), "minhash-buckets")
+    keyed = _keyed(classes, layout)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(keyed.join(counts, "key"), "minhash-buckets")
 
-    central = buckets.groupBy("digest").agg(F.sum("size").alias("mates"))
-    ranked = buckets.join(central, "digest")
-    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("digest", "rep", "n"), F.struct("mates", "digest")).alias("hub"))
-    stars = buckets.join(hubs, "key").filter(F.col("digest") != F.col("hub.digest")).select(
-        F.col("hub.digest").alias("a"), F.col("digest").alias("b"), F.col("hub.rep").alias("ra"), F.col("rep").alias("rb"),
-        F.col("hub.n").alias("na"), F.col("n").alias("nb")).filter(_sizes_allow(layout)).distinct()
-    edges = stored(_confirmed(_close(stars, classes, layout), docs, layout), "minhash-edges")
+    central = buckets.groupBy("rep").agg(F.sum("size").alias("mates"))
+    hubs = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("mates", "rep")).alias("hub"))
+    stars = buckets.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = stored(_confirmed(_close(stars, classes, layout), docs, layout).union(_shared_ids(rows, classes)), "minhash-edges")
 
     member = stored(components(edges, "minhash-stars"), "minhash-members")
     placed = buckets.join(member.withColumnRenamed("id", "rep"), "rep", "left") \
-        .select("key", "size", "digest", "rep", "n", F.coalesce("component_id", "rep").alias("comp"))
+        .select("key", "size", "rep", F.coalesce("component_id", "rep").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     placed = stored(placed.join(open_keys, "key"), "minhash-open")
     small = placed.filter(F.col("size") <= SMALL)
-    left = small.select("key", F.col("digest").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = small.select("key", F.col("digest").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    paired = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow(layout)) \
-        .select("a", "b", "ra", "rb").distinct()
-    large = _tiles(placed.filter(F.col("size") > SMALL).join(classes.select("digest", "signature"), "digest"), layout)
-    more = _confirmed(_close(paired, classes, layout).union(large), docs, layout)
+    left = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    right = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    paired = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    large = _tiles(placed.filter(F.col("size") > SMALL).drop("size"), docs, layout)
+    more = _confirmed(_close(paired, classes, layout), docs, layout).union(large)
 
     final = components(edges.union(more), "minhash-links")
     grouped = classes.select("digest", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left") \

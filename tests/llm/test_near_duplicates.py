@@ -132,6 +132,7 @@ def family(seed, size, words, edits):
 def test_minhash_on_hard_families(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 4000)
     texts = family(1, 60, 200, 9) + family(2, 40, 60, 3) + family(3, 30, 400, 30)
     texts += [None, "", "  \n", "One two", "one TWO", "a b c d e", "A b c d e f", "É a b c d", "é a b c d", "z " * 30000, "z " * 9]
     rows = list(enumerate(texts))
@@ -142,6 +143,34 @@ def test_minhash_on_hard_families(spark, monkeypatch, small):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_tiles_return_a_forest(spark, monkeypatch):
+    """A large group of which only some pairs are similar enough: rows grow with the members, the components are those of all links."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    made = []
+    tiles = minhash._tiles
+    monkeypatch.setattr(minhash, "_tiles", lambda *given: made.append(common.stored(tiles(*given), "test-tiles")) or made[0])
+    rows = list(enumerate(family(8, 150, 100, 7)))
+    got = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert {tuple(r) for r in got} == slow_documents(rows)
+    assert made[0].count() < 150 * minhash.SYMBOLS
+
+
+def test_tile_shares_are_those_of_the_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, size).astype(np.uint64)) for size in (1, 40, 90, 5, 300)]
+    held = minhash._Sets([s.tobytes() for s in sets])
+    for x in range(len(sets)):
+        others = np.array([y for y in range(len(sets)) if y != x])
+        assert held.shared(x, others).tolist() == [len(np.intersect1d(sets[x], sets[y])) for y in others]
+
+
+def test_rows_of_one_id_share_links(spark):
+    near = family(4, 2, 200, 2)
+    rows = [(1, near[0]), (5, "q w e r t y"), (5, near[1]), (5, near[1]), (9, "q w e r t y"), (7, "u i o"), (None, near[0]), (5, None)]
+    got = {tuple(r) for r in minhash.near_duplicates(documents(spark, rows)).select("doc_id", "component_id", "kept").collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (7, 7, True), (None, None, False), (5, 5, True)}
+
+
 def test_keys_guarantee_the_distance():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 16, minhash.SYMBOLS).astype("<u2")
