@@ -40,9 +40,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; one row of a repeated id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Rows that share an id are one document: the least of them stays, by text, then the other columns,
+    nulls first. Null and empty texts have no near duplicates and stay. A row without an id goes. Repeated rows
+    fold to one; further columns are dropped; an empty table stays empty.
+    """
     good = minhash.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    least = docs.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return least.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
