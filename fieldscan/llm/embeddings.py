@@ -24,6 +24,8 @@ from fieldscan.llm.common import Columns, components, map_batches, stored
 THRESHOLD = 0.9
 #: Classes on one side of a tile.
 TILE = 4096
+#: Partitions that tiles are dealt to at most; beyond, a partition has several tiles, one after the other.
+MOST_PARTITIONS = 100_000
 #: Rounding of a single-precision product of unit vectors, per dimension, generously.
 ROUNDING = 2.0**-22
 
@@ -94,11 +96,12 @@ def _tile(own: np.ndarray, ids: np.ndarray, copies: np.ndarray, vectors: list[by
     second = np.flatnonzero(own == 1)
     within = len(second) == 0
     second = first if within else second
-    slack = error[first].max() + error[second].max() * (1 + error[first].max()) + ROUNDING * (units.shape[1] + 2)
+    rounding = ROUNDING * (units.shape[1] + 2)
     lefts, rights = [first[:0]], [first[:0]]
     for at in range(0, len(first), 512):
         rows = first[at:at + 512]
         product = approx[rows] @ approx[second].T
+        slack = error[rows, None] + error[second] * (1 + error[rows, None]) + rounding
         i, j = np.nonzero(product >= threshold - slack)
         i, j = rows[i], second[j]
         near = (i < j) if within else slice(None)
@@ -124,6 +127,9 @@ def tile_links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
         (F.col("mine") > other).cast("int").alias("own")))
     spread = dealt.select("dim", "rep", "n", "vector", F.explode(pairs).alias("p")).select(
         "dim", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.own").alias("own"), "rep", "n", "vector")
+    # A number of partitions that is named is not merged by the bytes of its shuffle: a tile's work is far larger than its rows.
+    most = counts.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2)).first()[0] or 1
+    spread = spread.repartition(int(min(max(most, 1), MOST_PARTITIONS)), "dim", "i", "j")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldscan.llm import minhash
@@ -40,6 +41,16 @@ def test_stage_removes_what_is_similar_by_four_fifths(spark):
     assert {r.doc_id for r in got} == want and len(got) == len(want)
 
 
+def test_stage_on_hard_rows(spark):
+    words = " ".join(f"h{k}" for k in range(60))
+    rows = [(1, words), (2, words), (2, words + " z"), (3, "b c d e f"), (3, "a c d e f"), (3, "a c d e f"), (4, None), (5, ""), (None, words)]
+    docs = documents(spark, rows).withColumn("row", F.lit(1)).withColumn("kept", F.lit(True))
+    got = STAGES["near_duplicates"](spark, docs, "/root/testdata/sf0.001")
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, words), (3, "a c d e f"), (4, None), (5, "")}
+    assert got.count() == 4
+
+
 def test_op9_keeps_its_own_similarity(spark):
     rows = planted()
     got = minhash.near_duplicates(documents(spark, rows)).filter("kept").collect()
