@@ -207,7 +207,9 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, salted, row, first, text) in order of anchor to (row, first, last, digest).
+    """Rows (anchor, salt, salted, row, first, text) in order of anchor and salt to (row, first, last, digest).
+
+    Anchors are merged together up to MERGED bytes; one anchor and salt is never cut, two salts of an anchor need not meet.
 
     Without a digest: a span of repeated windows. With one: a window to be met by other tasks.
     """
@@ -215,11 +217,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def solve() -> pa.RecordBatch:
-        found = repeated_windows([h[4] for h in held])
+        found = repeated_windows([h[-1] for h in held])
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         rows: list[tuple] = []
         shown: set[int] = set()
-        for (_, salted, row, first, text), own in zip(held, found, strict=True):
+        for (_, _, salted, row, first, text), own in zip(held, found, strict=True):
             twice = counts[np.searchsorted(values, own)] > 1
             border = np.flatnonzero(np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8)))
             rows += [(row, first + a, first + b - 1, None) for a, b in border.reshape(-1, 2).tolist()]
@@ -235,13 +237,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last = None
     for batch in batches:
-        for item in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if size >= MERGED and item[0] != last:
+        for item in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if size >= MERGED and item[:2] != last:
                 yield solve()
                 size = 0
             held.append(item)
-            size += len(item[4])
-            last = item[0]
+            size += len(item[-1])
+            last = item[:2]
     if held:
         yield solve()
 
@@ -280,7 +282,7 @@ def spans(docs: DataFrame) -> DataFrame:
     pieces = map_batches(texts.select("row", "text", "wanted"),
                          "anchor long, salted boolean, salt long, row long, first long, text binary", cut)
     dealt = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    met = stored(dealt.select("anchor", "salted", "row", "first", "text").mapInArrow(
+    met = stored(dealt.select("anchor", "salt", "salted", "row", "first", "text").mapInArrow(
         _merge, "row long, first long, last long, digest binary"), "repeat-windows")
     again = met.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     across = met.join(again, "digest").select("row", "first", "last")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,21 @@ def test_merging_shards_equals_one_sort():
     once = repeats.merged_intervals([repeats.transform(sum(parts, []))])
     assert sorted(np.unique(np.concatenate(apart), return_counts=True)[1].tolist()) == \
         sorted(np.unique(np.concatenate(once), return_counts=True)[1].tolist())
+
+
+def test_salts_of_one_anchor_are_merged_apart(monkeypatch):
+    """Two salts of a hot anchor never meet in one merge once the bound is reached; their windows meet by digest."""
+    monkeypatch.setattr(repeats, "MERGED", 1)
+    texts = [bytes([97 + n] * 1) + bytes(random.Random(n // 2).choices(range(97, 105), k=230)) for n in range(8)]
+    rows = [(5, n % 2, True, n, 0, texts[n]) for n in (0, 2, 4, 6, 1, 3, 5, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["anchor", "salt", "salted", "row", "first", "text"])
+    out = [b.to_pylist() for b in repeats._merge(iter([batch]))]
+    assert [{r["row"] % 2 for r in rows} for rows in out] == [{0}, {1}]
+    met = Counter(r["digest"] for rows in out for r in rows if r["digest"] is not None)
+    assert sum(n == 2 for n in met.values()) == 4 * (231 - 200)
+
+
+def test_null_and_repeated_ids(spark):
+    long = "".join(random.Random(6).choices("abcdefgh", k=400))
+    rows = [(None, long), (None, "x" + long), (3, "q"), (3, "other " + long), (4, None), (-(1 << 63), "")]
+    assert Counter(tuple(r) for r in repeats.digests(documents(spark, rows)).collect()) == slow(rows)
