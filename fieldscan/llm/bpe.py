@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, map_batches, stored
+from fieldscan.llm.common import Columns, map_batches, stored, worker_state
 from fieldscan.llm.units import SPACES, units
 
 Ranks = dict[bytes, int]
@@ -41,8 +41,6 @@ HELD = 200_000
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]") \
     .replace(r"\s+(?!\S)", rf"[{SPACES}]+(?![^{SPACES}])").replace(r"|\s+", rf"|[{SPACES}]+")
 
-_worker: dict = {}
-
 
 def rank_table(path: str) -> Ranks:
     with open(path, "rb") as lines:
@@ -157,11 +155,7 @@ def _mapped(docs: DataFrame, ranks: Ranks, most: int, schema: str, use: Callable
     sent, key = docs.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks)), uuid.uuid4().hex
 
     def batch(rows: Columns) -> Columns:
-        if _worker.get("key") != key:
-            _worker.clear()
-            data, given = sent.value
-            _worker.update(key=key, ids=_Ids(pa.ipc.open_stream(data).read_all(), given))
-        known: _Ids = _worker["ids"]
+        known: _Ids = worker_state(key, lambda: _Ids(pa.ipc.open_stream(sent.value[0]).read_all(), sent.value[1]))
         return use(rows, [b"".join(map(known.__getitem__, units(text or ""))) for text in rows["text"]])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), schema, batch)

@@ -56,6 +56,21 @@ def map_batches(frame: DataFrame, schema: str, function: Callable[[Columns], Col
     return frame.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def worker_state(key, make: Callable[[], object]):
+    """What a Python worker keeps between tasks, made once for each ``key``.
+
+    A worker holds one thing at a time: another key drops it first, so the stages of a pipeline do not add up.
+    To be called inside tasks; a module's own dictionary would travel with each task and start empty.
+    """
+    if _held.get("key") != key:
+        _held.clear()
+        _held.update(key=key, value=make())
+    return _held["value"]
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values in a text or binary column have about ``most`` bytes; a longer value is alone."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, map_batches, stored
+from fieldscan.llm.common import Columns, map_batches, stored, worker_state
 
 #: The classifier is fitted on about so many labelled documents, chosen by a hash of their id.
 LEARN_DOCUMENTS = 20_000
@@ -65,8 +65,6 @@ def letters(text: str) -> list[str]:
 #: Distinct tokens whose scores a Python worker remembers.
 REMEMBERED = 600_000
 
-_worker: dict = {}
-
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -212,9 +210,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, share:
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def batch(rows: Columns) -> Columns:
-        if _worker.get("key") != key:
-            _worker.update({"key": key, "tokens": _Remembered(sent.value, share)})
-        tokens: _Remembered = _worker["tokens"]
+        tokens: _Remembered = worker_state(key, lambda: _Remembered(sent.value, share))
         langs = tokens.model.langs
         names, scores, known = [], [], []
         for text in rows["text"]:
