@@ -235,6 +235,40 @@ def document_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.verify_manifest(actual, expected, "doc_id")
 
 
+@query("bundle_check", """WITH c AS (SELECT conv_id, turn::VARCHAR AS name, role, text, length(text) AS n FROM conversations),
+last AS (SELECT conv_id, max(turn) AS turns FROM conversations GROUP BY ALL),
+found AS (SELECT conv_id, name, sha256(text) AS h, CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS version, n FROM c
+  UNION ALL SELECT conv_id, 'notes', sha256('notes'), 1, turns FROM last WHERE turns >= 4),
+kept AS (SELECT conv_id, name, sha256(text || CASE WHEN n % 7 = 0 THEN '!' ELSE '' END) AS h, n + (n % 5 = 0 AND role = 'user')::INT AS n FROM c
+  UNION ALL SELECT conv_id, 'summary', sha256('summary'), turns FROM last),
+j AS (SELECT coalesce(f.conv_id, k.conv_id) AS conv_id, coalesce(f.name, k.name) AS name, f.name IS NULL AS gone, k.name IS NULL AS extra, f.h AS fh, k.h AS kh,
+  f.version, f.n AS fn, k.n AS kn FROM found f FULL OUTER JOIN kept k ON f.conv_id = k.conv_id AND f.name = k.name),
+p AS (SELECT conv_id, name, concat_ws(';', CASE WHEN gone THEN 'missing' END, CASE WHEN extra THEN 'unrecorded' END,
+  CASE WHEN NOT gone AND NOT extra AND fh IS DISTINCT FROM kh THEN 'checksum mismatch' END, CASE WHEN NOT gone AND version <> 1 THEN 'unknown schema version' END,
+  CASE WHEN NOT gone AND NOT extra AND fn IS DISTINCT FROM kn THEN 'shape mismatch' END) AS problems FROM j)
+SELECT conv_id, name, problems FROM p""")
+def bundle_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation is a bundle, every turn a document of it: changed digests, later versions and other lengths follow from the text.
+
+    Each record lists a summary that no bundle holds; bundles of four turns and more hold notes that no record lists.
+    """
+    c = table(spark, folder, "conversations")
+    size = F.length("text")
+    turn = (F.col("conv_id"), F.col("turn").cast("string").alias("name"))
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("turns"))
+
+    def aside(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("conv_id", F.lit(name).alias("name"), F.sha2(F.lit(name), 256).alias("sha256"), F.lit(1).alias("schema_version"),
+                           F.array(F.col("turns").cast("int")).alias("shape"))
+
+    found = c.select(*turn, F.sha2("text", 256).alias("sha256"), F.when(size % 11 == 0, 2).otherwise(1).alias("schema_version"), F.array(size).alias("shape"))
+    changed = F.concat("text", F.when(size % 7 == 0, "!").otherwise(""))
+    longer = size + F.when((size % 5 == 0) & (F.col("role") == "user"), 1).otherwise(0)
+    recorded = c.select(*turn, F.sha2(changed, 256).alias("sha256"), F.lit(1).alias("schema_version"), F.array(longer).alias("shape"))
+    problems = manifest.bundle_problems(found.unionByName(aside(last.where("turns >= 4"), "notes")), recorded.unionByName(aside(last, "summary")), ["conv_id", "name"], [1])
+    return problems.withColumn("problems", F.array_join("problems", ";"))
+
+
 @query("listed_sources", """SELECT user_id AS tile, count(*) AS events, sum(len(string_split(l, ';')))::BIGINT AS listed FROM (SELECT user_id, event_type || ';' || event_id AS l FROM events) GROUP BY user_id""")
 def listed_sources(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")

@@ -38,3 +38,21 @@ def verify_manifest(actual: DataFrame, expected: DataFrame, key: str = "path") -
     status = (F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected")
               .when(F.col("_actual") == F.col("_expected"), "ok").otherwise("stale"))
     return a.join(e, F.col("_a") == F.col("_e"), "full_outer").select(F.coalesce("_a", "_e").alias(key), status.alias("status"))
+
+
+def bundle_problems(found: DataFrame, recorded: DataFrame, keys: list[str], versions: list[int]) -> DataFrame:
+    """(keys, problems) of every document of a bundle against what was recorded of it.
+
+    Both sides have ``sha256``, ``schema_version`` and ``shape`` (an array of lengths). Keys are not null.
+    A document on one side only is missing or unrecorded; NULL equals NULL in digests and shapes, and is an
+    unknown version. Each document is compared on its own; no bundle is gathered.
+    """
+    fields = ("sha256", "schema_version", "shape")
+    both = found.select(*keys, F.struct(*fields).alias("have")).join(recorded.select(*keys, F.struct(*fields).alias("want")), keys, "full_outer")
+    have, want = F.col("have"), F.col("want")
+    paired = have.isNotNull() & want.isNotNull()
+    return both.select(*keys, F.array_compact(F.array(
+        F.when(have.isNull(), "missing"), F.when(want.isNull(), "unrecorded"),
+        F.when(paired & ~have["sha256"].eqNullSafe(want["sha256"]), "checksum mismatch"),
+        F.when(have.isNotNull() & ~F.coalesce(have["schema_version"].isin(*versions), F.lit(False)), "unknown schema version"),
+        F.when(paired & ~have["shape"].eqNullSafe(want["shape"]), "shape mismatch"))).alias("problems"))

@@ -14,7 +14,7 @@ from fieldscan.operators.audit import all_finite, raise_if_bad
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
     """Hot bands as columns, one directory per scene: column and partition pruning."""
-    pixels.repartition("scene_id", F.pmod("pixel_id", F.lit(64))).write.mode("overwrite").partitionBy("scene_id").parquet(path)
+    pixels.repartition("scene_id", F.pmod(F.xxhash64("pixel_id"), F.lit(64))).write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
 def write_spectra(spectra: DataFrame, path: str, slices: int = 64) -> None:
@@ -36,6 +36,11 @@ def read_spectra(spark: SparkSession, path: str, bands: list[int] | None = None)
     return spectra if bands is None else spectra.where(F.col("band_index").isin(*bands))
 
 
+def write_scene_pixels(pixels: DataFrame, path: str) -> None:
+    """Digital numbers of scenes with their day, one directory per day; a day is dealt to 64 tasks."""
+    pixels.repartition("day", F.pmod(F.xxhash64("scene_id", "cell_x", "cell_y"), F.lit(64))).write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def read_scene_pixels(spark: SparkSession, path: str, days: tuple[str, str] | None = None) -> DataFrame:
     """Digital numbers partitioned by day; the day range prunes directories."""
     rows = spark.read.schema(schemas.SCENE_PIXELS + ", day date").parquet(path)
@@ -46,6 +51,12 @@ def write_evidence(evidence: DataFrame, path: str) -> None:
     evidence.repartition("scene_id", F.pmod(F.xxhash64("pixel_id"), F.lit(64))).write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
+def read_evidence(spark: SparkSession, path: str, schema: str, scenes: list[str] | None = None) -> DataFrame:
+    """Saved evidence with the ``schema`` it was written with; wanted scenes prune directories."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if scenes is None else rows.where(F.col("scene_id").isin(*scenes))
+
+
 def series_rows(observations: DataFrame, sources: DataFrame, statistics: DataFrame,
                 keys: list[str] | None = None) -> DataFrame:
     """Flat time-series rows; the ';' lists keep the clearest-first order of the sources."""

@@ -86,6 +86,53 @@ def test_layouts_prune(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(scene_id" in plan and "pixel_id" not in plan.split("ReadSchema")[1]
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixel_layouts_round_trip_and_prune(spark, tmp_path):
+    """Written, read back equal, and the wanted scene or day reaches the scan as a partition filter."""
+    pixels = spark.range(300).select(
+        F.when(F.col("id") < 200, "s").otherwise("t").alias("scene_id"), F.concat(F.lit("p"), "id").alias("pixel_id"), (F.col("id") / 300).alias("red"), (F.col("id") / 150).alias("nir"))
+    tables.write_pixels(pixels, str(tmp_path / "text_ids"))
+    assert spark.read.parquet(str(tmp_path / "text_ids")).select(*pixels.columns).exceptAll(pixels).count() == 0
+    numbered = pixels.withColumn("pixel_id", F.substring("pixel_id", 2, 9).cast("bigint"))
+    tables.write_pixels(numbered, str(tmp_path / "pixels"))
+    read = tables.read_pixels(spark, str(tmp_path / "pixels"))
+    assert sorted(read.select(*numbered.columns).collect()) == sorted(numbered.collect())
+    one = read.where("scene_id = 't'").select("nir")
+    assert one.count() == 100 and "(scene_id" in plan_of(one).split("PartitionFilters")[1].split("]")[0] and "red" not in plan_of(one).split("ReadSchema")[1]
+
+    cells = spark.range(400).select(
+        F.concat(F.lit("s"), (F.col("id") % 8).cast("string")).alias("scene_id"), (F.col("id") % 10).cast("int").alias("cell_x"), (F.col("id") / 10).cast("int").alias("cell_y"),
+        *[(F.col("id") * n).cast("float").alias(b) for n, b in enumerate(("b04", "b05", "b8a", "b11"), 1)], F.lit(4).cast("tinyint").alias("scl"),
+        F.date_add(F.lit("2025-06-01").cast("date"), (F.col("id") % 4).cast("int")).alias("day"))
+    tables.write_scene_pixels(cells, str(tmp_path / "cells"))
+    assert sorted(tables.read_scene_pixels(spark, str(tmp_path / "cells")).select(*cells.columns).collect()) == sorted(cells.collect())
+    days = tables.read_scene_pixels(spark, str(tmp_path / "cells"), ("2025-06-02", "2025-06-03")).select("b04")
+    assert days.count() == 200 and "(day" in plan_of(days).split("PartitionFilters")[1].split("]")[0] and len(days.inputFiles()) > 0
+
+    evidence = pixels.select("scene_id", "pixel_id", F.when(F.col("red") > 0.5, F.col("nir")).alias("risk_score"), F.lit(0).alias("risk_class"))
+    tables.write_evidence(evidence, str(tmp_path / "evidence"))
+    back = tables.read_evidence(spark, str(tmp_path / "evidence"), "scene_id string, pixel_id string, risk_score double, risk_class int")
+    assert sorted(map(str, back.select(*evidence.columns).collect())) == sorted(map(str, evidence.collect()))
+    wanted = tables.read_evidence(spark, str(tmp_path / "evidence"), "scene_id string, pixel_id string, risk_score double, risk_class int", ["s"]).select("risk_class")
+    assert wanted.count() == 200 and "scene_id" in plan_of(wanted).split("PartitionFilters")[1].split("]")[0]
+
+
+def test_bundle_problems(spark):
+    schema = "bundle string, name string, sha256 string, schema_version int, shape array<int>"
+    found = spark.createDataFrame([("a", "ok", "1", 1, [2, 3]), ("a", "sum", "1", 1, [2]), ("a", "old", "1", 9, [2]), ("a", "none", None, None, None),
+                                   ("a", "shape", "1", 1, [2, 4]), ("a", "more", "1", 1, [1])], schema)
+    recorded = spark.createDataFrame([("a", "ok", "1", 1, [2, 3]), ("a", "sum", "2", 1, [2]), ("a", "old", "1", 1, [2]), ("a", "none", None, 1, None),
+                                      ("a", "shape", "1", 1, [4, 2]), ("b", "ok", "1", 1, [1])], schema)
+    rows = manifest.bundle_problems(found, recorded, ["bundle", "name"], [1, 2]).collect()
+    assert {(r["bundle"], r["name"]): r["problems"] for r in rows} == {
+        ("a", "ok"): [], ("a", "sum"): ["checksum mismatch"], ("a", "old"): ["unknown schema version"], ("a", "none"): ["unknown schema version"],
+        ("a", "shape"): ["shape mismatch"], ("a", "more"): ["unrecorded"], ("b", "ok"): ["missing"]}
+    assert manifest.bundle_problems(found.limit(0), recorded.limit(0), ["bundle", "name"], [1]).count() == 0
+
+
 def test_manifest_statuses(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"b":1,"a":2}')
     (tmp_path / "b.csv").write_bytes(b"x\r\ny\r\n")
