@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldscan.llm.common import Columns, map_batches, shared_folder, slices, stored
+from fieldscan.llm.common import Columns, map_batches, shared_folder, slices, stored, worker_state
 from fieldscan.llm.units import regular, units
 
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -41,8 +41,6 @@ JOINED = 256
 #: A space and Latin letters (one piece), and ASCII marks behind them (another piece).
 SPACE_WORD = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 
-_worker: dict = {}
-
 
 def pack(ids: np.ndarray) -> bytes:
     """Words of the ids (unsigned, below 2**60), greedily: each word takes as many of the next ids as fit."""
@@ -220,11 +218,10 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
         ids: list[int] = []
         parts: list[np.ndarray] = []
         held = seq = 0
-        if _worker.get("file") != tokenizer_file:
-            _worker.update(file=tokenizer_file, ids=_Ids(tokenizer_file))
+        known: _Ids = worker_state(("token files", tokenizer_file), lambda: _Ids(tokenizer_file))
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                found, starts = encoded(part.column(1).to_pylist(), _worker["ids"], end_id)
+                found, starts = encoded(part.column(1).to_pylist(), known, end_id)
                 for doc, start, stop in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     ids.append(NO_ID if doc is None else doc)
                     parts.append(found[start:stop])
