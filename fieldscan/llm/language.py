@@ -62,8 +62,8 @@ def letters(text: str) -> list[str]:
     return (_words(sys.maxunicode) if not text.isascii() and WIDE.search(text) else LETTERS).findall(text)
 
 
-#: Distinct tokens whose scores a Python worker remembers.
-REMEMBERED = 600_000
+#: Distinct tokens whose scores a Python worker remembers, and so many more until it forgets those.
+REMEMBERED, SPARE = 150_000, 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -175,12 +175,12 @@ class _Remembered(dict):
     def __init__(self, model: Model, share: bool = False):
         super().__init__()
         self.model, self.share = model, share
-        self.rows = np.zeros((REMEMBERED + 200_000, len(model.langs) + share + 1))
+        self.rows = np.zeros((REMEMBERED + SPARE, len(model.langs) + share + 1))
         self.used = 0
 
     def __missing__(self, token: str) -> int:
         if self.used == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows[:200_000])])
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows[:SPARE])])
         at = self.used
         scores = self.model.token(token)
         if self.share:
@@ -193,10 +193,11 @@ class _Remembered(dict):
 
     def trim(self) -> None:
         """Forget what came last when there are many more; called between texts."""
-        if self.used > REMEMBERED + 200_000:
+        if self.used > REMEMBERED + SPARE:
             for token in list(self)[REMEMBERED:]:
                 del self[token]
             self.used = REMEMBERED
+            self.rows = self.rows[:REMEMBERED + SPARE].copy()
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, share: bool = False) -> DataFrame:

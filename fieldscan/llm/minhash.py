@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, components, map_batches, stored
+from fieldscan.llm.common import Columns, components, map_batches, stored, worker_state
 
 SHINGLE = 5
 #: Documents are linked when intersection * 100 >= percent * union; this is the percent of op9.
@@ -98,17 +98,15 @@ class _Hashes(dict):
         return value
 
 
-_words = _Hashes()
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's ``size``-word shingles; of the whole sequence if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    values = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(_words) > REMEMBERED:
-        _words.clear()
+    known: _Hashes = worker_state("shingle words", _Hashes)
+    values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(known) > REMEMBERED:
+        known.clear()
     width = min(size, len(words))
     mixed = values[:len(values) - width + 1].copy()
     for k in range(1, width):

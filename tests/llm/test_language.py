@@ -49,3 +49,19 @@ def test_letters_are_letters_with_their_marks():
     found = ["x", "一二", "नमस्ते", "e\u0301te\u0301", "a", "b"]
     assert language.letters(text) == found and language.letters(text + " \U0001f600 \U00010400\U00010401") == [*found, "\U00010400\U00010401"]
     assert language.letters("½² Ⅷ ① 3 - \U0001f600") == []
+
+
+def test_forgetting_changes_no_score(monkeypatch):
+    monkeypatch.setattr(language, "REMEMBERED", 10)
+    monkeypatch.setattr(language, "SPARE", 5)
+    model = language.Model(["a", "b"], [(0, f"w{c}") for c in "abcdefgh"] + [(1, c) for c in "xyz"], [[i, 11 - i] for i in range(11)])
+    tokens = language._Remembered(model, share=True)
+    for start in range(0, 300, 20):
+        words = [f"w{'abcdefgh'[i % 8]}{'xyz'[i % 3] * (i % 40)}" for i in range(start, start + 20)]
+        for word in words:
+            at = tokens[word]
+            row = tokens.rows[at]
+            known = sum(len(w) for w in language.letters(word) if model.knows(w))
+            assert (*row[:-2], row[-1]) == model.token(word) and row[-2] == known
+        tokens.trim()
+        assert len(tokens) <= 15 and len(tokens.rows) <= 15
