@@ -103,6 +103,37 @@ def test_world_wide_and_tiny_areas_with_a_crowded_cell(spark):
     assert spatial.points_in_rings(points, areas.limit(0)).count() == 0
 
 
+def test_copies_of_places_and_rings_are_tested_once(spark, monkeypatch):
+    rings = spark.createDataFrame([(k, [(k % 2 + x, y) for x, y in SQUARE]) for k in range(40)] + [(99, None)], f"area_id int, ring {RING}")
+    points = spark.createDataFrame([(i, (i % 3) + 0.5, 1.0) for i in range(60)] + [(99, None, 1.0)], "p int, lon double, lat double")
+    met = []
+    plain = spatial._places_in_shapes
+    monkeypatch.setattr(spatial, "_places_in_shapes", lambda p, s, n: met.append((p.count(), s.count())) or plain(p, s, n))
+    for crowded in (1, 50_000):
+        found = [(r["p"], r["area_id"]) for r in spatial.points_in_rings(points, rings, crowded).collect()]
+        want = {(i, k) for i in range(60) for k in range(40) if k % 2 <= i % 3 + 0.5 <= k % 2 + 2}
+        assert len(found) == len(want) and set(found) == want
+    assert met == [(3, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("crowded", [1, 50_000])
+def test_totals_equal_pairwise_sums(spark, crowded):
+    """Rings with a notch, crossing themselves, left open, clockwise, as a dot, a line and the world; none meets no point."""
+    star = [(0.0, 3.0), (2.0, -3.0), (-3.0, 1.0), (3.0, 1.0), (-2.0, -3.0), (0.0, 3.0)]
+    notch = [(-4.0, -4.0), (4.0, -4.0), (4.0, 4.0), (0.0, -3.5), (-4.0, 4.0), (-4.0, -4.0)]
+    rings = [star, notch, notch[:-1], notch[::-1], [(1.0, 1.0)] * 4, [(0.0, 0.0), (4.0, 0.0), (0.0, 0.0)], [(x * 90 - 90, y * 90 - 90) for x, y in SQUARE], star,
+             [(50.0, 50.0), (51.0, 50.0), (51.0, 51.0), (50.0, 50.0)], None]
+    areas = spark.createDataFrame(list(enumerate(rings)), f"area_id int, ring {RING}")
+    places = [(i, (i * 7 % 83) / 8 - 5, (i * 5 % 83) / 8 - 5) for i in range(900)] + [(900 + i, 0.0, -0.0) for i in range(300)] + [(2000, None, 1.0)]
+    points = spark.createDataFrame(places, "p int, lon double, lat double")
+    west, south, east, north = spatial.ring_bounds(F.col("ring"))  # an open ring holds points beyond its bounds by the crossing rule alone
+    bounded = F.col("lon").between(west, east) & F.col("lat").between(south, north)
+    want = points.join(areas, bounded & G.ring_contains(F.col("ring"), F.col("lon"), F.col("lat"))).groupBy("area_id").agg(F.count("p"), F.sum("p"))
+    got = spatial.totals_in_rings(points, areas, {"n": F.lit(1).cast("bigint"), "s": F.col("p")}, crowded)
+    assert {tuple(r) for r in got.select("area_id", "n", "s").collect()} == {tuple(r) for r in want.collect()}
+    assert spatial.totals_in_rings(points, areas.limit(0), {"n": F.lit(1)}).count() == 0
+
+
 def test_footprint_uses_cell_centres(spark):
     area = spark.createDataFrame([(1, 5.0, 5.0, 95.0, 55.0, [(5.0, 5.0), (95.0, 5.0), (95.0, 55.0), (5.0, 55.0), (5.0, 5.0)])],
                                  f"area_id int, west double, south double, east double, north double, ring {RING}")
