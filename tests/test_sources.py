@@ -60,6 +60,21 @@ def test_calibration_xml(spark):
     assert (wide["b04_offset"], wide["b11_offset"]) == (-1000, -900)
 
 
+def test_calibration_xml_with_empty_or_repeated_offset(spark):
+    """An element without text takes no other's value; a repeated one is a problem; entities and other prefixes are read."""
+    offset = '<BOA_ADD_OFFSET band_id="11">{}</BOA_ADD_OFFSET>'.format
+    docs = {"empty": '<BOA_ADD_OFFSET band_id="11"/>', "twice": offset(-900) + offset(-800), "entity": "<a><m:BOA_ADD_OFFSET xmlns:m='y' band_id='11'>&#45;900</m:BOA_ADD_OFFSET></a>",
+            "two": offset(-900) + "<BOA_QUANTIFICATION_VALUE>1</BOA_QUANTIFICATION_VALUE>"}
+    frame = spark.createDataFrame([*[(k, XML.format(last=last)) for k, last in docs.items()], ("blank", ""), ("null", None)], "scene_id string, xml string")
+    rows = {(r["scene_id"], r["band"]): (r["add_offset"], r["problems"]) for r in calibration.parse_calibration(frame).collect()}
+    missing, bad = "missing or nonfinite offset", "missing or invalid quantification value"
+    assert rows["empty", "B11"] == rows["twice", "B11"] == (None, [missing]) and rows["empty", "B04"] == (-1000, [])
+    assert rows["entity", "B11"] == (-900, []) and rows["two", "B11"] == (-900, [bad])
+    assert rows["blank", "B11"] == rows["null", "B11"] == (None, [bad, missing]) and len(rows) == 24
+    with pytest.raises(Exception, match="ParseError"):
+        calibration.parse_calibration(spark.createDataFrame([("x", "<a>")], "scene_id string, xml string")).collect()
+
+
 def test_time_series_round_trip(spark, tmp_path):
     indexed = mosaic.calibrated_indices(scene_rows(spark))
     best = mosaic.first_valid(indexed, KEYS)
