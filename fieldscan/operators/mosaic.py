@@ -126,8 +126,12 @@ def median_composite(stack: DataFrame, keys: list[str], value: str) -> DataFrame
 
 def halve_resolution(pixels: DataFrame, keys: list[str], value: str, factor: int = 2) -> DataFrame:
     """Area average onto a grid ``factor`` times coarser; any missing part voids the cell."""
+    cells = {"cell_x": F.floor(F.col("x") / factor), "cell_y": F.floor(F.col("y") / factor)}
+    return average_cells(pixels.withColumns(cells), [*keys, *cells], value, factor)
+
+
+def average_cells(pixels: DataFrame, cell: list[str], value: str, factor: int = 2) -> DataFrame:
+    """The same for pixels that carry their coarse cell; rows already dealt by it are not shuffled again."""
     present = F.when(F.col(value) > 0, F.col(value).cast("double"))
-    return pixels.groupBy(*keys, F.floor(F.col("x") / factor).alias("cell_x"), F.floor(F.col("y") / factor).alias("cell_y")) \
-        .agg(F.count(present).alias("parts"), F.avg(present).alias("_mean")) \
-        .select(*keys, "cell_x", "cell_y", "parts",
-                F.when(F.col("parts") == factor * factor, F.col("_mean")).alias("mean"))
+    return pixels.groupBy(*cell).agg(F.count(present).alias("parts"), F.avg(present).alias("_mean")) \
+        .select(*cell, "parts", F.when(F.col("parts") == factor * factor, F.col("_mean")).alias("mean"))

@@ -10,6 +10,7 @@ from fieldscan.functions.timestamps import iso_utc
 from fieldscan.operators import audit, mosaic, spatial
 from fieldscan.plans.registry import query
 from fieldscan.plans.views import MOSAIC, SCENE_PIXELS, big, d, r, scene_pixels, scenes, table
+from fieldscan.session import dealt_by
 from fieldscan.sources import catalog
 from fieldscan.sources.tables import series_rows
 
@@ -179,9 +180,11 @@ def median_composite(spark: SparkSession, folder: str) -> DataFrame:
 SELECT scene_id, x // 2 AS cell_x, y // 2 AS cell_y, count(*) FILTER (v > 0) AS parts,
   CASE WHEN count(*) FILTER (v > 0) = 4 THEN round(avg(v) FILTER (v > 0), 9) END AS mean FROM p GROUP BY ALL""")
 def halved_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    fine = table(spark, folder, "lineitem").groupBy(
-        F.col("l_returnflag").alias("scene_id"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")).agg(F.max("l_quantity").alias("v"))
-    return mosaic.halve_resolution(fine, ["scene_id"], "v").withColumn("mean", r(F.col("mean")))
+    cells = [F.col("l_returnflag").alias("scene_id"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_quantity").alias("v"),
+             F.floor(F.col("l_partkey") / 2).alias("cell_x"), F.floor(F.col("l_suppkey") / 2).alias("cell_y")]
+    coarse = ["scene_id", "cell_x", "cell_y"]
+    fine = dealt_by(table(spark, folder, "lineitem").select(*cells), *coarse).groupBy(*coarse, "x", "y").agg(F.max("v").alias("v"))
+    return mosaic.average_cells(fine, coarse, "v").withColumn("mean", r(F.col("mean")))
 
 
 VERSIONS = """versions AS (SELECT event_id AS scene_id, event_type AS platform, date_trunc('hour', ts) AS acquired_at, user_id AS tile,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +17,8 @@ SETTINGS = {
     # run several times faster without whole-stage code.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+#: Rows of a task that folds nearly distinct keys: some 50 MB of groups.
+ROWS_PER_TASK = 500_000
 PER_QUERY = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
 
 
@@ -63,3 +65,14 @@ def spread(frame: DataFrame) -> DataFrame:
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+def dealt_by(frame: DataFrame, *columns: str | Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows with the same ``columns`` in one partition, of about ``rows_per_task`` rows however large the table is.
+
+    For an aggregate with nearly a group per row, whose table of groups would otherwise grow with the scan's split and
+    the number of shuffle partitions. Smaller frames keep the usual number of shuffle partitions. The rows are counted,
+    which reads no column of a plain scan.
+    """
+    usual = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(usual, -(-frame.count() // rows_per_task)), *columns)

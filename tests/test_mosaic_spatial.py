@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from fieldscan import constants as C
 from fieldscan.functions import geometry as G
 from fieldscan.operators import audit, mosaic, spatial
-from fieldscan.plans import analyses
+from fieldscan.plans import analyses, scene_queries  # noqa: F401
+from fieldscan.plans.registry import QUERIES
+from fieldscan.session import dealt_by
 
 KEYS = ["area"]
 
@@ -60,6 +62,20 @@ def test_downsampling_needs_full_coverage(spark):
     assert got == {(0, 0): 2.0, (1, 0): None}
 
 
+def test_fold_of_distinct_keys_takes_tasks_by_rows(spark):
+    rows = spark.range(1000).select((F.col("id") % 700).alias("k"))
+    assert dealt_by(rows, "k").rdd.getNumPartitions() == 4
+    dealt = dealt_by(rows, "k", rows_per_task=90)
+    parts = dealt.select("k", F.spark_partition_id().alias("p")).distinct()
+    assert dealt.rdd.getNumPartitions() == 12 and dealt.count() == 1000 and parts.count() == 700
+
+
+def test_halving_deals_rows_once(spark):
+    """One shuffle, by the coarse cell: no task folds the keys of a whole scan split."""
+    plan = QUERIES["halved_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
 RING = "array<struct<lon:double,lat:double>>"
 
