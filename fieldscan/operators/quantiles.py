@@ -77,8 +77,9 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: dict[s
 
     def at_level(p: float) -> Column:
         lo, hi = F.col(f"lo{points.index(p)}"), F.col(f"hi{points.index(p)}")
+        part = ranks[p] - F.floor(ranks[p])
         return F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")) \
-            .otherwise(lo + (hi - lo) * (ranks[p] - F.floor(ranks[p])))
+            .when(part == 0.5, lo * 0.5 + hi * 0.5).otherwise(lo + (hi - lo) * part)  # halves add up with one rounding
 
     found = picked.select(*keys, *[at_level(p).alias(n) for n, p in levels.items()])
     return join_groups(groups.select(*keys, "total", *also), found, keys)

@@ -9,7 +9,7 @@ from fieldscan.functions.timestamps import MICROS_PER_DAY, iso_utc
 from fieldscan.operators import audit, temporal
 from fieldscan.operators.quantiles import exact_quantiles
 from fieldscan.plans.registry import query
-from fieldscan.plans.views import ACQUISITIONS, acquisitions, d, r, table
+from fieldscan.plans.views import ACQUISITIONS, acquisitions, d, r, r_scaled, table
 from fieldscan.session import checkpointed
 
 SITE = ["site"]
@@ -47,7 +47,7 @@ SELECT site, observations, round(slope_per_day, 12) + 0e0 AS slope_per_day, roun
   round(fitted_change, 12) + 0e0 AS fitted_change, span_days::BIGINT AS span_days, direction FROM directed""")
 def theil_sen_trend(spark: SparkSession, folder: str) -> DataFrame:
     trend = temporal.theil_sen(days(spark, folder), SITE, "day", "median")
-    return trend.select("site", "observations", *[r(F.col(c), 12).alias(c) for c in ("slope_per_day", "slope_per_30_days", "fitted_change")],
+    return trend.select("site", "observations", *[r_scaled(F.col(c), 12).alias(c) for c in ("slope_per_day", "slope_per_30_days", "fitted_change")],
                         F.col("span_days").cast("bigint").alias("span_days"), "direction")
 
 
@@ -57,7 +57,7 @@ SELECT site, observations, round(slope_per_day, 12) + 0e0 AS slope_per_day, dire
 def tile_trends(spark: SparkSession, folder: str) -> DataFrame:
     daily = exact_quantiles(acquisitions(spark, folder), ["tile", "day"], "value", {"median": 0.5})
     trend = temporal.theil_sen(daily, ["tile"], "day", "median")
-    return trend.select(F.col("tile").alias("site"), "observations", r(F.col("slope_per_day"), 12).alias("slope_per_day"), "direction")
+    return trend.select(F.col("tile").alias("site"), "observations", r_scaled(F.col("slope_per_day"), 12).alias("slope_per_day"), "direction")
 
 
 @query("series_check", """WITH daily AS (SELECT user_id AS tile, ts::DATE AS day, day(ts) % 2 = 0 AS even FROM events GROUP BY ALL)

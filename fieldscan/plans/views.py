@@ -25,6 +25,11 @@ def r(value: Column, digits: int = 9) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def r_scaled(value: Column, digits: int) -> Column:
+    """Rounded in doubles, as the SQL does: a value whose decimal text ends in a tie may lie on either side of it."""
+    return F.round(value * 10.0**digits) / 10.0**digits + F.lit(0.0)
+
+
 def big(value: Column) -> Column:
     return value.cast("bigint")
 

@@ -2,15 +2,18 @@ import datetime as dt
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldscan import constants as C
 from fieldscan.operators import decision, temporal
-from fieldscan.plans import analyses
+from fieldscan.plans import analyses, registry
+from tests.helpers import normalized
 
 KEYS = ["site"]
+registry.load()
 
 
 def series(spark, rows):
@@ -29,6 +32,22 @@ def test_trend_vectors(spark):
     assert got["single"]["slope_per_day"] is None and got["pair"]["direction"] == "insufficient observations"
 
 
+@pytest.mark.parametrize("name", ["tile_trends", "theil_sen_trend"])
+def test_trends_at_the_limits_equal_sql(spark, tmp_path, name):
+    """Changes of nearly the tolerance from a day's median of two values, and slopes with a tie at the last digit shown."""
+    near = [(5.5, 19.48, 14.49), (5.13, 21.73, 15.43), (13.33, 64.27, 40.8), (2.07, 107.84, 56.955)]
+    rows = [(i, 1 + day, v) for i, (low, high, end) in enumerate(near) for day, v in ((0, low), (0, high), (1, end - 1), (2, end))]
+    slopes = np.random.default_rng(2).integers(1, 10**10, 150) * 2 + 1
+    rows += [(10 + i, 1 + day, s / 2e10 * day) for i, s in enumerate(slopes.tolist()) for day in range(3)]
+    events = spark.createDataFrame([(k, dt.datetime(2024, 1, day, 12), i, f"site{i}", v, "") for k, (i, day, v) in enumerate(rows)],
+                                   "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, wanted = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(registry.ORACLES[name]).df()
+    assert normalized(got) == normalized(wanted)
+
+
 def test_bad_series_fail(spark):
     with pytest.raises(Exception, match="repeated day"):
         temporal.theil_sen(series(spark, [("s", 4, 1, 1), ("s", 4, 1, 2)]), KEYS, "day", "v").collect()
