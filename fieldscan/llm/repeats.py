@@ -120,12 +120,16 @@ def found_segments(docs: DataFrame) -> DataFrame:
     return map_batches(docs, "anchor long, digest long, row long, first long, last long", batch)
 
 
-def transform(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's transform: (order, symbols, back).
+Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def transform(parts: list[bytes]) -> Shard:
+    """A shard's transform: (order, symbols, back, ends).
 
     The shard's segments are cyclic, each with its end mark. ``order`` sorts their rotations by
     LENGTH bytes at least, found by doubling. A symbol is the two bytes before a rotation, and
-    ``back`` the place in the order of the rotation that starts with them.
+    ``back`` the place in the order of the rotation that starts with them. ``ends`` are the places
+    of the rotations that start where a window ends, one for each window.
     """
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
@@ -149,23 +153,25 @@ def transform(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place[order] = np.arange(len(data))
     earlier = start + (offset - 2) % size
     symbols = data[earlier].astype(np.uint16) << np.uint16(8) | data[start + (offset - 1) % size]
-    return order, symbols[order], place[earlier][order]
+    ends = np.flatnonzero(((offset >= LENGTH) & (offset <= size - len(END)))[order])
+    return order, symbols[order], place[earlier][order], ends
 
 
-def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For every shard, by place in its order, the interval of a rotation among all, to LENGTH bytes.
+def merged_intervals(shards: list[Shard]) -> list[np.ndarray]:
+    """For every shard, by place in its order, the interval of a window among all, to LENGTH bytes.
 
     Refines the interleave of the shards' transforms, two bytes a round: the interleave is a list of
     places, each shard's in its own order; the symbols at these places, sorted stably, give the
     interleave of the places they lead back to, right to two bytes more. Where symbol or interval
-    change, an interval ends. A rotation alone in its interval stays alone, and so does the one it
+    change, an interval ends. The rotations where windows end lead back to the windows in all rounds
+    together, and no other one does, so the list starts with those. A rotation alone in its interval stays alone, and so does the one it
     leads back to, so neither is carried further; its interval is a number of its own below 0.
     """
     starts = np.cumsum([0, *[len(s[0]) for s in shards]])
     symbols = np.concatenate([s[1] for s in shards])
     back = np.concatenate([s[2] + at for s, at in zip(shards, starts.tolist(), strict=False)]).astype(np.int32)
-    places = np.arange(len(symbols), dtype=np.int32)
-    interval = np.zeros(len(symbols), np.int32)
+    places = np.concatenate([s[3] + at for s, at in zip(shards, starts.tolist(), strict=False)]).astype(np.int32)
+    interval = np.zeros(len(places), np.int32)
     for _ in range(LENGTH // 2):
         merged = symbols[places]
         turn = np.argsort(merged, kind="stable")
@@ -196,7 +202,7 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
             held, size = [], 0
     shards = [transform([texts[i] + END for i in own]) for own in members]
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    for own, (order, _, _), interval in zip(members, shards, merged_intervals(shards), strict=True):
+    for own, (order, *_), interval in zip(members, shards, merged_intervals(shards), strict=True):
         by_place = np.empty(len(order), np.int64)
         by_place[order] = interval
         at = 0

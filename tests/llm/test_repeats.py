@@ -72,6 +72,18 @@ def test_merging_shards_equals_one_sort():
         sorted(np.unique(np.concatenate(once), return_counts=True)[1].tolist())
 
 
+def test_merge_carries_windows_only(monkeypatch):
+    """No round of the merge sorts more rotations than there are windows, however long the segments around them."""
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda values, **how: sizes.append(len(values)) or sort(values, **how))
+    shards = [repeats.transform([bytes(random.Random(n // 2).choices(range(97, 105), k=210)) + repeats.END]) for n in range(6)]
+    sizes.clear()
+    found = repeats.merged_intervals(shards)
+    assert sizes and max(sizes) <= 6 * (211 - 200)
+    shared = np.unique(np.concatenate(found), return_counts=True)[1]
+    assert (shared == 2).sum() == 3 * (211 - 200)
+
+
 def test_salts_of_one_anchor_are_merged_apart(monkeypatch):
     """Two salts of a hot anchor never meet in one merge once the bound is reached; their windows meet by digest."""
     monkeypatch.setattr(repeats, "MERGED", 1)
