@@ -97,14 +97,16 @@ def rank_literal(ranks: Ranks) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string, int>>")
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value once in the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merged(piece: Column, slots: Column) -> Column:
     """The ids of one piece by folding ranked merges over its bytes."""
     def rank(text: Column) -> Column:
         return F.try_element_at(F.element_at(slots, (F.crc32(text.cast("binary")) % SLOTS + 1).cast("int")), text)
 
-    def bind(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def step(parts: Column, _: Column) -> Column:
         pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
                             lambda right, i: rank(F.concat(F.element_at(parts, i + 1), right)))
@@ -116,7 +118,7 @@ def merged(piece: Column, slots: Column) -> Column:
                 F.array(F.concat(F.element_at(parts, F.greatest(at, F.lit(1))), F.element_at(parts, F.least(at + 1, F.size(parts))))),
                 F.slice(parts, at + 2, F.size(parts))))
 
-        return bind(pairs, join)
+        return _bind(pairs, join)
 
     text = F.decode(piece.cast("binary"), "ISO-8859-1")
     bytes_of = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
@@ -125,11 +127,13 @@ def merged(piece: Column, slots: Column) -> Column:
 
 
 def encode_units(found: DataFrame, ranks: Ranks) -> DataFrame:
-    """(unit, ids) of distinct units, natively."""
-    slots = rank_literal(ranks)
+    """(unit, ids) of distinct units, natively.
+
+    The rank literal has some MB wherever the plan or its text holds it, so it stands there once.
+    """
     pieces = F.regexp_extract_all("unit", F.lit(PATTERN), F.lit(0))
     return found.filter(F.octet_length("unit") <= UNIT_BYTES) \
-        .select("unit", F.flatten(F.transform(pieces, lambda p: merged(p, slots))).alias("ids"))
+        .select("unit", _bind(rank_literal(ranks), lambda slots: F.flatten(F.transform(pieces, lambda p: merged(p, slots)))).alias("ids"))
 
 
 class _Ids(dict):

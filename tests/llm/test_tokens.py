@@ -110,3 +110,12 @@ def test_token_files_of_hard_texts(spark):
     twice = token_files.round_trip(documents(spark, [(1, "a"), (1, "b"), (None, "c"), (1, "a")]), public_tokenizers.path("byte_bpe_50k.json"))
     assert sorted((r.doc_id is not None, r.start) for r in twice.collect()) == [(False, 0), (True, 2), (True, 4), (True, 6)]
     assert token_files.round_trip(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_the_plan_holds_the_ranks_once(spark):
+    """The rank literal has some MB, and every copy of the plan and of its text has as many of it as the plan."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"qz": 987654321}
+    found = spark.createDataFrame([("qz",), ("zq",)], "unit string")
+    ids = bpe.encode_units(found, ranks)
+    assert ids._jdf.queryExecution().optimizedPlan().toString().count("987654321") == 1
+    assert {r["unit"]: list(r["ids"]) for r in ids.collect()} == {"qz": [987654321], "zq": [122, 113]}
