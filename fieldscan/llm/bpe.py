@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, map_batches, stored, worker_state
+from fieldscan.llm.common import Columns, map_arrow, map_batches, stored, worker_state
 from fieldscan.llm.units import SPACES, units
 
 Ranks = dict[bytes, int]
@@ -70,7 +70,7 @@ def count_units(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col("text").cast("string")), run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def frequent(counted: DataFrame, most: int = TABLE_UNITS) -> DataFrame:

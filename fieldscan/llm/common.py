@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 Columns = dict[str, list]
+#: Bytes of an Arrow batch on its way to Python. Spark's own limit of 10 000 rows is 10 000 texts, or pairs of sets, however
+#: long they are; the JVM's buffers and the worker's columns hold each batch several times.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,15 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def map_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of about BATCH_BYTES; a longer row is alone, or the last of its batch.
+
+    Spark reads the limit when the frame is executed, so it stays with the session. Results do not depend on it.
+    """
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame.mapInArrow(run, schema)
+
+
 def map_batches(frame: DataFrame, schema: str, function: Callable[[Columns], Columns]) -> DataFrame:
     """Apply a function of column lists to every Arrow batch of a frame."""
     names = T.StructType.fromDDL(schema).fieldNames()
@@ -53,7 +65,7 @@ def map_batches(frame: DataFrame, schema: str, function: Callable[[Columns], Col
                 yield pa.RecordBatch.from_arrays(
                     [_array(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
-    return frame.mapInArrow(run, schema)
+    return map_arrow(frame, run, schema)
 
 
 _held: dict = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldscan.llm.common import Columns, map_batches, stored, worker_state
+from fieldscan.llm.common import Columns, map_arrow, map_batches, stored, worker_state
 
 #: The classifier is fitted on about so many labelled documents, chosen by a hash of their id.
 LEARN_DOCUMENTS = 20_000
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, documents: int = LEARN_DOCUMENTS, least: int = 1) ->
     share = min(1.0, documents / max(rows, 1))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     parts = chosen.select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    counted = stored(parts.mapInArrow(_count, "lang string, order int, gram string, n long"), "language-counts")
+    counted = stored(map_arrow(parts, _count, "lang string, order int, gram string, n long"), "language-counts")
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     by_lang = F.array(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in langs])
     grouped = counted.groupBy("order", "gram").agg(F.sum("n").alias("total"), by_lang.alias("counts")) if langs else None

@@ -79,7 +79,7 @@ SMALL, TILE = 32, 2048
 #: Shingles that one side of a tile has on average, at most; a document of more is whole in its part.
 TILE_SHINGLES = 1_000_000
 #: Distinct words whose hashes a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
