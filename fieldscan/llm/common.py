@@ -37,10 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: evaluated once, lineage cut, safe from lost executors."""
+def stored(frame: DataFrame, label: str, rows_a_file: int = 0) -> DataFrame:
+    """Write a frame to the shared folder and read it back: evaluated once, lineage cut, safe from lost executors.
+
+    With ``rows_a_file``, no file has more rows, so that few long rows are read by several tasks.
+    """
     path = f"{shared_folder(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

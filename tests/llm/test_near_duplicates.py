@@ -1,8 +1,10 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,61 @@ def test_hard_vectors(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_repeats_widths_and_lengths(spark):
+    """Copies in other partitions, doubles that single precision does not hold, long and short vectors in small blocks."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=5) + [2, 1, 0, 0, 0]).tolist()) for i in range(150)]
+    rows += [(i, np.float32(rng.normal(size=10)).astype(float).tolist()) for i in range(150, 300)]
+    rows += [(400 + i, rows[i % 7][1]) for i in range(60)] + [(500 + i, rows[160][1]) for i in range(60)]
+    rows += [(600, [-0.0] + rows[0][1][1:]), (601, [0.0] + rows[0][1][1:]), (602, [1e60, 1e-60]), (603, [1e-60, 0.0])]
+    random.Random(3).shuffle(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    for tile in (20, embeddings.TILE):
+        got = {tuple(r) for r in embeddings.near_duplicates(frame, tile=tile).select("vec_id", "n_links", "component_id", "kept").collect()}
+        assert got == slow_vectors(rows)
+
+
+def test_disk_grows_with_the_table_not_with_its_tiles(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [Path(d.getPath()) for d in local] + [Path(common.shared_folder(spark).removeprefix("file:"))]
+
+    def used():
+        return sum(f.stat().st_size for d in folders for f in d.rglob("*") if f.is_file())
+
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 64)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = used()
+    got = embeddings.near_duplicates(frame, tile=20).collect()  # 100 blocks
+    assert len(got) == 2000 and not any(r["n_links"] for r in got)
+    assert used() - before < 10 * 2000 * 64 * 8
+
+
+def test_every_pair_of_a_dense_tile():
+    """All vectors alike, some pairs at the threshold: links and components of a task equal a brute force."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=16) * 2 + rng.normal(size=(700, 16))
+    sides = []
+    for part in (vectors[:300], vectors[300:]):
+        ids, copies = np.arange(len(part)) + 1000 * len(sides), np.arange(len(part)) % 3 + 1
+        sides.append(embeddings.unpacked(16, *(pa.py_buffer(x.tobytes()) for x in (ids, copies, part))))
+    found = embeddings.Found()
+    places = [found.place((16, k), s) for k, s in enumerate(sides)]
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        for i, j in embeddings.linked(sides[x], sides[y], x == y, 0.9):
+            found.add(sides[x], sides[y], places[x], places[y], i, j)
+    rows = found.rows().to_pylist()
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = units @ units.T >= 0.9
+    np.fill_diagonal(links, False)
+    ids, copies = np.concatenate([s.reps for s in sides]), np.concatenate([s.copies for s in sides])
+    assert 0.1 < links.mean() < 0.9
+    assert {r["u"]: r["n"] for r in rows if r["v"] is None} == {int(u): n for u, n in zip(ids, links @ copies, strict=True) if n}
+    edges = [(r["u"], r["v"]) for r in rows if r["v"] is not None]
+    assert len(edges) < len(ids)
+    assert joined(ids.tolist(), edges) == joined(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(links)])
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(2)
     parts = [embeddings.quantise(rng.standard_t(1.5, size=32).tobytes()) for _ in range(200)]
